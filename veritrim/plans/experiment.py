@@ -30,6 +30,7 @@ from veritrim.operators.results import (
     with_sentinels,
 )
 from veritrim.schemas import Settings
+from veritrim.session import written
 from veritrim.sources.readers import read_log
 from veritrim.sources.writers import append_results
 
@@ -74,6 +75,7 @@ def plan_cells(samples: DataFrame, log: DataFrame, settings: Settings = Settings
             *key, "context", "question", "answer", "prompt", "orig_tokens",
             F.col("orig_tokens").alias("compressed_tokens"), F.lit(0).alias("compressed"), F.inline("_cells"),
         )
+    prompts = written(prompts, "prompts")
     short = compress_to_budget(prompts, key, "prompt", settings.compression_threshold).withColumnRenamed(
         "prompt", "_short"
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -35,3 +38,31 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="veritrim-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder.
+
+    For a result that several branches of a job read: it is computed once, outlives a lost executor, and its
+    readers fetch only the columns they need. The folder is left to whoever cleans the shared folder.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers; model stages unpickle functions from it there."""
+    package = Path(__file__).parent
+    digest = hashlib.sha256()
+    sources = sorted(package.rglob("*.py"))
+    for source in sources:
+        digest.update(source.read_bytes())
+    name = f"veritrim_{digest.hexdigest()[:16]}.zip"
+    if any(path.endswith(name) for path in spark.sparkContext.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="veritrim-ship-")) / name
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sources:
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
