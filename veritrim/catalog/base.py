@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritrim.plans.results_log import results_log
+from veritrim.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, over all cores also when they are few."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The files of a table as a stream; the pattern matches a single file as well as a folder of files."""
     schema = table(spark, sf_dir, name).schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.catalog.base import Query, log_of, over_log, rounded, table
+from veritrim.catalog.base import Query, documents_of, log_of, over_log, rounded, table
 from veritrim.functions.casts import lenient_float, lenient_int, numeric, timestamp
 from veritrim.functions.text import final_answer, first_or_empty, flatten_context
 from veritrim.operators.numbering import number_all, number_capped
@@ -64,14 +64,14 @@ def _results_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.col("text"), F.lit(" #### "), F.col("n_chars").cast("string"))
-    return table(spark, sf_dir, "documents").select(
+    return documents_of(spark, sf_dir).select(
         "doc_id", final_answer(marked).alias("answer"), final_answer(F.col("text")).alias("unmarked")
     )
 
 
 def _first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in a document as its answer array; the ten first answerable documents per language."""
-    found = table(spark, sf_dir, "documents").select(
+    found = documents_of(spark, sf_dir).select(
         F.col("lang").alias("dataset"),
         "doc_id",
         F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)).alias("answers"),
@@ -86,12 +86,12 @@ def _context_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = F.filter(text_lines(), lambda line: line != "")
     titles = F.transform(filled, lambda line: F.substring_index(line, " ", 1))
     sentences = F.transform(text_lines(), lambda line: F.split(line, r"\. "))
-    return table(spark, sf_dir, "documents").select("doc_id", flatten_context(titles, sentences).alias("context"))
+    return documents_of(spark, sf_dir).select("doc_id", flatten_context(titles, sentences).alias("context"))
 
 
 def _first_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = F.filter(text_lines(), lambda line: line.rlike(HAS_DIGIT))
-    return table(spark, sf_dir, "documents").select("doc_id", first_or_empty(numbered).alias("context"))
+    return documents_of(spark, sf_dir).select("doc_id", first_or_empty(numbered).alias("context"))
 
 
 def _head_n(spark: SparkSession, sf_dir: str) -> DataFrame:

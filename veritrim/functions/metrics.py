@@ -30,11 +30,21 @@ def _is_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def exact_match(prediction: Column, gold: Column, numeric: bool = False) -> Column:
+def exact_match(
+    prediction: Column,
+    gold: Column,
+    numeric: bool = False,
+    normalized_prediction: Column | None = None,
+    normalized_gold: Column | None = None,
+) -> Column:
     """1.0 when the last numbers agree as text, or, for gold without a number, the normalised texts.
 
-    ``numeric=True`` compares the numbers by value instead.
+    ``numeric=True`` compares the numbers by value instead. Normalised texts that are at hand can be passed in.
     """
+    if normalized_prediction is None:
+        normalized_prediction = normalize_text(prediction)
+    if normalized_gold is None:
+        normalized_gold = normalize_text(gold)
     wanted, given = last_number(gold), last_number(prediction)
     same_number = (
         (given.try_cast("double") == wanted.try_cast("double")) if numeric else (given == wanted)
@@ -42,18 +52,27 @@ def exact_match(prediction: Column, gold: Column, numeric: bool = False) -> Colu
     return (
         F.when(_is_empty(prediction) | _is_empty(gold), F.lit(0.0))
         .when(wanted.isNotNull(), _score(same_number))
-        .otherwise(_score(normalize_text(prediction) == normalize_text(gold)))
+        .otherwise(_score(normalized_prediction == normalized_gold))
     )
 
 
-def keyword_match(prediction: Column, gold: Column) -> Column:
+def keyword_match(
+    prediction: Column,
+    gold: Column,
+    normalized_prediction: Column | None = None,
+    normalized_gold: Column | None = None,
+) -> Column:
     """1.0 when every gold word that is not a stop word occurs in the prediction."""
+    if normalized_prediction is None:
+        normalized_prediction = normalize_text(prediction)
+    if normalized_gold is None:
+        normalized_gold = normalize_text(gold)
     ignored = F.array(*[F.lit(word) for word in ["", *STOPWORDS]])
-    wanted = F.array_except(F.split(normalize_text(gold), " "), ignored)
-    missing = F.array_except(wanted, F.split(normalize_text(prediction), " "))
-    return F.when(_is_empty(prediction) | _is_empty(gold), F.lit(0.0)).otherwise(
-        _score((F.size(wanted) > 0) & (F.size(missing) == 0))
-    )
+    wanted = F.array_except(F.split(normalized_gold, " "), ignored)
+    given = F.split(normalized_prediction, " ")
+    # A lambda over a one-element array names the word list, so that it is made once.
+    hit = F.transform(F.array(wanted), lambda w: (F.size(w) > 0) & (F.size(F.array_except(w, given)) == 0))
+    return F.when(_is_empty(prediction) | _is_empty(gold), F.lit(0.0)).otherwise(_score(F.element_at(hit, 1)))
 
 
 def softmax(logits: Column) -> Column:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python treats as white space, and ASCII punctuation.
+# The characters Python treats as white space.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+# Without (?U) this is the 32 ASCII punctuation characters; curly quotes and the like stay.
+ASCII_PUNCTUATION_RUN = r"\p{Punct}+"
 # (?U) gives the Unicode classes; the separators x1c to x1f are not in Java's \s.
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 NUMBER = r"(?U)(-?\d+\.?\d*)"
@@ -30,7 +31,7 @@ def is_blank(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, without ASCII punctuation, white-space runs as one space, stripped."""
-    bare = F.translate(F.lower(c), PUNCTUATION, "")
+    bare = F.regexp_replace(F.lower(c), ASCII_PUNCTUATION_RUN, "")
     return F.trim(F.regexp_replace(bare, WHITESPACE_RUN, " "))
 
 

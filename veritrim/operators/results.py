@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrim.functions.metrics import error_text, exact_match, hallucination, keyword_match
-from veritrim.functions.text import first_or_empty, token_count
+from veritrim.functions.text import first_or_empty, normalize_text, token_count
 from veritrim.schemas import METRICS, RESULT_LOG, Settings
 
 # Metrics of a row that failed.
@@ -38,16 +38,23 @@ def measured(
     cells: DataFrame, support: Column, consistency: Column, settings: Settings = Settings()
 ) -> DataFrame:
     """Adds prediction and metrics to cells that have ``responses`` and the gold ``answer``."""
-    prediction = main_answer(F.col("responses"))
-    return cells.withColumns(
-        {
-            "prediction": prediction,
-            "exact_match": exact_match(prediction, F.col("answer")),
-            "keyword_match": keyword_match(prediction, F.col("answer")),
-            "self_consistency": consistency,
-            "nli_support": support,
-        }
-    ).withColumn("hallucination", hallucination(F.col("nli_support"), settings))
+    texts = cells.withColumn("prediction", main_answer(F.col("responses"))).withColumns(
+        {"_prediction": normalize_text(F.col("prediction")), "_gold": normalize_text(F.col("answer"))}
+    )
+    both = (F.col("prediction"), F.col("answer"))
+    normal = {"normalized_prediction": F.col("_prediction"), "normalized_gold": F.col("_gold")}
+    return (
+        texts.withColumns(
+            {
+                "exact_match": exact_match(*both, **normal),
+                "keyword_match": keyword_match(*both, **normal),
+                "self_consistency": consistency,
+                "nli_support": support,
+            }
+        )
+        .withColumn("hallucination", hallucination(F.col("nli_support"), settings))
+        .drop("_prediction", "_gold")
+    )
 
 
 def with_sentinels(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -21,6 +21,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small tables on one machine: keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
+        .config("spark.sql.files.openCostInBytes", "128KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -40,6 +43,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *key: str, small: int = 64) -> DataFrame:
+    """A small table over all cores, by a unique key.
+
+    A table in a handful of large row groups is read by as few tasks, which leaves cores idle when the
+    work per row is heavy. Tables read by more than ``small`` tasks are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= min(cores, small):
+        return df
+    return df.repartition(min(cores, small), *key)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder.
 
