@@ -43,11 +43,16 @@ def compress_to_budget(
 
     words = texts.select(*key, F.col(text_col).alias("prompt"), tokens(F.col(text_col)).alias("_words"))
     words = words.withColumn("orig_tokens", F.size("_words"))
-    long_texts = words.filter(F.col("orig_tokens") > budget)
-    occurrences = long_texts.select(*key, "orig_tokens", F.posexplode("_words").alias("pos", "token"))
+    # More than ``budget`` tokens take at least this many characters. The exact count is looked at after the
+    # tokens have been grouped again: as a filter here it would split every text twice.
+    maybe_long = words.filter(F.length("prompt") > 2 * budget)
+    # The outer form keeps the optimizer from adding a filter on the words, which would split them once more; a
+    # text without words gives one NULL token, which no join below keeps.
+    occurrences = maybe_long.select(*key, "orig_tokens", F.posexplode_outer("_words").alias("pos", "token"))
 
     looked_up = occurrences.join(F.broadcast(frequent), "token")
-    rare = occurrences.join(F.broadcast(frequent.select("token")), "token", "left_anti").join(freq, "token")
+    infrequent = occurrences.join(F.broadcast(frequent.select("token")), "token", "left_anti")
+    rare = infrequent.filter(F.col("token").isNotNull()).join(freq, "token")
 
     by_rarity = Window.partitionBy(*key).orderBy("freq", "pos")
     kept = (
@@ -59,7 +64,7 @@ def compress_to_budget(
         F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_kept"),
         F.max("orig_tokens").alias("orig_tokens"),
     )
-    compressed = rebuilt.select(
+    compressed = rebuilt.filter(F.col("orig_tokens") > budget).select(
         *key,
         F.array_join(F.col("_kept.token"), " ").alias("prompt"),
         "orig_tokens",

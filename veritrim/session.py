@@ -23,7 +23,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.adaptive.enabled", "true")
         # Small tables on one machine: keep all cores busy.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
-        .config("spark.sql.files.openCostInBytes", "128KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -46,13 +45,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def spread(df: DataFrame, *key: str, small: int = 64) -> DataFrame:
     """A small table over all cores, by a unique key.
 
-    A table in a handful of large row groups is read by as few tasks, which leaves cores idle when the
-    work per row is heavy. Tables read by more than ``small`` tasks are left as they are.
+    A small table may sit in a single row group, which one task reads while the other cores are idle. Tables
+    of more than ``small`` splits are left as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, small):
+    splits = df.rdd.getNumPartitions()
+    if splits > small:
         return df
-    return df.repartition(min(cores, small), *key)
+    return df.repartition(max(splits, min(df.sparkSession.sparkContext.defaultParallelism, small)), *key)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
