@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrim.catalog.base import Query, documents_of, log_of, over_log, rounded, table
 from veritrim.functions.casts import lenient_float, lenient_int, numeric, timestamp
@@ -12,7 +13,7 @@ from veritrim.operators.numbering import number_all, number_capped
 from veritrim.operators.prepare import dialogue_samples, sample_defaults, with_first_answer
 from veritrim.operators.skew import first_n_per_group
 from veritrim.schemas import RESULT
-from veritrim.sources.readers import CORRUPT, good_rows, rejected_lines, typed_results
+from veritrim.sources.readers import good_rows, parsed_json, rejected_lines, typed_results
 
 HAS_DIGIT = "[0-9]"
 
@@ -32,9 +33,7 @@ def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    parsed = F.from_json(
-        "line", f"k bigint, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    )
+    parsed = parsed_json(F.col("line"), T.StructType([T.StructField("k", T.LongType())]))
     return lines.withColumn("_p", parsed).select("source_file", "line_id", "_p.*")
 
 

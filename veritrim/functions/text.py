@@ -59,7 +59,7 @@ def hard_truncate(c: Column, limit: Column | int) -> Column:
 
 def final_answer(c: Column) -> Column:
     """The stripped text after the last ``####``; the whole text when there is no mark."""
-    return strip(F.substring_index(c, "####", -1))
+    return strip(F.element_at(F.split(c, "####"), -1))
 
 
 def flatten_context(titles: Column, sentences: Column) -> Column:

@@ -5,30 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritrim.functions.casts import lenient_float, lenient_int, timestamp
+from veritrim.functions.text import strip
 from veritrim.schemas import METRICS, RESULT, RESULT_LOG, SAMPLE
 
 CORRUPT = "_corrupt_record"
 
 
+def parsed_json(line: Column, schema: T.StructType) -> Column:
+    """Struct of the schema and ``_corrupt_record``, which holds a line that is not a JSON object."""
+    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    return F.from_json(line, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = SAMPLE) -> DataFrame:
     """One JSON object per line from one or several files, blank lines skipped.
 
-    Adds ``source_file`` and ``_corrupt_record``, which holds a line that could not be parsed.
+    Adds ``source_file`` and ``_corrupt_record``. Lines are read as text and parsed as a column, so that the
+    rejects alone can be queried, which the JSON source does not allow.
     """
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(with_corrupt)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("encoding", "UTF-8")
-        .json(paths if isinstance(paths, str) else list(paths))
-        .select("*", F.col("_metadata.file_path").alias("source_file"))
-    )
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    filled = lines.filter(strip(F.col("value")) != "")
+    return filled.select(
+        parsed_json(F.col("value"), schema).alias("_p"), F.col("_metadata.file_path").alias("source_file")
+    ).select("_p.*", "source_file")
 
 
 def good_rows(lines: DataFrame) -> DataFrame:
