@@ -35,6 +35,13 @@ def test_equals_brute_force(spark, texts, budget, frequent, broadcast):
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
-        assert rows(compress_to_budget(df, ["doc_id"], "text", budget, frequent)) == brute_force(texts, budget)
+        assert rows(compress_to_budget(df, ["doc_id"], "text", budget, most_frequent_tokens=frequent)) == brute_force(texts, budget)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_given_frequencies(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "d")], "k int, text string")
+    corpus = spark.createDataFrame([("a", 5), ("b", 9), ("c", 5)], "token string, freq bigint")
+    got = compress_to_budget(df, ["k"], "text", 2, corpus)
+    assert rows(got) == [(1, "a d", 4, 2), (2, "d", 1, 1)]

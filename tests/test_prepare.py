@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
@@ -101,15 +102,19 @@ def test_first_n_per_group_with_one_dominant_group(spark):
     df = spark.range(0, 5000, 1, 8).select(
         F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("g"), (F.col("id") * 37 % 5003).alias("o")
     )
-    for strands in (1, 3, 200):
-        got = first_n_per_group(df, ["g"], [F.col("o")], 20, strands).groupBy("g").agg(F.sort_array(F.collect_list("o")).alias("o"))
-        for r in got.collect():
-            every = sorted(x.o for x in df.filter(F.col("g") == r.g).collect())
-            assert r.o == every[:20]
-
-
-def test_number_all_across_blocks(spark):
-    df = spark.range(0, 1000, 3).select(F.concat(F.lit("s"), (F.col("id") % 4 == 0).cast("int")).alias("s"), "id")
+    every = {g: sorted(r.o for r in df.filter(F.col("g") == g).collect()) for g in ("big", "small")}
+    for n, strands in ((20, 1), (20, 3), (20, 200), (1500, 2)):
+        got = first_n_per_group(df, ["g"], [F.col("o")], n, strands)
+        got = got.groupBy("g").agg(F.sort_array(F.collect_list("o")).alias("o"))
+        assert {r.g: r.o for r in got.collect()} == {g: o[:n] for g, o in every.items()}
+
+
+@pytest.mark.parametrize("stretch", [1, 997, 2**53 // 1000 + 1])
+def test_number_all_across_blocks(spark, stretch):
+    """Dense and sparse keys, negative ones too."""
+    df = spark.range(-500, 500, 3).select(
+        F.concat(F.lit("s"), (F.col("id") % 4 == 0).cast("int")).alias("s"), (F.col("id") * stretch).alias("id")
+    )
     got = number_all(df, "s", "id", F.concat(F.col("s"), F.lit("_")), id_col="name", block=50)
     by_source = {}
     for r in got.orderBy("id").collect():

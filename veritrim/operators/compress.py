@@ -29,16 +29,18 @@ def compress_to_budget(
     key: Sequence[str],
     text_col: str,
     budget: int,
+    frequencies: DataFrame | None = None,
     most_frequent_tokens: int = 10_000,
 ) -> DataFrame:
     """Columns ``key``, ``prompt``, ``orig_tokens``, ``compressed_tokens``; ``key`` must be unique.
 
-    A text within the budget is returned unchanged. Frequent tokens, at most
+    A text within the budget is returned unchanged. Rarity is measured in the texts themselves or, where given,
+    by ``frequencies`` of a larger corpus; a token that is not among those is the rarest. Frequent tokens, at most
     ``most_frequent_tokens`` of them, are looked up by broadcast and never shuffled by token; the
     others meet their count in a shuffle join in which no token holds more than that share of the
     rows. Each partition keeps at most ``budget`` tokens of a text before the shuffle by text.
     """
-    freq = token_frequencies(texts, text_col)
+    freq = token_frequencies(texts, text_col) if frequencies is None else frequencies
     frequent = frequent_keys(freq, "freq", most_frequent_tokens)
 
     words = texts.select(*key, F.col(text_col).alias("prompt"), tokens(F.col(text_col)).alias("_words"))
@@ -52,7 +54,10 @@ def compress_to_budget(
 
     looked_up = occurrences.join(F.broadcast(frequent), "token")
     infrequent = occurrences.join(F.broadcast(frequent.select("token")), "token", "left_anti")
-    rare = infrequent.filter(F.col("token").isNotNull()).join(freq, "token")
+    counted = infrequent.filter(F.col("token").isNotNull()).join(
+        freq, "token", "inner" if frequencies is None else "left"
+    )
+    rare = counted.withColumn("freq", F.coalesce("freq", F.lit(0)))
 
     by_rarity = Window.partitionBy(*key).orderBy("freq", "pos")
     kept = (

@@ -8,25 +8,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _div(c: Column, by: int) -> Column:
+    """Whole-number division rounding down, exact over all 64 bits."""
+    c, step = c.cast("bigint"), F.lit(by).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, step), step)
+
+
 def number_capped(df: DataFrame, source: str, order: Sequence[Column], prefix: Column, id_col: str = "id") -> DataFrame:
     """``prefix`` + 1, 2, 3, … per source, for tables already cut to a bounded number of rows per source."""
     position = F.row_number().over(Window.partitionBy(source).orderBy(*order))
     return df.withColumn(id_col, F.concat(prefix, position.cast("string")))
 
 
+def _rows_before(sizes: DataFrame, source: str, step: int) -> DataFrame:
+    """Rows of the source in earlier blocks, for every block.
+
+    Blocks are summed up in turn by ``step`` neighbouring ones, so that a source with very many sparse blocks is
+    not added up in one task.
+    """
+    grouped = sizes.withColumn("_span", _div(F.col("_block"), step))
+    spans = grouped.groupBy(source, "_span").agg(F.sum("_rows").alias("_span_rows"))
+
+    def earlier(what: str, by: Sequence[str], order: str) -> Column:
+        window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(what).over(window), F.lit(0))
+
+    span_starts = spans.select(source, "_span", earlier("_span_rows", [source], "_span").alias("_span_start"))
+    within = grouped.withColumn("_within", earlier("_rows", [source, "_span"], "_block"))
+    return within.join(span_starts, [source, "_span"]).select(
+        source, "_block", (F.col("_span_start") + F.col("_within")).alias("_start")
+    )
+
+
 def number_all(
     df: DataFrame, source: str, order_key: str, prefix: Column, id_col: str = "id", block: int = 1_000_000
 ) -> DataFrame:
     """``prefix`` + 1, 2, 3, … per source in the order of an integer key, for tables of any size.
 
     The key must be unique within its source. The key range is cut into blocks of ``block`` values, so a block
-    never holds more than ``block`` rows of a source. Rows are numbered within their block; the
-    number of rows in earlier blocks comes from the small table of block counts.
+    never holds more than ``block`` rows of a source. Rows are numbered within their block; the number of rows
+    in earlier blocks comes from the table of block counts. Whatever the keys are, no window sees more than
+    ``block`` rows, or all the spans of blocks, of which a 64-bit key has fewer than twenty million.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order_key) / block))
+    blocked = df.withColumn("_block", _div(F.col(order_key), block))
     sizes = blocked.groupBy(source, "_block").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(source).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(source, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    starts = _rows_before(sizes, source, block)
     within = Window.partitionBy(source, "_block").orderBy(order_key)
     numbered = blocked.withColumn("_position", F.row_number().over(within)).join(starts, [source, "_block"])
     position = F.col("_start") + F.col("_position")

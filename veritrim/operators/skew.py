@@ -34,7 +34,9 @@ def lookup_join(
         key, F.lit(True).alias("_hot"), *[F.col(v).alias(h) for v, h in zip(values, hot_names)]
     )
     marked = facts.join(F.broadcast(hot), key, "left")
-    spread = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*facts.columns), F.lit(1024)).cast("int")).otherwise(0)
+    # The task number tells copies of a row apart and, unlike a random number, stays the same when a task is repeated.
+    scattered = 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *facts.columns), F.lit(1024)).cast("int")
+    spread = F.when(F.col("_hot"), scattered).otherwise(0)
     cold = lookup.select(key, F.lit(0).alias("_salt"), *[F.col(v).alias(f"_cold_{v}") for v in values])
     joined = marked.withColumn("_salt", spread).join(cold, [key, "_salt"], "left")
     return joined.select(
@@ -48,12 +50,15 @@ def first_n_per_group(
     """The first ``n`` rows of every group, all of them ranked exactly.
 
     Each group is first cut within ``strands`` strands of input partitions, so that no task
-    ever ranks a whole group; what is left, ``strands * n`` rows at most, is ranked once more.
+    ever ranks a whole group; what is left, ``strands * n`` rows at most, is ranked once more. Up to a
+    thousand rows, Spark also cuts each partition before it is shuffled; for a larger ``n`` that cut is
+    made here, by ranking within single partitions first.
     """
-    strand = df.withColumn("_strand", F.spark_partition_id() % strands)
-    within = Window.partitionBy(*group, "_strand").orderBy(*order)
-    cut = strand.withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n)
-    overall = Window.partitionBy(*group).orderBy(*order)
-    return (
-        cut.withColumn("_rank", F.row_number().over(overall)).filter(F.col("_rank") <= n).drop("_strand", "_rank")
-    )
+    task = F.spark_partition_id()
+    levels = [task % strands, F.lit(0)] if n <= 1000 else [task, task % strands, F.lit(0)]
+    names = [f"_strand_{i}" for i in range(len(levels))]
+    cut = df.withColumns(dict(zip(names, levels)))
+    for name in names:
+        within = Window.partitionBy(*group, name).orderBy(*order)
+        cut = cut.withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n)
+    return cut.drop("_rank", *names)

@@ -15,7 +15,7 @@ from veritrim.functions.prompts import build_prompt, compression_decision, premi
 from veritrim.functions.text import token_count
 from veritrim.functions.vectors import response_consistency
 from veritrim.operators.aggregates import experiment_summary, run_counters
-from veritrim.operators.compress import compress_to_budget
+from veritrim.operators.compress import compress_to_budget, token_frequencies
 from veritrim.operators.grid import condition_grid, pending_cells, skipped_cells
 from veritrim.operators.inference import Loader, first_tokens, score_batches
 from veritrim.operators.pairing import delta_stats, paired_delta
@@ -51,16 +51,20 @@ class Scorers:
     support: Callable[[Column, Column], Column] = no_support
 
 
-def plan_cells(samples: DataFrame, log: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def plan_cells(
+    samples: DataFrame, log: DataFrame, settings: Settings = Settings(), frequencies: DataFrame | None = None
+) -> DataFrame:
     """One row per cell still to do, with the prompt to send.
 
-    Only keys meet the log; each sample with work left carries its list of conditions (no more than
-    the run has) until its prompt is built and compressed, once for all conditions.
+    Only distinct keys meet the log; each sample with work left carries its list of conditions (no more
+    than the run has) until its prompt is built and compressed, once for all conditions. Token rarity is that
+    of all the samples, done or not, so a resumed run compresses as an uninterrupted one would; samples
+    that come in batches need the ``frequencies`` of their corpus for that.
     """
     key = ["id", "dataset"]
     usable = sample_defaults(samples)
     todo = (
-        pending_cells(condition_grid(usable.select(*key), settings), log)
+        pending_cells(condition_grid(usable.select(*key).distinct(), settings), log)
         .groupBy(*key)
         .agg(F.collect_set(F.struct("model_name", "requested_mode")).alias("_cells"))
     )
@@ -76,9 +80,12 @@ def plan_cells(samples: DataFrame, log: DataFrame, settings: Settings = Settings
             F.col("orig_tokens").alias("compressed_tokens"), F.lit(0).alias("compressed"), F.inline("_cells"),
         )
     prompts = written(prompts, "prompts")
-    short = compress_to_budget(prompts, key, "prompt", settings.compression_threshold).withColumnRenamed(
-        "prompt", "_short"
-    )
+    if frequencies is None:
+        whole = usable.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
+        frequencies = token_frequencies(whole, "prompt")
+    short = compress_to_budget(
+        prompts, key, "prompt", settings.compression_threshold, frequencies
+    ).withColumnRenamed("prompt", "_short")
     decided = prompts.join(short, key).withColumn(
         "_d",
         compression_decision(
@@ -140,12 +147,13 @@ def run_batch(
     started: datetime,
     settings: Settings = Settings(),
     batch_id: int = 0,
+    frequencies: DataFrame | None = None,
 ) -> None:
     """Score what the log lacks and append it.
 
     Rows are found by key in the log, so a batch that is run again after a lost driver adds only what is missing.
     """
-    cells = plan_cells(samples, read_log(samples.sparkSession, log_path), settings)
+    cells = plan_cells(samples, read_log(samples.sparkSession, log_path), settings, frequencies)
     scored = score_cells(generate(cells, scorers.generate, settings), scorers, settings)
     append_results(result_rows(scored, run_id, F.lit(started), batch_id), log_path)
 

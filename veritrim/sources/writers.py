@@ -26,8 +26,13 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def append_results(rows: DataFrame, path: str) -> None:
-    """Append to the Parquet log, one folder per dataset. Rows appear when the write commits."""
-    rows.select(*RESULT_LOG.names).write.mode("append").partitionBy("dataset").parquet(path)
+    """Append to the Parquet log, one folder per dataset. Rows appear when the write commits.
+
+    Rows are rebalanced first: files get a sensible size however many tasks scored them, a large dataset is split over
+    several, and a failed write does not send rows back to the models.
+    """
+    balanced = rows.select(*RESULT_LOG.names).hint("rebalance", "dataset")
+    balanced.write.mode("append").partitionBy("dataset").parquet(path)
 
 
 def export_results_csv(log: DataFrame, path: str, mode: str = "append") -> None:

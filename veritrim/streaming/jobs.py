@@ -20,6 +20,7 @@ def score_stream(
     run_id: str,
     started: datetime,
     settings: Settings = Settings(),
+    frequencies: DataFrame | None = None,
 ) -> StreamingQuery:
     """Score a stream of samples into the log, each cell once across restarts, errors included.
 
@@ -28,7 +29,7 @@ def score_stream(
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        run_batch(batch, log_path, scorers, run_id, started, settings, batch_id)
+        run_batch(batch, log_path, scorers, run_id, started, settings, batch_id, frequencies)
 
     return (
         samples.writeStream.foreachBatch(score)
