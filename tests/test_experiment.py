@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.helpers import rows
+from veritrim.functions.tokenizers import token_counter
 from veritrim.operators.inference import score_batches
 from veritrim.operators.results import full_support
 from veritrim.plans.experiment import Scorers, batch_counters, generate, plan_cells, run_batch, run_report, score_cells
@@ -138,3 +139,14 @@ def test_rerun_adds_only_what_is_missing(spark, samples, tmp_path):
     assert rows(read_log(spark, log)) == before
     report = run_report(second)
     assert report["delta_stats"].first().total > 0 and report["experiment_summary"].count() == 5
+
+
+def test_counts_by_a_given_tokenizer(spark, samples):
+    counted = Settings(
+        models=("good",), compression_threshold=5, retry_tokens=3, count_tokens=token_counter(lambda: lambda text: list(text))
+    )
+    cells = plan_cells(samples, no_rows(spark, RESULT_LOG), counted)
+    for r in cells.collect():
+        assert r.compressed_tokens == len(r.prompt) and (r.requested_mode == 1 or r.orig_tokens == len(r.prompt))
+    for r in generate(cells, load, counted).collect():
+        assert r.compressed_tokens == len(r.prompt)

@@ -251,3 +251,30 @@ def test_response_consistency(spark):
     assert value(spark, vectors.response_consistency(square)) == pytest.approx(0.0)
     zero = F.array(F.array(lit(1.0), lit(0.0)), F.array(lit(0.0), lit(0.0)))
     assert value(spark, vectors.response_consistency(zero)) == pytest.approx(-0.5)
+
+
+def test_text_functions_agree_with_python_on_mixed_unicode(spark):
+    """Random texts of all white space, all ASCII punctuation, digits of several scripts and letters."""
+    import random
+    import re
+    import string
+
+    draw = random.Random(7)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    alphabet = spaces + list(string.punctuation) + list("0123٤५7９") + list("aZéÉñßж“”—x") + [".", "-", ",", "#"] * 8
+    texts = ["".join(draw.choices(alphabet, k=draw.randint(0, 40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t = F.col("t")
+    got = df.select(
+        "i", text.normalize_text(t).alias("n"), text.last_number(t).alias("d"), text.strip(t).alias("s"),
+        text.tokens(t).alias("w"), text.final_answer(t).alias("f"), text.is_blank(t).alias("b"),
+    )
+    for r in got.collect():
+        raw = texts[r.i]
+        kept = "".join(ch for ch in raw.lower() if ch not in string.punctuation)
+        assert r.n == " ".join(kept.split())
+        numbers = list(re.finditer(r"-?\d+\.?\d*", "".join(raw.split(","))))
+        assert r.d == (numbers[-1].group() if numbers else None)
+        assert r.s == raw.strip() and r.w == raw.split()
+        assert r.f == raw.rsplit("####", 1)[-1].strip() or "#####" in raw
+        assert r.b == (not raw.strip())

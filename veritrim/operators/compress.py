@@ -15,6 +15,10 @@ from veritrim.functions.text import tokens
 from veritrim.operators.skew import frequent_keys
 
 
+# Longer tokens are not broadcast, however frequent.
+MOST_TOKEN_BYTES = 1024
+
+
 def token_frequencies(texts: DataFrame, text_col: str) -> DataFrame:
     """How often each token occurs in all the texts; counted map-side before the shuffle."""
     return (
@@ -41,7 +45,7 @@ def compress_to_budget(
     rows. Each partition keeps at most ``budget`` tokens of a text before the shuffle by text.
     """
     freq = token_frequencies(texts, text_col) if frequencies is None else frequencies
-    frequent = frequent_keys(freq, "freq", most_frequent_tokens)
+    frequent = frequent_keys(freq, "freq", most_frequent_tokens).filter(F.octet_length("token") <= MOST_TOKEN_BYTES)
 
     words = texts.select(*key, F.col(text_col).alias("prompt"), tokens(F.col(text_col)).alias("_words"))
     words = words.withColumn("orig_tokens", F.size("_words"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrim.functions.metrics import error_text, exact_match, hallucination, keyword_match
-from veritrim.functions.text import first_or_empty, normalize_text, token_count
+from veritrim.functions.text import first_or_empty, normalize_text
 from veritrim.schemas import METRICS, RESULT_LOG, Settings
 
 # Metrics of a row that failed.
@@ -72,10 +72,10 @@ def with_sentinels(rows: DataFrame, settings: Settings = Settings()) -> DataFram
     return rows.filter(~F.coalesce(F.col("error.unavailable"), F.lit(False))).withColumns(marked)
 
 
-def tokens_sent(original_hash: Column) -> Column:
+def tokens_sent(original_hash: Column, settings: Settings = Settings()) -> Column:
     """Token count of the prompt in use: counted anew when a retry shortened it."""
-    prompt = F.col("prompt")
-    return F.when(F.xxhash64(prompt) == original_hash, F.col("compressed_tokens")).otherwise(token_count(prompt))
+    shortened = F.when(F.xxhash64("prompt") != original_hash, F.col("prompt"))
+    return F.when(shortened.isNull(), F.col("compressed_tokens")).otherwise(settings.count_tokens(shortened))
 
 
 def result_rows(

@@ -20,17 +20,20 @@ def lookup_join(
     key: str,
     values: Sequence[str],
     most_hot_keys: int = 1000,
+    most_bytes: int = 65_536,
 ) -> DataFrame:
     """Left join to a table with at most one row per key, safe against hot keys in ``facts``.
 
-    Hot keys number at most ``most_hot_keys``, so their lookup rows are broadcast. In the
-    shuffle join their rows are spread over many partitions, where they match nothing and
-    keep the broadcast value; all other rows meet their lookup row as usual.
+    Hot keys number at most ``most_hot_keys``, so their lookup rows are broadcast, unless the values of a row
+    take more than ``most_bytes``: the broadcast is bounded by the product. In the shuffle join the facts
+    of broadcast keys are spread over many partitions, where they match nothing and keep the broadcast
+    value; all other rows meet their lookup row as usual.
     """
     counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     hot_keys = F.broadcast(frequent_keys(counts, "_rows", most_hot_keys).select(key))
     hot_names = [f"_hot_{v}" for v in values]
-    hot = lookup.join(hot_keys, key, "left_semi").select(
+    size = sum((F.coalesce(F.octet_length(F.col(v).cast("string")), F.lit(0)) for v in values), F.lit(0))
+    hot = lookup.filter(size <= most_bytes).join(hot_keys, key, "left_semi").select(
         key, F.lit(True).alias("_hot"), *[F.col(v).alias(h) for v, h in zip(values, hot_names)]
     )
     marked = facts.join(F.broadcast(hot), key, "left")

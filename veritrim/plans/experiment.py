@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -12,7 +13,6 @@ from pyspark.sql import types as T
 
 from veritrim.functions.metrics import entailment_support
 from veritrim.functions.prompts import build_prompt, compression_decision, premise
-from veritrim.functions.text import token_count
 from veritrim.functions.vectors import response_consistency
 from veritrim.operators.aggregates import experiment_summary, run_counters
 from veritrim.operators.compress import compress_to_budget, token_frequencies
@@ -52,14 +52,19 @@ class Scorers:
 
 
 def plan_cells(
-    samples: DataFrame, log: DataFrame, settings: Settings = Settings(), frequencies: DataFrame | None = None
+    samples: DataFrame,
+    log: DataFrame,
+    settings: Settings = Settings(),
+    frequencies: DataFrame | None = None,
+    scratch: str | None = None,
 ) -> DataFrame:
     """One row per cell still to do, with the prompt to send.
 
     Only distinct keys meet the log; each sample with work left carries its list of conditions (no more
     than the run has) until its prompt is built and compressed, once for all conditions. Token rarity is that
     of all the samples, done or not, so a resumed run compresses as an uninterrupted one would; samples
-    that come in batches need the ``frequencies`` of their corpus for that.
+    that come in batches need the ``frequencies`` of their corpus for that. ``scratch`` names the
+    intermediate table of prompts.
     """
     key = ["id", "dataset"]
     usable = sample_defaults(samples)
@@ -74,22 +79,28 @@ def plan_cells(
         *key, "_cells", "_s.*", build_prompt(F.col("_s.context"), F.col("_s.question")).alias("prompt")
     )
     if not settings.compression_enabled:
-        counted = prompts.withColumn("orig_tokens", token_count(F.col("prompt")))
+        counted = prompts.withColumn("orig_tokens", settings.count_tokens(F.col("prompt")))
         return counted.select(
             *key, "context", "question", "answer", "prompt", "orig_tokens",
             F.col("orig_tokens").alias("compressed_tokens"), F.lit(0).alias("compressed"), F.inline("_cells"),
         )
-    prompts = written(prompts, "prompts")
+    prompts = written(prompts, "prompts", scratch)
     if frequencies is None:
         whole = usable.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
         frequencies = token_frequencies(whole, "prompt")
-    short = compress_to_budget(
-        prompts, key, "prompt", settings.compression_threshold, frequencies
-    ).withColumnRenamed("prompt", "_short")
-    decided = prompts.join(short, key).withColumn(
+    short = compress_to_budget(prompts, key, "prompt", settings.compression_threshold, frequencies).select(
+        *key, F.col("prompt").alias("_short")
+    )
+    counted = prompts.join(short, key).withColumns(
+        {
+            "orig_tokens": settings.count_tokens(F.col("prompt")),
+            "_short_tokens": settings.count_tokens(F.col("_short")),
+        }
+    )
+    decided = counted.withColumn(
         "_d",
         compression_decision(
-            F.col("prompt"), F.col("orig_tokens"), F.col("_short"), F.col("compressed_tokens"), settings=settings
+            F.col("prompt"), F.col("orig_tokens"), F.col("_short"), F.col("_short_tokens"), settings=settings
         ),
     )
     cells = decided.select(
@@ -117,7 +128,7 @@ def generate(cells: DataFrame, load: Loader, settings: Settings = Settings()) ->
             model_col="model_name",
             shorten=first_tokens(settings.retry_tokens),
         )
-        .withColumn("compressed_tokens", tokens_sent(F.col("_sent")))
+        .withColumn("compressed_tokens", tokens_sent(F.col("_sent"), settings))
         .drop("_sent")
     )
 
@@ -152,8 +163,10 @@ def run_batch(
     """Score what the log lacks and append it.
 
     Rows are found by key in the log, so a batch that is run again after a lost driver adds only what is missing.
+    A log has one writer at a time.
     """
-    cells = plan_cells(samples, read_log(samples.sparkSession, log_path), settings, frequencies)
+    scratch = hashlib.sha256(log_path.encode()).hexdigest()[:16]
+    cells = plan_cells(samples, read_log(samples.sparkSession, log_path), settings, frequencies, scratch)
     scored = score_cells(generate(cells, scorers.generate, settings), scorers, settings)
     append_results(result_rows(scored, run_id, F.lit(started), batch_id), log_path)
 

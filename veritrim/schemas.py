@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
 from pyspark.sql import types as T
 
+from veritrim.functions.text import token_count
+
 SAMPLE = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -130,7 +134,10 @@ OOM_MARKERS = (
 
 @dataclass(frozen=True)
 class Settings:
-    """Run parameters; the defaults are the published run parameters."""
+    """Run parameters; the defaults are the published run parameters.
+
+    ``count_tokens`` turns a text column into token counts: white-space words, or a ``token_counter``.
+    """
 
     models: tuple[str, ...] = MODELS
     compression_enabled: bool = True
@@ -146,6 +153,7 @@ class Settings:
     error_chars: int = 180
     responses_per_cell: int = 1
     target_samples: int = 1000
+    count_tokens: Callable[[Column], Column] = token_count
 
     @property
     def modes(self) -> tuple[int, ...]:

@@ -29,8 +29,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, purpose: str, name: str | None = None) -> str:
+    """A folder under the shared folder the cluster names in ``spark.checkpoint.dir``; a new one unless named.
 
     Only a local session without that setting gets a temporary folder of its machine.
     """
@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="veritrim-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{purpose}-{name or uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *key: str, small: int = 64) -> DataFrame:
@@ -54,14 +54,15 @@ def spread(df: DataFrame, *key: str, small: int = 64) -> DataFrame:
     return df.repartition(max(splits, min(df.sparkSession.sparkContext.defaultParallelism, small)), *key)
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, name: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder.
 
     For a result that several branches of a job read: it is computed once, outlives a lost executor, and its
-    readers fetch only the columns they need. The folder is left to whoever cleans the shared folder.
+    readers fetch only the columns they need. A named table replaces the one of that name, so
+    that a long series of batches keeps one; others are left to whoever cleans the shared folder.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    path = shared_folder(df.sparkSession, purpose, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
