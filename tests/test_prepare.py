@@ -98,6 +98,25 @@ def test_lookup_join_equals_a_plain_join(spark):
         assert rows(lookup_join(facts, lookup, "k", ["v"], most)) == rows(plain)
 
 
+@pytest.mark.parametrize("hot", [7, 8])
+def test_lookup_join_leaves_hot_rows_spread(spark, hot):
+    """Without help from adaptive execution; key 7 is in the lookup table, key 8 is not."""
+    facts = spark.range(0, 40_000, 1, 8).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(hot)).alias("k"), F.col("id").alias("x")
+    )
+    lookup = spark.range(0, 40_000, 7).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = lookup_join(facts, lookup, "k", ["v"])
+        per_task = joined.filter(F.col("k") == hot).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in per_task) >= 36_000
+        assert max(r["count"] for r in per_task) <= 5_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_first_n_per_group_with_one_dominant_group(spark):
     df = spark.range(0, 5000, 1, 8).select(
         F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("g"), (F.col("id") * 37 % 5003).alias("o")

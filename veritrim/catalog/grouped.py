@@ -17,14 +17,13 @@ from veritrim.operators.aggregates import (
     mean_delta,
     mean_metrics,
     mode_series,
-    only_with_both_modes,
     pivot_modes,
     token_bins,
     token_scatter,
 )
 from veritrim.operators.dedup import keep_last
 from veritrim.operators.pairing import delta_stats, latest_paired_delta, paired_delta
-from veritrim.plans.analysis import compression_effect
+from veritrim.plans.analysis import compression_effect, model_dataset_deltas
 from veritrim.plans.results_log import results_log_text
 from veritrim.schemas import METRICS
 
@@ -51,8 +50,7 @@ def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delta_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = _condition_means(spark, sf_dir)
-    return rounded(only_with_both_modes(pivot_modes(means), means))
+    return rounded(model_dataset_deltas(condition_cells(_clean(spark, sf_dir))))
 
 
 def _clean_required(spark: SparkSession, sf_dir: str) -> DataFrame:

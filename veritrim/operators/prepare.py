@@ -90,11 +90,11 @@ def dialogue_samples(turns: DataFrame, dataset: str = "dialogue") -> DataFrame:
     contexts = (
         turns.filter(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
     )
-    answered = asked.join(replies, ["conv_id", "_next"], "left")
-    framed = lookup_join(answered, contexts, "conv_id", ["context"])
+    framed = lookup_join(asked, contexts, "conv_id", ["context"])
+    answered = framed.join(replies, ["conv_id", "_next"], "left")
     empty = F.lit("")
     return unify(
-        framed,
+        answered,
         context=F.coalesce("context", empty),
         question=F.col("question"),
         answer=F.coalesce("answer", empty),

@@ -24,27 +24,29 @@ def lookup_join(
 ) -> DataFrame:
     """Left join to a table with at most one row per key, safe against hot keys in ``facts``.
 
-    Hot keys number at most ``most_hot_keys``, so their lookup rows are broadcast, unless the values of a row
-    take more than ``most_bytes``: the broadcast is bounded by the product. In the shuffle join the facts
-    of broadcast keys are spread over many partitions, where they match nothing and keep the broadcast
-    value; all other rows meet their lookup row as usual.
+    Hot keys number at most ``most_hot_keys``, so their lookup rows are broadcast and their facts stay where they
+    are. A lookup row is only broadcast when its values take no more than ``most_bytes``: the
+    product of the two bounds the broadcast. Facts without a key match nothing and are not joined; the
+    others meet their lookup row in a shuffle join, in which no key is hot.
+
+    Facts are read once per part, so they should be cheap to derive; the parts are exact complements.
     """
-    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    names = list(dict.fromkeys([*facts.columns, *values]))
+    keyed = facts.filter(F.col(key).isNotNull())
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     hot_keys = F.broadcast(frequent_keys(counts, "_rows", most_hot_keys).select(key))
-    hot_names = [f"_hot_{v}" for v in values]
+    lookup = lookup.select(key, *values)
     size = sum((F.coalesce(F.octet_length(F.col(v).cast("string")), F.lit(0)) for v in values), F.lit(0))
-    hot = lookup.filter(size <= most_bytes).join(hot_keys, key, "left_semi").select(
-        key, F.lit(True).alias("_hot"), *[F.col(v).alias(h) for v, h in zip(values, hot_names)]
-    )
-    marked = facts.join(F.broadcast(hot), key, "left")
-    # The task number tells copies of a row apart and, unlike a random number, stays the same when a task is repeated.
-    scattered = 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *facts.columns), F.lit(1024)).cast("int")
-    spread = F.when(F.col("_hot"), scattered).otherwise(0)
-    cold = lookup.select(key, F.lit(0).alias("_salt"), *[F.col(v).alias(f"_cold_{v}") for v in values])
-    joined = marked.withColumn("_salt", spread).join(cold, [key, "_salt"], "left")
-    return joined.select(
-        *facts.columns, *[F.coalesce(F.col(h), F.col(f"_cold_{v}")).alias(v) for v, h in zip(values, hot_names)]
+    # Hot keys that the lookup lacks are among these as well, with NULL values.
+    hot = hot_keys.join(lookup.join(hot_keys, key, "left_semi"), key, "left").filter(size <= most_bytes)
+
+    hot_part = keyed.join(F.broadcast(hot), key)
+    other_part = keyed.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup, key, "left")
+    types = dict(lookup.dtypes)
+    keyless = facts.filter(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast(types[v]).alias(v) for v in values]
     )
+    return hot_part.select(*names).unionByName(other_part.select(*names)).unionByName(keyless.select(*names))
 
 
 def first_n_per_group(
