@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.llm import chat, decontaminate, mixing, simple8b, url_reputation
+from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, language_id, mixing, simple8b, url_reputation
 from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,44 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def fold(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo; a NULL id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
+# --- 2: language identification ---
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(*language_id.sample(docs, fold(5) != 0))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op2_language_id"] = op2_language_id
+
+# --- 3: language-model scores ---
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bilinear_lm.score(table(spark, sf_dir, "documents"), fold(10) != 0)
+    return found.select(
+        "doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+QUERIES["op3_lm_score"] = op3_lm_score
+
+# --- 5: document fingerprints ---
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_fingerprint"] = op5_fingerprint
+
 # --- 6: benchmark decontamination ---
 
 
