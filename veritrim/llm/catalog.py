@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, language_id, mixing, simple8b, url_reputation
+from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, html_text, jaccard_join, language_id, mixing, simple8b, url_reputation
 from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,30 @@ def fold(folds: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
 
 
+# --- 1: n-gram Jaccard join ---
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_jaccard_join"] = op1_jaccard_join
+ORACLES["op1_jaccard_join"] = f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+  UNION SELECT rid, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+shared AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+linked AS (SELECT x, y FROM shared JOIN sizes a ON a.rid = x JOIN sizes b ON b.rid = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
+reach AS (SELECT rid AS x, rid AS y FROM words UNION SELECT reach.x, linked.y FROM reach JOIN linked ON linked.x = reach.y)
+SELECT words.doc_id, any_value(coalesce(sizes.n, 0)) AS n_shingles, min(other.doc_id) AS component_id
+FROM words LEFT JOIN sizes USING (rid) JOIN reach ON reach.x = words.rid JOIN words other ON other.rid = reach.y
+GROUP BY words.rid, words.doc_id
+"""
+
 # --- 2: language identification ---
 
 
@@ -51,6 +75,16 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_lm_score"] = op3_lm_score
 
+# --- 4: HTML extraction ---
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(html_text.sample(pages)))
+
+
+QUERIES["op4_html_text"] = op4_html_text
+
 # --- 5: document fingerprints ---
 
 
