@@ -5,12 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritrim.llm import catalog, mixing, simple8b
+from veritrim.llm import catalog, decontaminate, jaccard_join, language_id, mixing, simple8b
 from veritrim.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Mean probability of the predicted language below which a document is rejected.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: not ``und``, and with a score of at least ``LEAST_SCORE``.
+
+    The model learns from the labelled documents at hand. A document without a label gets the predicted one; others
+    keep theirs.
+    """
+    model = language_id.fit(*language_id.sample(docs, F.lit(True)))
+    found = language_id.predict(docs, model).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id; of repeated rows, one."""
+    found = jaccard_join.jaccard_components(docs)
+    kept = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = kept.select(F.col("doc_id").alias("_doc_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    leaks = found.filter("contaminated").select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(leaks["_doc_id"]) & (F.xxhash64(docs["text"]) == leaks["_hash"])
+    return docs.join(leaks, same, "left_anti")
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
@@ -23,7 +54,13 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simple8b.read_documents(spark, path, with_ids=False)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources), ("token_ids", token_ids)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mix_sources),
+    ("token_ids", token_ids),
+]
 #: SQL has no language model, rounding or tokenizer; ``tests/llm`` compares stage by stage.
 ORACLE_SQL = None
 
