@@ -10,7 +10,10 @@ shards are the tasks that wrote them, in the order of doc_id.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,7 +116,8 @@ class Pieces(dict):
     (``tests/llm`` compares with whole texts). Most pieces of a text are known ones. ``most`` bounds the memory.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores among them
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -123,8 +127,6 @@ class Pieces(dict):
 
     @staticmethod
     def split(text: str) -> list[str]:
-        import re
-
         if "  " in text or re.search(r" (?=\s|$)", text):  # a space joins the white space around it
             return [p for p in re.split(r"(?= (?=\S))", text) if p]
         first, *rest = text.split(" ")
@@ -137,8 +139,10 @@ class Pieces(dict):
         if len(self) + len(new) > self.most and len(self):
             self.clear()
             new = list(set().union(*parts))
-        for piece, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(coded.ids, np.uint32).tobytes()
+        for start in range(0, len(new), 4096):
+            some = new[start : start + 4096]
+            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self[piece] = array("I", coded.ids).tobytes()
         return [np.frombuffer(b"".join(map(self.__getitem__, p)), np.uint32) for p in parts]
 
 
@@ -207,7 +211,8 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # a chunk at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 blobs = [np.frombuffer(row[c], t) for c, t in (("words", "<u8"), ("offsets", "<i8"), ("large", "<u8"))]
                 ids = decode(*blobs, row["n_ids"]).astype("<u4")
                 ends = np.cumsum(np.array(row["lengths"], np.int64))
