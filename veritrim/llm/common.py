@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritrim.session import ship_package, written
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "arrow_map", "lower_ascii", "table", "written"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "arrow_map", "lower_ascii", "sized", "table", "written"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -27,6 +27,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if its rows, which are counted, are at most ``most``; else Spark joins by a shuffle.
+
+    For narrow tables that are read from a written result, so that counting costs little.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrim.llm.common import lower_ascii, written
+from veritrim.llm.common import lower_ascii, sized, written
 
 #: Between words: every ASCII character but 0-9 and a-z (A-Z are lower-cased before).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,15 +45,10 @@ def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows, which are counted, are few."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def anchored(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The windows with the term to look them up by: the rarest in the training texts, and its first offset."""
     terms = windows.select(F.explode("window").alias("term")).distinct()
-    training = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(_sized(written(terms, "terms")), "term")
+    training = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(sized(written(terms, "terms"), MOST_BROADCAST), "term")
     postings = training.groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
     placed = windows.select("window", "items", F.posexplode("window").alias("offset", "term"))
     rarity = F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "term", "offset")
@@ -71,7 +66,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFr
     end = F.array(F.lit(END))
     none = F.array().cast("array<string>")
     sentinel = docs.sparkSession.range(1).select(none.alias("window"), none.alias("items"), F.lit(END).alias("term"), F.lit(0).alias("offset"))
-    index = _sized(anchors.unionByName(sentinel))
+    index = sized(anchors.unionByName(sentinel), MOST_BROADCAST)
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(words_of(F.col("text")), end).alias("words"))
     postings = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("position", "posted"))
     start = F.col("position") - F.col("offset")
@@ -128,6 +123,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     ).drop("_copy")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns) without an occurrence of a window, unchanged."""
+    found = contamination(docs, benchmark, size).filter("contaminated")
+    leaks = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    leaks = sized(written(leaks, "leaks"))
+    same = docs["doc_id"].eqNullSafe(leaks["_doc_id"]) & (F.xxhash64(docs["text"]) == leaks["_text_hash"])
+    return docs.join(leaks, same, "left_anti")
+
+
 def proximity_hits(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     """query_id, doc_id, text_hash, position: both terms of a query (query_id, first, second) at most ``within`` words apart.
 
@@ -137,6 +141,6 @@ def proximity_hits(docs: DataFrame, queries: DataFrame, within: int) -> DataFram
     postings = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("position", "posted"))
     around = F.slice("words", F.greatest(F.col("position") - within, F.lit(0)) + 1, 2 * within + 1)
     return (
-        postings.join(_sized(queries), (F.col("posted") == F.col("first")) & F.array_contains(around, F.col("second")))
+        postings.join(sized(queries, MOST_BROADCAST), (F.col("posted") == F.col("first")) & F.array_contains(around, F.col("second")))
         .select("query_id", "doc_id", "text_hash", "position")
     )

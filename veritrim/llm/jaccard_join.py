@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrim.llm.common import LOWER_BYTES, arrow_map, texts_of, written
+from veritrim.llm.common import LOWER_BYTES, arrow_map, sized, texts_of, written
 
 WIDTH = 5
 #: Similarity as a fraction: 4 / 5.
@@ -30,8 +30,6 @@ PART, WHOLE = 4, 5
 COMMON_IN_BATCH, MOST_COMMON = 3, 500_000
 #: Rows of one common shingle that go to one task.
 SALT_ROWS = 2000
-#: Keys are broadcast up to so many, which are counted first; beyond it they are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 
 _RNG = np.random.default_rng(17)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -265,10 +263,6 @@ def runs(prefix: DataFrame) -> DataFrame:
     return arrow_map(ordered, task, ", ".join(f"{c} long" for c in names.split()))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -304,7 +298,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     close = written(arrow_map(possible, bound, "a long, b long, n_a long, n_b long"), "jaccard-close")
     needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = nodes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
-    texts = _sized(written(texts, "jaccard-needed"))
+    texts = sized(written(texts, "jaccard-needed"))
     same = docs["doc_id"].eqNullSafe(texts["_doc_id"]) & (docs["text_hash"] == texts["_text_hash"])
     found = arrow_map(docs.join(texts, same).select("node", "text"), shingles, "node long, shingles binary")
     sets = written(found.dropDuplicates(["node"]), "jaccard-sets")
@@ -367,13 +361,8 @@ def across(rows: DataFrame) -> DataFrame:
     return pairs.select(*_ordered(F.col("a"), F.col("b"))).distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text; other columns are ignored).
-
-    ``component_id`` is the smallest doc_id that links lead to, the row's own included. Equal sets always link.
-    NULL, empty and blank texts have no shingles and link with nothing, not even each other. Repeated rows are rows
-    of their own. A NULL doc_id never names a component of others; alone it has none. Sets are told apart by 64-bit hashes.
-    """
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n (shingles), root (the same for all rows of a component) of each row of ``docs``; written."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     described = written(describe(docs), "jaccard-described")
@@ -404,14 +393,39 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     again = verified(written(rest.join(stars.filter("a < b").distinct(), ["a", "b"], "left_anti"), "jaccard-rest"), nodes, docs)
     ends = roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     final = written(components(ends.unionByName(again)), "jaccard-final")
+    named = rows.join(final, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
+    return written(named, "jaccard-named")
 
-    named = rows.join(final, "node", "left").select(
-        "doc_id", "n", F.coalesce("root", "node").alias("root")
-    )
-    named = written(named, "jaccard-named")
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    ``component_id`` is the smallest doc_id that links lead to, the row's own included. Equal sets always link.
+    NULL, empty and blank texts have no shingles and link with nothing, not even each other. Repeated rows are rows
+    of their own. A NULL doc_id never names a component of others; alone it has none. Sets are told apart by 64-bit hashes.
+    """
+    named = linked_rows(docs)
     smallest = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(smallest, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest (doc_id, text hash) stays.
+
+    Of repeated rows one stays. Texts without words all stay. Rows keep their columns and values.
+    """
+    rows = linked_rows(docs).filter("n > 0")
+    name = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")  # NULL ids last
+    first = rows.groupBy("root").agg(F.min(name).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    others = rows.join(first, "root").select("doc_id", "text_hash", (name == F.col("first")).alias("stays"))
+    others = others.groupBy("doc_id", "text_hash").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    listed = sized(written(others.filter("not stays or rows > 1").withColumnRenamed("doc_id", "_doc_id"), "jaccard-listed"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    same = hashed["doc_id"].eqNullSafe(listed["_doc_id"]) & (hashed["_text_hash"] == listed["text_hash"])
+    alone = hashed.join(listed, same, "left_anti").drop("_text_hash")
+    repeated = hashed.join(listed.filter("stays"), same).dropDuplicates(["_doc_id", "_text_hash"])
+    return alone.unionByName(repeated.select(docs.columns))

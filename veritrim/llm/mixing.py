@@ -161,12 +161,17 @@ def mix(
 
 
 def repeat_by_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as many times as ``mix`` says; rows with no copy go."""
-    numbered = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(
-        "_nth", F.row_number().over(Window.partitionBy("_key").orderBy("source", word_count(F.col("text"))))
-    )
-    wanted = copies.filter("copies > 0").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"), F.col("nth").alias("_nth"), "copies"
-    )
-    out = numbered.join(wanted.withColumnRenamed("copies", "_copies"), ["_key", "_nth"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Each row of ``docs`` as many times as ``copies`` (of ``mix``) says; rows with no copy go.
+
+    Rows and copies of a doc_id meet in one shuffle; those of the same source and size are paired in any order.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")
+    row = F.struct(*docs.columns)
+    rows = docs.select(name, F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), row.alias("_row"))
+    told = copies.select(name, F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    both = rows.unionByName(told, allowMissingColumns=True).repartition("_key")
+    alike = Window.partitionBy("_key", "_source", "_size", F.col("_row").isNull()).orderBy("_copies")
+    paired = Window.partitionBy("_key", "_source", "_size", "_nth")
+    both = both.withColumn("_nth", F.row_number().over(alike)).withColumn("_copies", F.max("_copies").over(paired))
+    wanted = both.filter("_row is not null and _copies > 0")
+    return wanted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
