@@ -29,18 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id; of repeated rows, one."""
-    found = jaccard_join.jaccard_components(docs)
-    kept = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return jaccard_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.filter("contaminated").select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(leaks["_doc_id"]) & (F.xxhash64(docs["text"]) == leaks["_hash"])
-    return docs.join(leaks, same, "left_anti")
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
