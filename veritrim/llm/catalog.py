@@ -203,7 +203,7 @@ def _weight_sql(level: str) -> str:
     """The method of moments in SQL: weight of the prior over the members of a level."""
     return f"""(
   SELECT 1 / least(greatest(coalesce(CASE WHEN n - sq / n - (k - 1) > 0
-    THEN (s / (mu * (1 - mu)) - (k - 1)) / (n - sq / n - (k - 1)) END, 0.5), 0.001), 0.999) - 1
+    THEN (s / (mu * (1 - mu)) - (k - 1)) / (n - sq / n - (k - 1)) END, 0.5), 0.001), 1.0e0 / 3) - 1
   FROM (SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS k, sum(CAST(n AS DOUBLE) * n) AS sq,
       sum(n * pow(CAST(bad AS DOUBLE) / n - mu, 2)) AS s, any_value(mu) AS mu FROM {level}, base WHERE n > 0))"""
 

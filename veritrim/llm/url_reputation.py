@@ -66,7 +66,10 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 
 def _spread(members: DataFrame, mean: float) -> float:
-    """Weight of the prior over these members (columns n, bad), by the method of moments; one row reaches the driver."""
+    """Weight of the prior over these members (columns n, bad), by the method of moments; one row reaches the driver.
+
+    It weighs at least two pages, so that hosts at odds with each other do not make every page a verdict.
+    """
     n, k, square, between = members.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("double"),
         F.count(F.lit(1)),
@@ -75,7 +78,7 @@ def _spread(members: DataFrame, mean: float) -> float:
     ).first()
     free = n - square / n - (k - 1) if n else 0.0
     rho = (between / (mean * (1 - mean)) - (k - 1)) / free if free > 0 else 0.5
-    return 1 / min(max(rho, 0.001), 0.999) - 1
+    return 1 / min(max(rho, 0.001), 1 / 3) - 1
 
 
 def host_reputation(outcomes: DataFrame, limits: Limits = Limits()) -> DataFrame:
