@@ -7,7 +7,7 @@ share last, so that passages found everywhere seldom are what brings texts toget
 Nodes that share a prefix shingle form a run, sorted and banded by set size; in a band each is paired with the first (a
 star). Pairs are checked by bitmap signatures, whose bit counts bound the overlap from above, then by intersection of
 the sorted shingles. Runs that still hold several components are joined in tiles of the sizes that may link, across components
-only. So a group of many copies costs as many pairs as it has members, and no link between different components is lost.
+only, and by signatures before any pair leaves the tile. So a group of many copies costs as many pairs as it has members, and no link between different components is lost.
 
 Any choice of the shingles that come last gives the same result; it only decides how many pairs are looked at.
 """
@@ -331,32 +331,57 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def near_enough(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which of the pairs may link by their signatures; array operations over pairs of like lengths."""
+    out = np.zeros(len(a), bool)
+    widths = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for wide in np.unique(widths, axis=0):
+        mine = np.flatnonzero((widths == wide).all(axis=1))
+        x, y = (np.frombuffer(b"".join(side[k] for k in mine), np.uint64).reshape(len(mine), -1) for side in (a, b))
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+        total = n_a[mine] + n_b[mine]
+        overlap = (total - differ) // 2
+        out[mine] = WHOLE * overlap >= PART * (total - overlap)
+    return out
+
+
 def across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of one token (token, n, node, root) whose sizes may link and whose roots differ.
+    """Pairs (a, b) of nodes of one token (token, n, node, root, signature) that may link by size and signature, and whose
+    roots differ.
 
-    Rows of a token come sorted by size; a task holds sizes and names of those that may link with the next, and joins
-    tile after tile with them.
+    Rows of a token come sorted by size; a task holds those whose size may link with the next, and joins tile after
+    tile with them. Only pairs that pass the bound of their signatures leave it.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window = np.zeros((4, 0), np.int64)
+        window, held = np.zeros((4, 0), np.int64), np.zeros(0, object)
         for batch in batches:
             whole = np.stack([np.asarray(batch.column(c)) for c in ("token", "n", "node", "root")])
-            for start in range(0, whole.shape[1], 512):
-                tile = whole[:, start : start + 512]
+            signs = np.array([*batch.column("signature").to_pylist(), None], object)[:-1]
+            for start in range(0, whole.shape[1], 256):
+                tile = whole[:, start : start + 256]
                 reach = (window[0] == tile[0, 0]) & (window[1] * WHOLE >= tile[1, 0] * PART)
                 window = np.concatenate([window[:, reach], tile], axis=1)
+                held = np.concatenate([held[reach], signs[start : start + 256]])
                 old = window.shape[1] - tile.shape[1]
-                for lo in range(0, window.shape[1], 4096):
-                    side = window[:, lo : lo + 4096]
+                for lo in range(0, window.shape[1], 256):
+                    side = window[:, lo : lo + 256]
                     fits = (side[0][:, None] == tile[0]) & (side[3][:, None] != tile[3]) & (side[1][:, None] * WHOLE >= tile[1] * PART)
                     fits &= np.arange(lo, lo + side.shape[1])[:, None] < old + np.arange(tile.shape[1])
                     i, j = np.nonzero(fits)
-                    if len(i):
-                        yield _record([pa.array(side[2][i], pa.int64()), pa.array(tile[2][j], pa.int64())], "a b")
-                window = window[:, window[0] == tile[0, -1]]
-
-    ordered = rows.select("token", "n", "node", "root").repartition("token").sortWithinPartitions("token", "n", "node")
+                    for k in range(0, len(i), 8192):
+                        x, y = i[k : k + 8192], j[k : k + 8192]
+                        near = near_enough(list(held[lo + x]), list(held[old + y]), side[1][x], tile[1][y])
+                        if near.any():
+                            yield _record([pa.array(side[2][x[near]], pa.int64()), pa.array(tile[2][y[near]], pa.int64())], "a b")
+                last = window[0] == tile[0, -1]
+                window, held = window[:, last], held[last]
+
+    ordered = rows.select("token", "n", "node", "root", "signature").repartition("token").sortWithinPartitions("token", "n", "node")
     pairs = arrow_map(ordered, task, "a long, b long")
     return pairs.select(*_ordered(F.col("a"), F.col("b"))).distinct()
 
@@ -388,7 +413,9 @@ def linked_rows(docs: DataFrame) -> DataFrame:
 
     placed = shared.select("token", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    rest = across(placed.join(mixed_tokens.select("token"), "token", "left_semi"))
+    told = nodes.select("node", "signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed_rows = shared.select("token", "n", "node").join(mixed_tokens.select("token"), "token", "left_semi")
+    rest = across(mixed_rows.join(told, "node"))
     # Stars were looked at already.
     again = verified(written(rest.join(stars.filter("a < b").distinct(), ["a", "b"], "left_anti"), "jaccard-rest"), nodes, docs)
     ends = roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b"))
