@@ -47,8 +47,11 @@ def test_keep_last(spark):
     assert kept() == [0, 4, 5, 6]
     assert kept(missing_time_wins=True) == [2, 4, 5, 6]
     assert kept(time_col=None) == [2, 4, 5, 6]
-    with pytest.raises(ValueError):
-        keep_last(df, time_col=None)
+    # Without a tie-break or a time column: by the other columns, the same row however the table lies.
+    for parts in (1, 5):
+        assert [keep_last(df.repartition(parts), **kw).count() for kw in ({}, {"time_col": None})] == [4, 4]
+    ties = spark.createDataFrame([("1", "b", 1), ("1", "a", 2), ("1", "b", 0)], "id string, run_id string, v int")
+    assert {tuple(keep_last(ties.repartition(p), ["id"], None).first()) for p in (1, 2, 3)} == {("1", "b", 1)}
 
 
 def test_clean_log_deduplicates_before_it_drops(spark):

@@ -6,10 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veritrim.plans.results_log import results_log
-from veritrim.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts, over all cores also when they are few."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
-
-
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The files of a table as a stream; the pattern matches a single file as well as a folder of files."""
     schema = table(spark, sf_dir, name).schema
@@ -33,16 +26,6 @@ def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_log(table(spark, sf_dir, "events"))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded: sums of doubles depend on the order of the rows in their last digits."""
-    return df.select(
-        *[
-            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
 RESULTS_LOG_SQL = """
 results_log AS (
   SELECT event_id,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.catalog.base import Query, log_of, over_clean, over_log, rounded, table
+from veritrim.catalog.base import Query, log_of, over_clean, over_log, table
 from veritrim.functions.metrics import hallucination, model_family
 from veritrim.operators.aggregates import (
     clean_log,
@@ -37,7 +37,7 @@ def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _means(by: list[str], metrics: list[str] | tuple[str, ...]) -> Query:
-    return lambda spark, sf_dir: rounded(mean_metrics(_clean(spark, sf_dir), by, metrics))
+    return lambda spark, sf_dir: mean_metrics(_clean(spark, sf_dir), by, metrics)
 
 
 def _condition_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +50,12 @@ def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delta_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(model_dataset_deltas(condition_cells(_clean(spark, sf_dir))))
+    return model_dataset_deltas(condition_cells(_clean(spark, sf_dir)))
 
 
 def _clean_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean_log(results_log_text(table(spark, sf_dir, "events")), tiebreak=TIE)
-    return rounded(
-        cleaned.select("event_id", "id", "dataset", "model_name", "compressed", "compression_label", *BOTH)
-    )
+    return cleaned.select("event_id", "id", "dataset", "model_name", "compressed", "compression_label", *BOTH)
 
 
 def _family_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,41 +70,35 @@ def _hallucination_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "compression_effect": lambda s, d: rounded(compression_effect(log_of(s, d), TIE)),
+    "compression_effect": lambda s, d: compression_effect(log_of(s, d), TIE),
     "dedup_keep_last": lambda s, d: keep_last(log_of(s, d), tiebreak=TIE),
     "clean_required": _clean_required,
-    "paired_delta": lambda s, d: rounded(paired_delta(log_of(s, d))),
-    "paired_delta_dedup": lambda s, d: rounded(latest_paired_delta(log_of(s, d), tiebreak=TIE)),
-    "paired_delta_by_id": lambda s, d: rounded(delta_stats(paired_delta(log_of(s, d), ["id"]))),
-    "delta_stats": lambda s, d: rounded(delta_stats(paired_delta(log_of(s, d)))),
-    "experiment_summary": lambda s, d: rounded(experiment_summary(log_of(s, d))),
+    "paired_delta": lambda s, d: paired_delta(log_of(s, d)),
+    "paired_delta_dedup": lambda s, d: latest_paired_delta(log_of(s, d), tiebreak=TIE),
+    "paired_delta_by_id": lambda s, d: delta_stats(paired_delta(log_of(s, d), ["id"])),
+    "delta_stats": lambda s, d: delta_stats(paired_delta(log_of(s, d))),
+    "experiment_summary": lambda s, d: experiment_summary(log_of(s, d)),
     "mean_nli_model_mode": _means(BY_MODE, ["nli_support"]),
     "mean_hall_model_mode": _means(BY_MODE, ["hallucination"]),
     "mean_hall_model": _means(["model_name"], ["hallucination"]),
     "mean_metrics_dataset": _means(["dataset"], METRICS),
     "mean_nli_dataset_mode": _means(["dataset", "compression_label"], ["nli_support"]),
-    "condition_means": lambda s, d: rounded(_condition_means(s, d)),
-    "delta_pivot": lambda s, d: rounded(_pivot(s, d)),
-    "delta_by_model": lambda s, d: rounded(mean_delta(_pivot(s, d), "model_name")),
-    "delta_by_dataset": lambda s, d: rounded(mean_delta(_pivot(s, d), "dataset")),
+    "condition_means": lambda s, d: _condition_means(s, d),
+    "delta_pivot": lambda s, d: _pivot(s, d),
+    "delta_by_model": lambda s, d: mean_delta(_pivot(s, d), "model_name"),
+    "delta_by_dataset": lambda s, d: mean_delta(_pivot(s, d), "dataset"),
     "delta_guarded": _delta_guarded,
-    "mean_hall_family": lambda s, d: rounded(
-        family_means(mean_metrics(_clean(s, d), ["model_name"], ["hallucination"]))
-    ),
+    "mean_hall_family": lambda s, d: family_means(mean_metrics(_clean(s, d), ["model_name"], ["hallucination"])),
     "family_order": _family_order,
-    "series_by_model": lambda s, d: rounded(
-        mode_series(mean_metrics(_clean(s, d), BY_MODE, ["hallucination"]), "model_name", "mean_hallucination_rate")
-    ),
-    "series_by_dataset": lambda s, d: rounded(
-        mode_series(
+    "series_by_model": lambda s, d: mode_series(mean_metrics(_clean(s, d), BY_MODE, ["hallucination"]), "model_name", "mean_hallucination_rate"),
+    "series_by_dataset": lambda s, d: mode_series(
             mean_metrics(_clean(s, d), ["dataset", "compression_label"], ["nli_support"]),
             "dataset",
             "mean_nli_support",
-        )
-    ),
+        ),
     "tokens_vs_hallucination": lambda s, d: token_scatter(_clean(s, d)),
-    "tokens_hallucination_bins": lambda s, d: rounded(token_bins(_clean(s, d))),
-    "insights": lambda s, d: rounded(insights(condition_cells(_clean(s, d)))),
+    "tokens_hallucination_bins": lambda s, d: token_bins(_clean(s, d)),
+    "insights": lambda s, d: insights(condition_cells(_clean(s, d))),
     "hallucination_flag": _hallucination_flag,
     "model_family": lambda s, d: log_of(s, d).select(
         "event_id", "model_name", model_family(F.col("model_name")).alias("model_family")
@@ -129,14 +121,14 @@ _STATS = """CAST(count(*) AS BIGINT) AS total,
   CAST(count(*) FILTER (delta_nli > 0) AS BIGINT) AS improved,
   CAST(count(*) FILTER (delta_nli < 0) AS BIGINT) AS worsened,
   CAST(count(*) FILTER (delta_nli = 0) AS BIGINT) AS unchanged,
-  round(CASE WHEN count(*) > 0 THEN count(*) FILTER (delta_nli > 0) * 100.0e0 / count(*) END, 6) AS improved_pct,
-  round(CASE WHEN count(*) > 0 THEN count(*) FILTER (delta_nli < 0) * 100.0e0 / count(*) END, 6) AS worsened_pct,
-  round(coalesce(avg(delta_nli), 0.0e0), 6) AS avg_delta_nli"""
+  CASE WHEN count(*) > 0 THEN count(*) FILTER (delta_nli > 0) * 100.0e0 / count(*) END AS improved_pct,
+  CASE WHEN count(*) > 0 THEN count(*) FILTER (delta_nli < 0) * 100.0e0 / count(*) END AS worsened_pct,
+  coalesce(avg(delta_nli), 0.0e0) AS avg_delta_nli"""
 
 _SUMMARY = """CAST(count(*) AS BIGINT) AS count,
-  round(avg(exact_match), 6) AS avg_exact_match, round(avg(keyword_match), 6) AS avg_keyword_match,
-  round(avg(self_consistency), 6) AS avg_self_consistency, round(avg(nli_support), 6) AS avg_nli_support,
-  round(avg(hallucination), 6) AS hallucination_rate FROM results_log"""
+  avg(exact_match) AS avg_exact_match, avg(keyword_match) AS avg_keyword_match,
+  avg(self_consistency) AS avg_self_consistency, avg(nli_support) AS avg_nli_support,
+  avg(hallucination) AS hallucination_rate FROM results_log"""
 
 SUMMARY_SQL = over_log(
     f"""
@@ -159,20 +151,20 @@ _CONDITIONS = """, conditions AS (
     sum(sum_hall) AS sum_hall, sum(n_hall) AS n_hall
   FROM conditions GROUP BY model_name, dataset
 )"""
-_WIDE_COLUMNS = """model_name, dataset, round(nli_support_0, 6) AS nli_support_0, round(nli_support_1, 6) AS nli_support_1,
-  round(hallucination_0, 6) AS hallucination_0, round(hallucination_1, 6) AS hallucination_1,
-  round(delta_nli, 6) AS delta_nli, round(delta_hallucination, 6) AS delta_hallucination"""
+_WIDE_COLUMNS = """model_name, dataset, nli_support_0 AS nli_support_0, nli_support_1 AS nli_support_1,
+  hallucination_0 AS hallucination_0, hallucination_1 AS hallucination_1,
+  delta_nli AS delta_nli, delta_hallucination AS delta_hallucination"""
 
 
 def _mean_sql(by: str, metric: str) -> str:
     name = "mean_nli_support" if metric == "nli_support" else "mean_hallucination_rate"
-    return over_clean("", f"SELECT {by}, round(avg({metric}), 6) AS {name} FROM clean GROUP BY {by}")
+    return over_clean("", f"SELECT {by}, avg({metric}) AS {name} FROM clean GROUP BY {by}")
 
 
 def _delta_sql(by: str) -> str:
     return over_clean(
         _CONDITIONS,
-        f"""SELECT {by}, round(avg(delta_nli), 6) AS delta_nli, round(avg(delta_hallucination), 6) AS delta_hallucination
+        f"""SELECT {by}, avg(delta_nli) AS delta_nli, avg(delta_hallucination) AS delta_hallucination
         FROM wide GROUP BY {by}""",
     )
 
@@ -180,8 +172,8 @@ def _delta_sql(by: str) -> str:
 def _series_sql(category: str, metric: str) -> str:
     return over_clean(
         "",
-        f"""SELECT {category}, round(avg({metric}) FILTER (compressed <> 1), 6) AS uncompressed,
-        round(avg({metric}) FILTER (compressed = 1), 6) AS compressed FROM clean GROUP BY {category}""",
+        f"""SELECT {category}, avg({metric}) FILTER (compressed <> 1) AS uncompressed,
+        avg({metric}) FILTER (compressed = 1) AS compressed FROM clean GROUP BY {category}""",
     )
 
 
@@ -197,8 +189,8 @@ def _finding(kind: str, entity: str, order: str) -> str:
 
 
 def _entity(name: str) -> str:
-    return f""", by_{name} AS (SELECT {name}, round(avg(delta_nli), 6) AS delta_nli,
-    round(avg(delta_hallucination), 6) AS delta_hall, round(sum(sum_hall) / sum(n_hall), 6) AS rate FROM wide GROUP BY {name})"""
+    return f""", by_{name} AS (SELECT {name}, avg(delta_nli) AS delta_nli,
+    avg(delta_hallucination) AS delta_hall, sum(sum_hall) / sum(n_hall) AS rate FROM wide GROUP BY {name})"""
 
 
 _INSIGHTS = over_clean(
@@ -232,17 +224,17 @@ ORACLES: dict[str, str] = {
 )
 SELECT event_id, id, dataset, model_name, CAST(compressed AS DOUBLE) AS compressed,
   CASE WHEN compressed = 1 THEN 'compressed' ELSE 'uncompressed' END AS compression_label,
-  round(nli_support, 6) AS nli_support, round(hallucination, 6) AS hallucination
+  nli_support AS nli_support, hallucination AS hallucination
 FROM latest WHERE nli_support IS NOT NULL AND hallucination IS NOT NULL"""
     ),
     "paired_delta": over_log(
-        f"{_RAW_PAIRS} SELECT {_PAIR_KEY}, round(delta_nli, 6) AS delta_nli, "
-        "round(delta_hallucination, 6) AS delta_hallucination FROM pairs"
+        f"{_RAW_PAIRS} SELECT {_PAIR_KEY}, delta_nli AS delta_nli, "
+        "delta_hallucination AS delta_hallucination FROM pairs"
     ),
     "paired_delta_dedup": over_clean(
         _CLEAN_PAIRS,
-        f"SELECT {_PAIR_KEY}, round(delta_nli, 6) AS delta_nli, "
-        "round(delta_hallucination, 6) AS delta_hallucination FROM pairs",
+        f"SELECT {_PAIR_KEY}, delta_nli AS delta_nli, "
+        "delta_hallucination AS delta_hallucination FROM pairs",
     ),
     "paired_delta_by_id": over_log(f"{_ID_PAIRS} SELECT {_STATS} FROM pairs"),
     "delta_stats": over_log(f"{_RAW_PAIRS} SELECT {_STATS} FROM pairs"),
@@ -253,14 +245,14 @@ FROM latest WHERE nli_support IS NOT NULL AND hallucination IS NOT NULL"""
     "mean_nli_dataset_mode": _mean_sql("dataset, compression_label", "nli_support"),
     "mean_metrics_dataset": over_clean(
         "",
-        """SELECT dataset, round(avg(exact_match), 6) AS mean_exact_match, round(avg(keyword_match), 6) AS mean_keyword_match,
-        round(avg(self_consistency), 6) AS mean_self_consistency, round(avg(nli_support), 6) AS mean_nli_support,
-        round(avg(hallucination), 6) AS mean_hallucination_rate FROM clean GROUP BY dataset""",
+        """SELECT dataset, avg(exact_match) AS mean_exact_match, avg(keyword_match) AS mean_keyword_match,
+        avg(self_consistency) AS mean_self_consistency, avg(nli_support) AS mean_nli_support,
+        avg(hallucination) AS mean_hallucination_rate FROM clean GROUP BY dataset""",
     ),
     "condition_means": over_clean(
         _CONDITIONS,
-        """SELECT model_name, dataset, compressed, round(nli, 6) AS mean_nli_support,
-        round(hall, 6) AS mean_hallucination_rate FROM conditions""",
+        """SELECT model_name, dataset, compressed, nli AS mean_nli_support,
+        hall AS mean_hallucination_rate FROM conditions""",
     ),
     "delta_pivot": over_clean(_CONDITIONS, f"SELECT {_WIDE_COLUMNS} FROM wide"),
     "delta_by_model": _delta_sql("model_name"),
@@ -272,7 +264,7 @@ FROM latest WHERE nli_support IS NOT NULL AND hallucination IS NOT NULL"""
     ),
     "mean_hall_family": over_clean(
         f""", models AS (SELECT {_FAMILY} AS model_family, avg(hallucination) AS rate FROM clean GROUP BY model_name)""",
-        f"""SELECT model_family, round(avg(rate), 6) AS mean_hallucination_rate, {_FAMILY_INDEX} AS order_idx
+        f"""SELECT model_family, avg(rate) AS mean_hallucination_rate, {_FAMILY_INDEX} AS order_idx
         FROM models GROUP BY model_family HAVING {_FAMILY_INDEX} IS NOT NULL""",
     ),
     "family_order": over_log(
@@ -288,7 +280,7 @@ FROM latest WHERE nli_support IS NOT NULL AND hallucination IS NOT NULL"""
     "tokens_hallucination_bins": over_clean(
         "",
         """SELECT compression_label, CAST(floor(orig_tokens / 50.0e0) * 50 AS BIGINT) AS tokens_from,
-        CAST(count(*) AS BIGINT) AS points, round(avg(hallucination), 6) AS mean_hallucination_rate
+        CAST(count(*) AS BIGINT) AS points, avg(hallucination) AS mean_hallucination_rate
         FROM clean GROUP BY ALL""",
     ),
     "insights": _INSIGHTS,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrim.catalog.base import Query, documents_of, log_of, over_log, rounded, table
+from veritrim.catalog.base import Query, log_of, over_log, table
 from veritrim.functions.casts import lenient_float, lenient_int, numeric, timestamp
 from veritrim.functions.text import final_answer, first_or_empty, flatten_context
 from veritrim.operators.numbering import number_all, number_capped
@@ -63,14 +63,14 @@ def _results_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.col("text"), F.lit(" #### "), F.col("n_chars").cast("string"))
-    return documents_of(spark, sf_dir).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", final_answer(marked).alias("answer"), final_answer(F.col("text")).alias("unmarked")
     )
 
 
 def _first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in a document as its answer array; the ten first answerable documents per language."""
-    found = documents_of(spark, sf_dir).select(
+    found = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset"),
         "doc_id",
         F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)).alias("answers"),
@@ -85,12 +85,12 @@ def _context_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = F.filter(text_lines(), lambda line: line != "")
     titles = F.transform(filled, lambda line: F.substring_index(line, " ", 1))
     sentences = F.transform(text_lines(), lambda line: F.split(line, r"\. "))
-    return documents_of(spark, sf_dir).select("doc_id", flatten_context(titles, sentences).alias("context"))
+    return table(spark, sf_dir, "documents").select("doc_id", flatten_context(titles, sentences).alias("context"))
 
 
 def _first_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = F.filter(text_lines(), lambda line: line.rlike(HAS_DIGIT))
-    return documents_of(spark, sf_dir).select("doc_id", first_or_empty(numbered).alias("context"))
+    return table(spark, sf_dir, "documents").select("doc_id", first_or_empty(numbered).alias("context"))
 
 
 def _head_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ QUERIES: dict[str, Query] = {
     "jsonl_load": lambda s, d: good_rows(_parsed_lines(s, d)),
     "jsonl_rejects": _jsonl_rejects,
     "multi_source_union": _multi_source_union,
-    "results_load": lambda s, d: rounded(_results_load(s, d)),
+    "results_load": lambda s, d: _results_load(s, d),
     "final_answer_extract": _final_answers,
     "first_answer_filter": _first_answers,
     "context_flatten": _context_flatten,
@@ -169,8 +169,8 @@ QUERIES: dict[str, Query] = {
     "sequential_ids": _sequential_ids,
     "unified_samples": lambda s, d: dialogue_samples(table(s, d, "conversations")),
     "sample_defaults": lambda s, d: sample_defaults(partial_samples(table(s, d, "conversations"))),
-    "lenient_cast": lambda s, d: rounded(_lenient_cast(s, d)),
-    "numeric_coerce": lambda s, d: rounded(_numeric_coerce(s, d)),
+    "lenient_cast": lambda s, d: _lenient_cast(s, d),
+    "numeric_coerce": lambda s, d: _numeric_coerce(s, d),
     "timestamp_coerce": _timestamp_coerce,
 }
 
@@ -199,7 +199,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT CAST(item_id AS VARCHAR), NULL, NULL, text FROM benchmark""",
     "results_load": over_log(
         """SELECT id, dataset, model_name, compressed, orig_tokens, compressed_tokens, prediction,
-        exact_match, keyword_match, round(self_consistency, 6) AS self_consistency, round(nli_support, 6) AS nli_support,
+        exact_match, keyword_match, self_consistency AS self_consistency, nli_support AS nli_support,
         hallucination, run_id, "timestamp" FROM results_log"""
     ),
     "final_answer_extract": r"""SELECT doc_id, CAST(n_chars AS VARCHAR) AS answer,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.catalog.base import Query, documents_of, rounded, table
+from veritrim.catalog.base import Query, table
 from veritrim.catalog.preparation import DIALOGUE_SQL
 from veritrim.functions.metrics import (
     STOPWORDS,
@@ -37,7 +37,7 @@ def _input_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.col("lang")
     model_window = F.when(lang == "en", 600).when(lang == "fr", 2048).when(lang == "es", 200_000)
     tokenizer_window = F.when(lang == "de", 1024)
-    fitted = documents_of(spark, sf_dir).select(
+    fitted = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text"), input_cap(model_window, tokenizer_window).alias("cap")
     )
     return fitted.withColumn("_f", fit_to_window(F.col("text"), F.col("cap"))).select("doc_id", "cap", "_f.*")
@@ -67,7 +67,7 @@ def _altered_text() -> Column:
 
 def _last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = (
-        documents_of(spark, sf_dir)
+        table(spark, sf_dir, "documents")
         .select(F.lit("documents").alias("origin"), F.col("doc_id").alias("row_id"), "text")
         .unionByName(
             table(spark, sf_dir, "events").select(
@@ -105,7 +105,7 @@ def _error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.lit("events").alias("origin"), F.col("event_id").alias("row_id"), message.alias("message")
     )
-    documents = documents_of(spark, sf_dir).select(
+    documents = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("row_id"), F.col("text").alias("message")
     )
     return events.unionByName(documents).select(
@@ -122,7 +122,7 @@ def _sentinel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(kind).alias("type"), message.alias("message"), F.lit(unavailable).alias("unavailable")
         )
 
-    rows = documents_of(spark, sf_dir).select(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("dataset"),
         F.lit(MODELS[0]).alias("model_name"),
@@ -142,29 +142,27 @@ QUERIES: dict[str, Query] = {
     "premise_select": lambda s, d: prompted(s, d).select(
         "id", premise(F.col("context"), F.col("prompt")).alias("premise")
     ),
-    "token_count": lambda s, d: documents_of(s, d).select("doc_id", token_count(F.col("text")).alias("tokens")),
-    "hard_truncate": lambda s, d: documents_of(s, d).select(
+    "token_count": lambda s, d: table(s, d, "documents").select("doc_id", token_count(F.col("text")).alias("tokens")),
+    "hard_truncate": lambda s, d: table(s, d, "documents").select(
         "doc_id", hard_truncate(F.col("text"), 1024).alias("prompt")
     ),
     "input_window": _input_window,
-    "compress_to_budget": lambda s, d: compress_to_budget(documents_of(s, d), ["doc_id"], "text", BUDGET),
+    "compress_to_budget": lambda s, d: compress_to_budget(table(s, d, "documents"), ["doc_id"], "text", BUDGET),
     "compression_decision": _compression_decision,
     "error_classify": _error_classify,
     "sentinel_rows": _sentinel_rows,
-    "normalize_text": lambda s, d: documents_of(s, d).select(
+    "normalize_text": lambda s, d: table(s, d, "documents").select(
         "doc_id", normalize_text(F.col("text")).alias("normalized")
     ),
     "last_number": _last_number,
-    "exact_match": lambda s, d: documents_of(s, d).select(
+    "exact_match": lambda s, d: table(s, d, "documents").select(
         "doc_id", exact_match(_altered_text(), F.col("text")).alias("exact_match")
     ),
-    "keyword_match": lambda s, d: documents_of(s, d).select(
+    "keyword_match": lambda s, d: table(s, d, "documents").select(
         "doc_id", keyword_match(_altered_text(), F.col("text")).alias("keyword_match")
     ),
-    "self_consistency": lambda s, d: rounded(
-        self_consistency(table(s, d, "embeddings"), ["label"], "embedding")
-    ),
-    "softmax_support": lambda s, d: rounded(_softmax_support(s, d)),
+    "self_consistency": lambda s, d: self_consistency(table(s, d, "embeddings"), ["label"], "embedding"),
+    "softmax_support": lambda s, d: _softmax_support(s, d),
 }
 
 TAIL_SQL = (
@@ -283,11 +281,11 @@ ORACLES: dict[str, str] = {
           FROM v a JOIN v b ON a.label = b.label GROUP BY a.label
         ), sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
         SELECT label, CAST(n AS BIGINT) AS responses,
-          round(CASE WHEN n = 1 THEN 1.0e0 ELSE (total - n) / (CAST(n AS DOUBLE) * (n - 1)) END, 6) AS self_consistency
+          CASE WHEN n = 1 THEN 1.0e0 ELSE (total - n) / (CAST(n AS DOUBLE) * (n - 1)) END AS self_consistency
         FROM pairs JOIN sizes USING (label)""",
     "softmax_support": """WITH logits AS (
           SELECT vec_id, label, list_transform([0, 1, 2], lambda c: list_sum(list_filter(CAST(embedding AS DOUBLE[]),
             lambda x, i: (i - 1) % 3 = c))) AS z FROM embeddings)
-        SELECT vec_id, round(CASE WHEN label = 0 THEN 0.0e0 ELSE exp(z[3] - list_max(z))
-          / (exp(z[1] - list_max(z)) + exp(z[2] - list_max(z)) + exp(z[3] - list_max(z))) END, 6) AS support FROM logits""",
+        SELECT vec_id, CASE WHEN label = 0 THEN 0.0e0 ELSE exp(z[3] - list_max(z))
+          / (exp(z[1] - list_max(z)) + exp(z[2] - list_max(z)) + exp(z[3] - list_max(z))) END AS support FROM logits""",
 }

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.catalog.base import Query, arriving, log_of, over_log, rounded, table
+from veritrim.catalog.base import Query, arriving, log_of, over_log, table
 from veritrim.catalog.grouped import SUMMARY_SQL
 from veritrim.catalog.preparation import DIALOGUE_SQL
 from veritrim.catalog.prompts import (
@@ -29,7 +29,7 @@ from veritrim.plans.results_log import results_log
 from veritrim.schemas import MODELS, RESULT_LOG, Settings
 from veritrim.session import shared_folder, ship_package
 from veritrim.sources.readers import no_rows, read_log
-from veritrim.streaming.jobs import score_stream, summary_stream
+from veritrim.streaming.jobs import read_summary, score_stream, summary_stream
 
 RUN_ID = "20240101_000000"
 STARTED = datetime(2024, 1, 1)
@@ -123,7 +123,7 @@ def _running_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "summary")
     log = results_log(arriving(session, sf_dir, "events"))
     summary_stream(log, f"{folder}/summary", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/summary")
+    return read_summary(spark, f"{folder}/summary")
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ QUERIES: dict[str, Query] = {
     "score_results": _score_results,
     "batch_scoring": _batch_scoring,
     "resumable_scoring": _resumable_scoring,
-    "running_summary": lambda s, d: rounded(_running_summary(s, d)),
+    "running_summary": lambda s, d: _running_summary(s, d),
 }
 
 

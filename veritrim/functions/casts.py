@@ -9,6 +9,7 @@ from veritrim.functions.text import strip
 
 # Decimal and exponent notation with optional digit grouping by single underscores.
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_PLAIN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _SHAPE = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
@@ -24,14 +25,15 @@ def lenient_float(c: Column, default: float = 0.0) -> Column:
 
 
 def lenient_int(c: Column, default: int = 0) -> Column:
-    """Truncates towards zero, by way of a double, so ``1.0`` and ``1.9`` both give 1."""
-    return F.coalesce(_finite(c).try_cast("int"), F.lit(int(default)))
+    """A bigint, truncated towards zero, by way of a double, so ``1.0`` and ``1.9`` both give 1."""
+    return F.coalesce(_finite(c).try_cast("bigint"), F.lit(int(default)).cast("bigint"))
 
 
 def numeric(c: Column) -> Column:
-    """Number or NULL."""
-    value = c.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """The finite number a text spells in decimal or exponent notation, without digit grouping; else NULL."""
+    text = strip(c.cast("string"))
+    number = text.try_cast("double")
+    return F.when(text.rlike(_PLAIN) & (F.abs(number) < float("inf")), number)
 
 
 def timestamp(c: Column) -> Column:

@@ -128,3 +128,17 @@ def model_family(name: Column) -> Column:
     for part, label in rules:
         family = family.when(F.contains(text, F.lit(part)), F.lit(label))
     return family.otherwise(name)
+
+
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles as a double, the same in any order of the rows: of decimals of twelve places.
+
+    Groups with a value beyond the range of the decimals are summed as doubles.
+    """
+    digits = c.try_cast("decimal(28,12)")
+    return F.when(F.count(digits) == F.count(c), F.sum(digits).cast("double")).otherwise(F.sum(c))
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean of the values that are there, the same in any order of the rows; NULL without any."""
+    return F.try_divide(exact_sum(c), F.count(c))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrim.functions.casts import numeric, timestamp
-from veritrim.functions.metrics import compression_label, is_error, model_family
+from veritrim.functions.metrics import compression_label, exact_mean, exact_sum, is_error, model_family
 from veritrim.operators.dedup import keep_last
 from veritrim.schemas import FAMILY_ORDER, METRICS, NUMERIC_COLUMNS, REQUIRED_COLUMNS
 
@@ -19,7 +19,7 @@ SUMMARY_NAMES = {m: f"avg_{m}" for m in METRICS} | {"hallucination": "hallucinat
 
 def clean_log(
     log: DataFrame,
-    tiebreak: Sequence[str] = (),
+    tiebreak: Sequence[str] | None = None,
     missing_time_wins: bool = False,
     exclude_errors: bool = False,
 ) -> DataFrame:
@@ -42,20 +42,20 @@ def clean_log(
 
 def mean_metrics(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Mean of each metric per group; rows without the value are left out of its mean."""
-    return df.groupBy(*by).agg(*[F.avg(m).alias(MEAN_NAMES[m]) for m in metrics])
+    return df.groupBy(*by).agg(*[exact_mean(F.col(m)).alias(MEAN_NAMES[m]) for m in metrics])
 
 
 def condition_cells(cleaned: DataFrame) -> DataFrame:
     """Sums and counts per model, dataset and mode: all the group means can be read off this small table."""
     return cleaned.groupBy("model_name", "dataset", "compressed", "compression_label").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(m).alias(f"sum_{m}") for m in METRICS],
+        *[exact_sum(F.col(m)).alias(f"sum_{m}") for m in METRICS],
         *[F.count(m).alias(f"n_{m}") for m in METRICS],
     )
 
 
 def _mean_from_sums(metric: str) -> Column:
-    return F.try_divide(F.sum(f"sum_{metric}"), F.sum(f"n_{metric}"))
+    return F.try_divide(exact_sum(F.col(f"sum_{metric}")), F.sum(f"n_{metric}"))
 
 
 def mean_from_cells(cells: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -67,7 +67,7 @@ def summary_sums(log: DataFrame) -> DataFrame:
     """Row count, sums and value counts of the metrics per dataset and mode."""
     return log.groupBy("dataset", "compressed").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(m).alias(f"sum_{m}") for m in METRICS],
+        *[exact_sum(F.col(m)).alias(f"sum_{m}") for m in METRICS],
         *[F.count(m).alias(f"n_{m}") for m in METRICS],
     )
 
@@ -124,7 +124,7 @@ def mean_delta(pivoted: DataFrame, by: str) -> DataFrame:
     """Unweighted mean of the deltas per model or per dataset, best first."""
     return (
         pivoted.groupBy(by)
-        .agg(F.avg("delta_nli").alias("delta_nli"), F.avg("delta_hallucination").alias("delta_hallucination"))
+        .agg(exact_mean(F.col("delta_nli")).alias("delta_nli"), exact_mean(F.col("delta_hallucination")).alias("delta_hallucination"))
         .orderBy(F.col("delta_nli").desc_nulls_last(), by)
     )
 
@@ -162,7 +162,7 @@ def family_means(model_means: DataFrame) -> DataFrame:
     families = (
         model_means.withColumn("model_family", model_family(F.col("model_name")))
         .groupBy("model_family")
-        .agg(F.avg("mean_hallucination_rate").alias("mean_hallucination_rate"))
+        .agg(exact_mean(F.col("mean_hallucination_rate")).alias("mean_hallucination_rate"))
     )
     return family_order(families).orderBy("order_idx")
 
@@ -173,7 +173,7 @@ def token_bins(cleaned: DataFrame, width: int = 50) -> DataFrame:
     return (
         cleaned.filter(F.col("orig_tokens").isNotNull() & F.col("compressed").cast("int").isin(0, 1))
         .groupBy("compression_label", start.alias("tokens_from"))
-        .agg(F.count(F.lit(1)).alias("points"), F.avg("hallucination").alias("mean_hallucination_rate"))
+        .agg(F.count(F.lit(1)).alias("points"), exact_mean(F.col("hallucination")).alias("mean_hallucination_rate"))
     )
 
 
@@ -193,13 +193,13 @@ def insights(cells: DataFrame) -> DataFrame:
     pairs = cells.groupBy("model_name", "dataset").agg(
         *[
             F.try_divide(
-                F.sum(F.when(F.col("compressed") == m, F.col(f"sum_{c}"))),
+                exact_sum(F.when(F.col("compressed") == m, F.col(f"sum_{c}"))),
                 F.sum(F.when(F.col("compressed") == m, F.col(f"n_{c}"))),
             ).alias(f"{c}_{m}")
             for c in ("nli_support", "hallucination")
             for m in (0, 1)
         ],
-        F.sum("sum_hallucination").alias("sum_hallucination"),
+        exact_sum(F.col("sum_hallucination")).alias("sum_hallucination"),
         F.sum("n_hallucination").alias("n_hallucination"),
         F.bool_or(F.col("compressed") == 0).alias("has_0"),
         F.bool_or(F.col("compressed") == 1).alias("has_1"),
@@ -207,8 +207,8 @@ def insights(cells: DataFrame) -> DataFrame:
     model, dataset = F.col("model_name"), F.col("dataset")
     entities = pairs.groupingSets([[], [model], [dataset]], model, dataset).agg(
         F.grouping_id().alias("_level"),
-        F.avg(F.col("nli_support_1") - F.col("nli_support_0")).alias("delta_nli"),
-        F.avg(F.col("hallucination_1") - F.col("hallucination_0")).alias("delta_hall"),
+        exact_mean(F.col("nli_support_1") - F.col("nli_support_0")).alias("delta_nli"),
+        exact_mean(F.col("hallucination_1") - F.col("hallucination_0")).alias("delta_hall"),
         _mean_from_sums("hallucination").alias("rate"),
         (F.bool_or("has_0") & F.bool_or("has_1")).alias("_both"),
     )

@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from veritrim.schemas import NATURAL_KEY
 
 
+def default_tiebreak(df: DataFrame, without: Sequence[str | None]) -> list[str]:
+    """Run, batch, then every other column that has an order."""
+    first = [c for c in ("run_id", "batch_id") if c in df.columns and c not in without]
+    rest = [f.name for f in df.schema.fields if f.name not in {*first, *without} and not f.dataType.simpleString().startswith("map")]
+    return first + rest
+
+
 def keep_last(
     df: DataFrame,
     key: Sequence[str] = NATURAL_KEY,
     time_col: str | None = "timestamp",
-    tiebreak: Sequence[str] = (),
+    tiebreak: Sequence[str] | None = None,
     missing_time_wins: bool = False,
 ) -> DataFrame:
-    """One row per key: the latest, then the one with the highest tie-break.
+    """One row per key: the latest, then the one with the highest tie-break (NULL is lowest).
+
+    Without ``tiebreak`` it is (run_id, batch_id, the other columns), as far as the table has them, so that the same
+    row survives in every run. Without a time column the tie-break alone decides.
 
     A row without a time loses to any row that has one, or wins with ``missing_time_wins``.
     The ranking is cut to one row per key before the shuffle, so copies of a hot key never meet in one task.
@@ -26,8 +36,8 @@ def keep_last(
     if time_col is not None:
         latest = F.col(time_col)
         order.append(latest.desc_nulls_first() if missing_time_wins else latest.desc_nulls_last())
-    order += [F.col(c).desc() for c in tiebreak]
-    if not order:
-        raise ValueError("keep_last needs a time column or a tie-break column")
+    if tiebreak is None:
+        tiebreak = default_tiebreak(df, (*key, time_col))
+    order += [F.col(c).desc() for c in tiebreak] or ([] if order else [F.lit(0)])
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")

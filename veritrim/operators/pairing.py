@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrim.functions.metrics import exact_mean
+from veritrim.operators.dedup import default_tiebreak
 from veritrim.schemas import PAIR_KEY
 
 _MEASURES = ("nli_support", "hallucination")
@@ -39,13 +41,17 @@ def latest_paired_delta(
     log: DataFrame,
     key: Sequence[str] = PAIR_KEY,
     time_col: str = "timestamp",
-    tiebreak: Sequence[str] = (),
+    tiebreak: Sequence[str] | None = None,
 ) -> DataFrame:
     """``paired_delta`` of the deduplicated log, in a single aggregation and a single shuffle.
 
+    Ties in time go by ``tiebreak``, or by the default of ``keep_last``.
+
     The latest row of each mode is found by ``max_by``; a row without a time loses to any that has one.
     """
     mode = F.col("compressed")
+    if tiebreak is None:
+        tiebreak = default_tiebreak(log, (*key, "compressed", time_col))
     recency = F.struct(F.col(time_col), *[F.col(c) for c in tiebreak])
 
     def latest(m: int) -> Column:
@@ -74,7 +80,7 @@ def delta_stats(deltas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(d > 0).alias("improved"),
         F.count_if(d < 0).alias("worsened"),
-        F.coalesce(F.avg(d), F.lit(0.0)).alias("avg_delta_nli"),
+        F.coalesce(exact_mean(d), F.lit(0.0)).alias("avg_delta_nli"),
     )
     share = [
         F.try_divide(F.col(c) * 100.0, F.col("total")).alias(f"{c}_pct") for c in ("improved", "worsened")

@@ -45,18 +45,6 @@ def shared_folder(spark: SparkSession, purpose: str, name: str | None = None) ->
     return f"{base.rstrip('/')}/{purpose}-{name or uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *key: str, small: int = 64) -> DataFrame:
-    """A small table over all cores, by a unique key.
-
-    A small table may sit in a single row group, which one task reads while the other cores are idle. Tables
-    of more than ``small`` splits are left as they are.
-    """
-    splits = df.rdd.getNumPartitions()
-    if splits > small:
-        return df
-    return df.repartition(max(splits, min(df.sparkSession.sparkContext.defaultParallelism, small)), *key)
-
-
 def written(df: DataFrame, purpose: str, name: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder.
 
