@@ -84,7 +84,7 @@ def test_no_retry_when_nothing_can_be_cut(spark):
     assert r.error.message == "out of memory" and r.out is None
 
 
-def test_model_is_loaded_once_per_task_and_alone(spark, tmp_path):
+def test_tasks_see_few_models_and_processes_keep_theirs(spark, tmp_path):
     seen = str(tmp_path)
 
     def load_counted(model):
@@ -97,11 +97,33 @@ def test_model_is_loaded_once_per_task_and_alone(spark, tmp_path):
     df = spark.range(0, 4000, 1, 2).select(
         F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model_name"), F.col("id").cast("string").alias("p")
     )
-    out = score_batches(df, load_counted, "p", "said", T.StringType(), model_col="model_name")
+    out = score_batches(df, load_counted, "p", "said", T.StringType(), model_col="model_name", tasks=64)
     assert out.filter(F.col("said") == F.col("model_name")).count() == 4000
-    assert len(list(tmp_path.iterdir())) == 3 * 2
-    spread = score_batches(df, lambda m: lambda p: [m] * len(p), "p", "said", T.StringType(), "model_name", tasks_per_model=4)
-    assert spread.filter(F.col("said") == F.col("model_name")).count() == 4000
+    # Eight processes, which mostly go from one model to the next: far fewer loads than tasks or than tasks x models.
+    assert len(list(tmp_path.iterdir())) <= 8 * 3
+
+
+def test_outputs_that_are_missing_are_errors(spark):
+    df = spark.range(0, 20, 1, 1).select(F.col("id").cast("string").alias("p"))
+    short = lambda model: lambda prompts: [p for p in prompts if p != "7"]
+    got = {r.p: (r.out, r.error) for r in score_batches(df, short, "p", "out", T.StringType()).collect()}
+    assert got["7"][0] is None and got["7"][1].type == "ValueError"
+    assert all(out == p and error is None for p, (out, error) in got.items() if p != "7")
+
+
+def test_a_failing_batch_is_halved(spark):
+    calls = []
+
+    def predict(prompts):
+        calls.append(len(prompts))
+        if 3 in prompts:
+            raise ValueError("bad row")
+        return prompts
+
+    from veritrim.operators.inference import _attempt
+
+    assert [isinstance(x, ValueError) for x in _attempt(predict, list(range(64)))] == [i == 3 for i in range(64)]
+    assert len(calls) < 16
 
 
 def test_neural_stages_feed_the_closed_forms(spark, samples):
@@ -124,14 +146,19 @@ def test_rerun_adds_only_what_is_missing(spark, samples, tmp_path):
     first = read_log(spark, log)
     # Four samples in two modes; the rows of the model without weights are not written.
     assert first.count() == 8 and {r.model_name for r in first.collect()} == {"good"}
-    counters = batch_counters(samples, first, 0, SETTINGS).first()
+    counters = batch_counters(samples, first, "run1", 0, SETTINGS).first()
     assert (counters.written, counters.skipped, counters.errors) == (8, 0, 2)  # the poisoned sample fails in both modes
 
     run_batch(samples, log, Scorers(generate=load_all, support=full_support), "run2", NOW, SETTINGS, 1)
     second = read_log(spark, log)
     assert second.count() == 16
     assert second.groupBy("id", "dataset", "model_name", "requested_mode").count().filter("count > 1").count() == 0
-    counters = batch_counters(samples, second, 1, SETTINGS).first()
+    counters = batch_counters(samples, second, "run2", 1, SETTINGS).first()
+    assert (counters.written, counters.skipped) == (8, 8)
+
+    # Batch numbers start again with each run.
+    third = second.withColumn("batch_id", F.lit(0).cast("bigint"))
+    counters = batch_counters(samples, third, "run2", 0, SETTINGS).first()
     assert (counters.written, counters.skipped) == (8, 8)
 
     before = rows(second)

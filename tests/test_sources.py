@@ -87,6 +87,22 @@ def test_strict_results_fail_on_a_bad_number(spark, tmp_path):
     path.write_text("id,compressed,nli_support,hallucination\n1,0,bad,0\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         load_results(spark, str(path), strict=True).collect()
+    for bad in ("0,bad,0", "0,0.5,bad", "x,0.5,0"):
+        path.write_text(f"id,compressed,nli_support,hallucination,orig_tokens\n1,{bad},7\n1,1,0.75,0,8\n")
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            post_hoc_deltas(spark, str(path)).collect()
+    path.write_text("id,compressed,nli_support,hallucination,orig_tokens\n1,0,0.5,0,many\n1,1,0.75,0,8\n")
+    assert post_hoc_deltas(spark, str(path)).first().total == 1
+
+
+def test_lines_with_single_quotes_or_more_than_an_object_are_rejected(spark, tmp_path):
+    path = tmp_path / "s.jsonl"
+    good = '{"id": "1", "question": "a } b ] c"}'
+    lines = [good, "{'id': '2', 'question': 'q'}", '{"id": "3", "question": "q"} trailing', '{"id": "4"} {"id": "5"}', '{"id": "6"},{"id": "7"}']
+    path.write_text("\n".join([*lines, "[1]", "5", '"text"', "{", '  {"id": "8", "question": "q"}  ']))
+    read = read_jsonl(spark, str(path))
+    assert sorted(r.id for r in good_rows(read).collect()) == ["1", "8"]
+    assert rejected_lines(read).count() == 8
 
 
 def test_log_appends_and_csv_round_trip(spark, tmp_path):

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import log_rows, rows
@@ -10,7 +11,7 @@ from veritrim.plans.experiment import Scorers
 from veritrim.schemas import RESULT_LOG, SAMPLE, Settings
 from veritrim.sources.readers import read_log
 from veritrim.sources.writers import append_results
-from veritrim.streaming.jobs import score_stream, summary_stream
+from veritrim.streaming.jobs import read_summary, score_stream, summary_stream
 
 NOW = datetime(2024, 1, 1)
 SETTINGS = Settings(models=("m",), compression_enabled=False)
@@ -55,10 +56,16 @@ def test_running_summary_equals_the_batch_summary(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(RESULT_LOG).parquet(log)
         summary_stream(stream, summary, str(tmp_path / "checkpoint")).awaitTermination()
-        assert rows(spark.read.parquet(summary)) == rows(experiment_summary(read_log(spark, log)))
+        assert rows(read_summary(spark, summary)) == rows(experiment_summary(read_log(spark, log)))
 
     append(0, [{"nli_support": 0.25}, {"compressed": 1, "nli_support": 0.5}])
     run()
     append(1, [{"dataset": "e", "nli_support": 1.0, "hallucination": 1.0}])
     run()
-    assert spark.read.parquet(summary).filter("group = 'overall'").first()["count"] == 3
+    assert read_summary(spark, summary).filter("group = 'overall'").first()["count"] == 3
+
+
+def test_a_stream_with_compression_needs_frequencies(spark, tmp_path):
+    samples = spark.readStream.schema(SAMPLE).json(str(tmp_path))
+    with pytest.raises(ValueError, match="frequencies"):
+        score_stream(samples, str(tmp_path / "log"), str(tmp_path / "c"), Scorers(load), "run", NOW, Settings(models=("m",)))

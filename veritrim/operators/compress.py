@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrim.functions.text import tokens
-from veritrim.operators.skew import frequent_keys
+from veritrim.operators.skew import frequent_keys, lookup_join
 
 
 # Longer tokens are not broadcast, however frequent.
@@ -40,9 +40,9 @@ def compress_to_budget(
 
     A text within the budget is returned unchanged. Rarity is measured in the texts themselves or, where given,
     by ``frequencies`` of a larger corpus; a token that is not among those is the rarest. Frequent tokens, at most
-    ``most_frequent_tokens`` of them, are looked up by broadcast and never shuffled by token; the
-    others meet their count in a shuffle join in which no token holds more than that share of the
-    rows. Each partition keeps at most ``budget`` tokens of a text before the shuffle by text.
+    ``most_frequent_tokens`` of them and of ``MOST_TOKEN_BYTES`` each, are looked up by broadcast and never shuffled
+    by token; the others meet their count in a salted shuffle join. The tokens of a text come together once
+    more and are cut to the budget there, in the same way for any budget.
     """
     freq = token_frequencies(texts, text_col) if frequencies is None else frequencies
     frequent = frequent_keys(freq, "freq", most_frequent_tokens).filter(F.octet_length("token") <= MOST_TOKEN_BYTES)
@@ -58,21 +58,17 @@ def compress_to_budget(
 
     looked_up = occurrences.join(F.broadcast(frequent), "token")
     infrequent = occurrences.join(F.broadcast(frequent.select("token")), "token", "left_anti")
-    counted = infrequent.filter(F.col("token").isNotNull()).join(
-        freq, "token", "inner" if frequencies is None else "left"
-    )
+    counts = freq.select("token", F.col("freq").alias("_rows")) if frequencies is None else None
+    counted = lookup_join(infrequent.filter(F.col("token").isNotNull()), freq, "token", ["freq"], counts=counts)
     rare = counted.withColumn("freq", F.coalesce("freq", F.lit(0)))
 
-    by_rarity = Window.partitionBy(*key).orderBy("freq", "pos")
-    kept = (
-        looked_up.unionByName(rare)
-        .withColumn("_rank", F.row_number().over(by_rarity))
-        .filter(F.col("_rank") <= budget)
-    )
-    rebuilt = kept.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_kept"),
+    # A text's tokens are no more than its row had already.
+    ranked = looked_up.unionByName(rare).groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("freq", "pos", "token"))).alias("_ranked"),
         F.max("orig_tokens").alias("orig_tokens"),
     )
+    kept = F.transform(F.slice("_ranked", 1, budget), lambda t: F.struct(t["pos"], t["token"].alias("token")))
+    rebuilt = ranked.select(*key, "orig_tokens", F.array_sort(kept).alias("_kept"))
     compressed = rebuilt.filter(F.col("orig_tokens") > budget).select(
         *key,
         F.array_join(F.col("_kept.token"), " ").alias("prompt"),

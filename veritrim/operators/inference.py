@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from veritrim.schemas import OOM_MARKERS, Settings
 
+# The model this worker process holds: (loader, model name) and the predictor, or the error of loading it. Later tasks
+# of the process find it there.
+_HELD: dict[tuple[str, Any], Any] = {}
+
 # A predictor maps a list of inputs to a list of outputs; an output may be an exception, for that row only.
 Predictor = Callable[[list[Any]], Sequence[Any]]
 Loader = Callable[[Any], Predictor]
@@ -31,15 +37,19 @@ def _failure(err: BaseException, unavailable: bool = False) -> dict[str, Any]:
 
 
 def _attempt(predict: Predictor, inputs: list[Any]) -> list[Any]:
-    """Outputs of a batch; when the whole batch fails, its rows are tried one by one."""
+    """One output for each input; a batch that fails, or has another number of outputs, is halved and tried again."""
     if not inputs:
         return []
     try:
-        return list(predict(inputs))
+        outputs = list(predict(inputs))
+        if len(outputs) == len(inputs):
+            return outputs
+        raise ValueError(f"{len(outputs)} outputs for {len(inputs)} inputs")
     except Exception as err:
         if len(inputs) == 1:
             return [err]
-        return [out for item in inputs for out in _attempt(predict, [item])]
+        middle = len(inputs) // 2
+        return _attempt(predict, inputs[:middle]) + _attempt(predict, inputs[middle:])
 
 
 def _is_out_of_memory(result: Any) -> bool:
@@ -56,10 +66,10 @@ def _predict_with_retry(
         return results, used
     retries = {
         i: short
-        for i, (result, item) in enumerate(zip(results, inputs))
+        for i, (result, item) in enumerate(zip(results, inputs, strict=True))
         if _is_out_of_memory(result) and (short := shorten(item)) != item
     }
-    for i, result in zip(retries, _attempt(predict, list(retries.values()))):
+    for i, result in zip(retries, _attempt(predict, list(retries.values())), strict=True):
         results[i], used[i] = result, retries[i]
     return results, used
 
@@ -82,13 +92,14 @@ def score_batches(
     output_type: T.DataType,
     model_col: str | None = None,
     shorten: Callable[[Any], Any] | None = None,
-    tasks_per_model: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Adds ``output`` and ``error`` columns computed by a loaded model.
 
-    ``load(model_name)`` runs on the executors, once per task and model, and only one model is held at a time: rows
-    are sorted by model within their partition, which moves nothing over the network. With
-    ``tasks_per_model`` the rows are spread so that a task mostly sees one model.
+    ``load(model_name)`` runs on the executors. A worker process holds one model at a time and keeps it for its later
+    tasks. With ``model_col``, rows are dealt to ``tasks`` ranges of model and input (four for each core of
+    the session unless given), so that all but a few tasks see a single model, and models are loaded fewer than
+    ``tasks`` + models times, however many rows there are. A load that failed is tried again by the next task.
     A failed row gets an error and no output. When a model cannot be loaded, its rows are marked
     ``unavailable``; they are not results, and a later run can take them up again. Rows that carry an error from an
     earlier stage pass through. With ``shorten``, a retried input replaces the original one in its column.
@@ -97,24 +108,30 @@ def score_batches(
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast(ERROR))
     if model_col is not None:
-        if tasks_per_model is not None:
-            spread = F.pmod(F.xxhash64(*names), F.lit(tasks_per_model))
-            df = df.repartition(model_col, spread)
-        df = df.sortWithinPartitions(model_col)
+        tasks = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+        df = df.withColumn("_deal", F.xxhash64(*names)).repartitionByRange(tasks, model_col, "_deal")
+        df = df.sortWithinPartitions(model_col).drop("_deal")
     schema = T.StructType(df.schema.fields + [T.StructField(output, output_type)])
     out_type, error_type = to_arrow_type(output_type), to_arrow_type(ERROR)
+    loader = hashlib.sha256(CloudPickleSerializer().dumps(load)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[Any, Any] = {}
+        # This function travels with copies of the globals it names; the module of the worker process keeps its own.
+        from veritrim.operators.inference import _HELD as held
+
+        failed: dict[Any, Exception] = {}
 
         def predictor(model: Any) -> Any:
-            if model not in held:
+            if model in failed:
+                return failed[model]
+            if (loader, model) not in held:
                 held.clear()
                 try:
-                    held[model] = load(model)
+                    held[loader, model] = load(model)
                 except Exception as err:
-                    held[model] = err
-            return held[model]
+                    failed[model] = err
+                    return err
+            return held[loader, model]
 
         for batch in batches:
             columns = [batch.column(name).to_pylist() for name in names]
@@ -132,7 +149,7 @@ def score_batches(
                         errors[i] = _failure(predict, unavailable=True)
                     continue
                 results, used = _predict_with_retry(predict, [items[i] for i in rows], shorten)
-                for i, result, item in zip(rows, results, used):
+                for i, result, item in zip(rows, results, used, strict=True):
                     columns[0][i] = item if len(names) == 1 else columns[0][i]
                     if isinstance(result, Exception):
                         errors[i] = _failure(result)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrim.functions.text import final_answer, first_or_empty, flatten_context
-from veritrim.operators.numbering import number_capped
+from veritrim.operators.numbering import number_capped, number_sorted
 from veritrim.operators.skew import first_n_per_group, lookup_join
 from veritrim.schemas import SAMPLE
 
@@ -21,14 +21,16 @@ def unify(df: DataFrame, context: Column, question: Column, answer: Column, data
     )
 
 
-def _capped_samples(df: DataFrame, dataset: str, prefix: str, order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows in the given order, numbered 1, 2, 3, … without gaps."""
+def _capped_samples(df: DataFrame, dataset: str, prefix: str, order: Sequence[Column], n: int | None) -> DataFrame:
+    """All rows, or the first ``n`` where given, in the given order, numbered 1, 2, 3, … without gaps."""
     named = df.withColumn("dataset", F.lit(dataset))
+    if n is None:
+        return number_sorted(named, order, F.lit(f"{prefix}_")).select(*SAMPLE.names)
     capped = first_n_per_group(named, ["dataset"], order, n)
     return number_capped(capped, "dataset", order, F.lit(f"{prefix}_")).select(*SAMPLE.names)
 
 
-def arithmetic_samples(raw: DataFrame, order: Sequence[Column], n: int = 1000) -> DataFrame:
+def arithmetic_samples(raw: DataFrame, order: Sequence[Column], n: int | None = None) -> DataFrame:
     """Answer is what follows the last ``####``; there is no context."""
     rows = raw.withColumns({"context": F.lit(""), "answer": final_answer(F.col("answer"))})
     return _capped_samples(rows, "gsm8k", "gsm8k", order, n)
@@ -39,18 +41,18 @@ def with_first_answer(raw: DataFrame, answers: str) -> DataFrame:
     return raw.filter(F.size(answers) > 0).withColumn("answer", F.element_at(answers, 1))
 
 
-def reading_samples(raw: DataFrame, order: Sequence[Column], n: int = 1000) -> DataFrame:
+def reading_samples(raw: DataFrame, order: Sequence[Column], n: int | None = None) -> DataFrame:
     """Answerable questions only, with their first answer."""
     return _capped_samples(with_first_answer(raw, "answers.text"), "squad_v2", "squad", order, n)
 
 
-def multihop_samples(raw: DataFrame, order: Sequence[Column], n: int = 1000) -> DataFrame:
+def multihop_samples(raw: DataFrame, order: Sequence[Column], n: int | None = None) -> DataFrame:
     """Context is all titled paragraphs in one text."""
     rows = raw.withColumn("context", flatten_context(F.col("context.title"), F.col("context.sentences")))
     return _capped_samples(rows, "hotpot_qa", "hotpot", order, n)
 
 
-def trivia_samples(raw: DataFrame, order: Sequence[Column], n: int = 1000) -> DataFrame:
+def trivia_samples(raw: DataFrame, order: Sequence[Column], n: int | None = None) -> DataFrame:
     """Context is the first page text, or empty."""
     rows = raw.withColumns(
         {"context": first_or_empty(F.col("entity_pages.wiki_context")), "answer": F.col("answer.value")}

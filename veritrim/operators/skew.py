@@ -19,34 +19,32 @@ def lookup_join(
     lookup: DataFrame,
     key: str,
     values: Sequence[str],
-    most_hot_keys: int = 1000,
-    most_bytes: int = 65_536,
+    rows_per_task: int = 1_000_000,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a table with at most one row per key, safe against hot keys in ``facts``.
 
-    Hot keys number at most ``most_hot_keys``, so their lookup rows are broadcast and their facts stay where they
-    are. A lookup row is only broadcast when its values take no more than ``most_bytes``: the
-    product of the two bounds the broadcast. Facts without a key match nothing and are not joined; the
-    others meet their lookup row in a shuffle join, in which no key is hot.
-
-    Facts are read once per part, so they should be cheap to derive; the parts are exact complements.
+    A key with more than ``rows_per_task`` facts is split over several salts, among which its facts are dealt by input
+    partition and a hash of the whole row, and its lookup row is repeated for each; so a task gets about that many rows of a key, whatever
+    the size of the values. Facts without a key match nothing and are dealt out as well. Only hot keys are
+    told to all tasks, at most one for ``rows_per_task`` facts. ``counts`` (key, _rows), where given, spares
+    counting the facts; they need not be exact.
     """
     names = list(dict.fromkeys([*facts.columns, *values]))
-    keyed = facts.filter(F.col(key).isNotNull())
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot_keys = F.broadcast(frequent_keys(counts, "_rows", most_hot_keys).select(key))
-    lookup = lookup.select(key, *values)
-    size = sum((F.coalesce(F.octet_length(F.col(v).cast("string")), F.lit(0)) for v in values), F.lit(0))
-    # Hot keys that the lookup lacks are among these as well, with NULL values.
-    hot = hot_keys.join(lookup.join(hot_keys, key, "left_semi"), key, "left").filter(size <= most_bytes)
-
-    hot_part = keyed.join(F.broadcast(hot), key)
-    other_part = keyed.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup, key, "left")
-    types = dict(lookup.dtypes)
-    keyless = facts.filter(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(types[v]).alias(v) for v in values]
-    )
-    return hot_part.select(*names).unionByName(other_part.select(*names)).unionByName(keyless.select(*names))
+    if counts is None:
+        counts = facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    salts = F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")
+    hot = F.broadcast(counts.filter(F.col("_rows") > rows_per_task).select(F.col(key).alias("_hot"), salts))
+    dealt = facts.withColumn("_dealt", F.xxhash64(F.spark_partition_id(), *facts.columns)).join(hot, F.col(key) == F.col("_hot"), "left")
+    parts = F.when(F.col(key).isNull(), 1000).otherwise(F.coalesce("_salts", F.lit(1)))
+    dealt = dealt.withColumn("_salt", F.pmod("_dealt", parts).cast("int")).drop("_hot", "_salts", "_dealt")
+    spread = lookup.select(F.col(key).alias("_key"), *[F.col(v).alias(f"_value_{v}") for v in values])
+    spread = spread.join(hot, F.col("_key") == F.col("_hot"), "left")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_lookup_salt")
+    spread = spread.select("_key", *[f"_value_{v}" for v in values], every)
+    joined = dealt.join(spread, (dealt[key] == spread["_key"]) & (dealt["_salt"] == spread["_lookup_salt"]), "left")
+    found = {v: F.col(f"_value_{v}").alias(v) for v in values}
+    return joined.select(*[found.get(n, F.col(n)) for n in names])
 
 
 def first_n_per_group(
@@ -55,15 +53,10 @@ def first_n_per_group(
     """The first ``n`` rows of every group, all of them ranked exactly.
 
     Each group is first cut within ``strands`` strands of input partitions, so that no task
-    ever ranks a whole group; what is left, ``strands * n`` rows at most, is ranked once more. Up to a
-    thousand rows, Spark also cuts each partition before it is shuffled; for a larger ``n`` that cut is
-    made here, by ranking within single partitions first.
+    ever ranks a whole group; what is left, ``strands * n`` rows at most, is ranked once more.
     """
-    task = F.spark_partition_id()
-    levels = [task % strands, F.lit(0)] if n <= 1000 else [task, task % strands, F.lit(0)]
-    names = [f"_strand_{i}" for i in range(len(levels))]
-    cut = df.withColumns(dict(zip(names, levels)))
-    for name in names:
+    cut = df.withColumns({"_strand_0": F.spark_partition_id() % strands, "_strand_1": F.lit(0)})
+    for name in ("_strand_0", "_strand_1"):
         within = Window.partitionBy(*group, name).orderBy(*order)
         cut = cut.withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n)
-    return cut.drop("_rank", *names)
+    return cut.drop("_rank", "_strand_0", "_strand_1")

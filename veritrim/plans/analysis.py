@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritrim.operators.aggregates import (
     clean_log,
@@ -20,7 +21,7 @@ from veritrim.operators.aggregates import (
 )
 from veritrim.operators.pairing import delta_stats, latest_paired_delta, paired_delta
 from veritrim.schemas import METRICS
-from veritrim.sources.readers import load_results
+from veritrim.sources.readers import read_results_csv
 from veritrim.sources.writers import write_tables
 
 TABLES = (
@@ -67,7 +68,7 @@ def analysis_tables(cells: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def analyse(log: DataFrame, out_dir: str, fmt: str = "csv", tiebreak: Sequence[str] = ()) -> None:
+def analyse(log: DataFrame, out_dir: str, fmt: str = "csv", tiebreak: Sequence[str] | None = None) -> None:
     """Write every analysis table. The log is read once; what is kept for the tables is one row per condition."""
     cells = condition_cells(clean_log(log, tiebreak=tiebreak)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -76,12 +77,20 @@ def analyse(log: DataFrame, out_dir: str, fmt: str = "csv", tiebreak: Sequence[s
         cells.unpersist()
 
 
-def compression_effect(log: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
+def compression_effect(log: DataFrame, tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Does compression change support? Latest pairs per sample, counted per model and dataset."""
     deltas = latest_paired_delta(log, tiebreak=tiebreak)
     return delta_stats(deltas, by=["model_name", "dataset"])
 
 
 def post_hoc_deltas(spark: SparkSession, path: str, key: Sequence[str] = ("id",)) -> DataFrame:
-    """Delta statistics of a CSV log read strictly: a bad number fails the job."""
-    return delta_stats(paired_delta(load_results(spark, path, strict=True), key))
+    """Delta statistics of a CSV log read strictly: a bad number in the three columns compared fails the job.
+
+    The counts of numbers that could be read are kept alive through a condition that always holds, so that
+    no column is pruned before its cast. Bad text elsewhere in the log is harmless.
+    """
+    text = read_results_csv(spark, path)
+    numbers = {"compressed": "int", "nli_support": "double", "hallucination": "double"}
+    strict = text.select(*key, *[F.col(c).cast(kind).alias(c) for c, kind in numbers.items()])
+    read = strict.agg(sum((F.count(c) for c in numbers), F.lit(0)).alias("_read")).scalar()
+    return delta_stats(paired_delta(strict, key).filter(read >= 0))

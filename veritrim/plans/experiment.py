@@ -171,14 +171,16 @@ def run_batch(
     append_results(result_rows(scored, run_id, F.lit(started), batch_id), log_path)
 
 
-def batch_counters(samples: DataFrame, log: DataFrame, batch_id: int, settings: Settings = Settings()) -> DataFrame:
-    """Written, skipped and failed rows of a batch, counted from the log it was written to.
+def batch_counters(
+    samples: DataFrame, log: DataFrame, run_id: str, batch_id: int = 0, settings: Settings = Settings()
+) -> DataFrame:
+    """Written, skipped and failed rows of a batch of a run, counted from the log it was written to.
 
     Counting what was committed is exact; accumulators would count retried tasks twice.
     """
     grid = condition_grid(sample_defaults(samples).select("id", "dataset").distinct(), settings)
-    earlier = log.filter(F.col("batch_id") != batch_id)
-    return run_counters(log.filter(F.col("batch_id") == batch_id), skipped_cells(grid, earlier))
+    own = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
+    return run_counters(log.filter(own), skipped_cells(grid, log.filter(~F.coalesce(own, F.lit(False)))))
 
 
 def run_report(log: DataFrame) -> dict[str, DataFrame]:

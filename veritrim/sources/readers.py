@@ -17,9 +17,14 @@ CORRUPT = "_corrupt_record"
 
 
 def parsed_json(line: Column, schema: T.StructType) -> Column:
-    """Struct of the schema and ``_corrupt_record``, which holds a line that is not a JSON object."""
+    """Struct of the schema and ``_corrupt_record``, which holds a line that is not one JSON object and nothing else."""
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    return F.from_json(line, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
+    parsed = F.from_json(line, with_corrupt, options)
+    # The parser stops after the first value; in brackets, text after the object is an error of the array.
+    whole = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>", options)
+    nothing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], line.alias(CORRUPT))
+    return F.when(F.size(whole) == 1, parsed).otherwise(nothing)
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = SAMPLE) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veritrim.operators.aggregates import summary_from_sums, summary_sums
@@ -25,8 +26,11 @@ def score_stream(
     """Score a stream of samples into the log, each cell once across restarts, errors included.
 
     The checkpoint remembers the files already seen, the log the cells already done. A batch that is
-    repeated finds its committed rows in the log and adds only the rest.
+    repeated finds its committed rows in the log and adds only the rest. With compression, the ``frequencies`` of the
+    corpus are required: measured in each batch, rarity would depend on how the samples are cut into batches.
     """
+    if settings.compression_enabled and frequencies is None:
+        raise ValueError("a stream with compression needs the token frequencies of its corpus")
 
     def score(batch: DataFrame, batch_id: int) -> None:
         run_batch(batch, log_path, scorers, run_id, started, settings, batch_id, frequencies)
@@ -42,11 +46,12 @@ def score_stream(
 def summary_stream(log: DataFrame, summary_path: str, checkpoint: str) -> StreamingQuery:
     """Keep the experiment summary of an append-only log up to date.
 
-    The state is one row of sums per dataset and mode, however long the log grows.
+    The state is one row of sums per dataset and mode, however long the log grows. Each version is a folder of its
+    own under ``summary_path``; ``read_summary`` reads the newest that is complete, so readers never see a half.
     """
 
     def publish(sums: DataFrame, batch_id: int) -> None:
-        summary_from_sums(sums).write.mode("overwrite").parquet(summary_path)
+        summary_from_sums(sums).write.mode("overwrite").parquet(f"{summary_path}/version={batch_id}")
 
     return (
         summary_sums(log)
@@ -56,3 +61,11 @@ def summary_stream(log: DataFrame, summary_path: str, checkpoint: str) -> Stream
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_summary(spark: SparkSession, summary_path: str) -> DataFrame:
+    """The newest version of the summary that was written to the end."""
+    files = spark.read.parquet(f"{summary_path}/version=*").select("*", F.col("_metadata.file_path").alias("_file"))
+    version = F.regexp_extract("_file", r"version=(\d+)", 1).cast("bigint")
+    versions = files.withColumn("_version", version)
+    return versions.filter(F.col("_version") == versions.agg(F.max("_version")).scalar()).drop("_file", "_version")
