@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.helpers import rows
-from veritrim.functions.tokenizers import token_counter
+from veritrim.functions.tokenizers import token_counter, token_shortener, token_truncator
 from veritrim.operators.inference import score_batches
 from veritrim.operators.results import full_support
 from veritrim.plans.experiment import Scorers, batch_counters, generate, plan_cells, run_batch, run_report, score_cells
@@ -127,7 +127,7 @@ def test_a_failing_batch_is_halved(spark):
 
 
 def test_neural_stages_feed_the_closed_forms(spark, samples):
-    plain = Settings(models=("good",), compression_enabled=False)
+    plain = Settings(models=("good",), compression_enabled=False, responses_per_cell=2)
     cells = plan_cells(samples.filter("id = '1'"), no_rows(spark, RESULT_LOG), plain)
     scorers = Scorers(
         generate=lambda m: lambda prompts: [["a", "b"] for _ in prompts],
@@ -177,3 +177,35 @@ def test_counts_by_a_given_tokenizer(spark, samples):
         assert r.compressed_tokens == len(r.prompt) and (r.requested_mode == 1 or r.orig_tokens == len(r.prompt))
     for r in generate(cells, load, counted).collect():
         assert r.compressed_tokens == len(r.prompt)
+
+
+def test_windows_tokenizers_answers_and_pairs(spark):
+    """Cuts by a tokenizer of letters: its limits hold in every stage."""
+    codec = lambda: (list, "".join)
+    letters = Settings(
+        models=("a", "b"), compression_enabled=False, responses_per_cell=2, windows={"a": 30 + 64 + 8}, premise_tokens=20, pair_tokens=12,
+        count_tokens=token_counter(lambda: list), truncate=token_truncator(codec), shorten=token_shortener(codec), retry_tokens=10,
+    )
+    def load_asked(model, wanted):
+        assert (wanted.answers, wanted.sampled) == (2, True)
+        return lambda prompts: [RuntimeError("out of memory") if len(p) > 40 else [f" {len(p)}\n", "y", "z"] for p in prompts]
+
+    df = spark.createDataFrame([("1", "d", "c" * 50, "q", "g")], SAMPLE)
+    made = {r.model_name: r for r in generate(plan_cells(df, no_rows(spark, RESULT_LOG), letters), load_asked, letters).collect()}
+    assert made["a"].responses == ["30", "y"] and len(made["a"].prompt) == 30
+    assert made["b"].responses == ["10", "y"] and made["b"].compressed_tokens == 10
+    scorers = Scorers(load_asked, entail=lambda _: lambda pairs: [[0.0, 0.0, float(len(p) == 12 - len(a))] for p, a in pairs])
+    scored = score_cells(generate(plan_cells(df, no_rows(spark, RESULT_LOG), letters), load_asked, letters), scorers, letters)
+    assert {round(r.nli_support, 3) for r in scored.collect()} == {0.576}
+
+
+def test_a_compressor_that_cannot_be_loaded_leaves_prompts_alone(spark, samples):
+    def broken(_):
+        raise OSError("no compressor")
+
+    run = Settings(models=("good",), compression_threshold=1)
+    cut = lambda _: lambda prompts: [p[:4] for p in prompts]
+    whole = {r.id: r for r in plan_cells(samples, no_rows(spark, RESULT_LOG), run, compressor=broken).collect() if r.requested_mode}
+    short = {r.id: r for r in plan_cells(samples, no_rows(spark, RESULT_LOG), run, compressor=cut).collect() if r.requested_mode}
+    assert all((r.compressed, r.orig_tokens, r.compressed_tokens) == (0, 0, 0) for r in whole.values())
+    assert all(r.compressed == 1 and r.prompt == whole[i].prompt[:4] for i, r in short.items())

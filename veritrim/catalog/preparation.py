@@ -198,7 +198,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), 'dialogue', role, text FROM conversations
         UNION ALL SELECT CAST(item_id AS VARCHAR), NULL, NULL, text FROM benchmark""",
     "results_load": over_log(
-        """SELECT id, dataset, model_name, compressed, orig_tokens, compressed_tokens, prediction,
+        """SELECT id, dataset, model_name, CAST(compressed AS BIGINT) AS compressed,
+        CAST(orig_tokens AS BIGINT) AS orig_tokens, CAST(compressed_tokens AS BIGINT) AS compressed_tokens, prediction,
         exact_match, keyword_match, self_consistency AS self_consistency, nli_support AS nli_support,
         hallucination, run_id, "timestamp" FROM results_log"""
     ),
@@ -228,7 +229,7 @@ ORACLES: dict[str, str] = {
         CASE role WHEN 'user' THEN 'dialogue' ELSE 'unknown' END AS dataset,
         CASE role WHEN 'assistant' THEN text ELSE '' END AS context, text AS question,
         CASE role WHEN 'user' THEN text ELSE '' END AS answer FROM conversations WHERE role <> 'system'""",
-    "lenient_cast": f"""SELECT event_id, CAST(coalesce(trunc(TRY_CAST({_NUMBER_TEXT} AS DOUBLE)), 0) AS INTEGER) AS as_int,
+    "lenient_cast": f"""SELECT event_id, CAST(coalesce(trunc(TRY_CAST({_NUMBER_TEXT} AS DOUBLE)), 0) AS BIGINT) AS as_int,
         coalesce(TRY_CAST({_NUMBER_TEXT} AS DOUBLE), 0.0e0) AS as_float FROM events""",
     "numeric_coerce": f"SELECT event_id, TRY_CAST({_NUMBER_TEXT} AS DOUBLE) AS number FROM events",
     "timestamp_coerce": """SELECT event_id, CASE event_type WHEN 'view' THEN ts WHEN 'click' THEN ts

@@ -20,11 +20,12 @@ from veritrim.catalog.prompts import (
     words_sql,
 )
 from veritrim.functions.metrics import error_text
+from veritrim.functions.text import first_words
 from veritrim.operators.aggregates import run_counters
 from veritrim.operators.grid import condition_grid, pending_cells, skipped_cells
 from veritrim.operators.prepare import dialogue_samples
 from veritrim.operators.results import any_response, full_support, measured, result_rows
-from veritrim.plans.experiment import Scorers, generate, plan_cells, score_cells
+from veritrim.plans.experiment import Generation, Scorers, batch_counters, generate, plan_cells, run_batch, score_cells
 from veritrim.plans.results_log import results_log
 from veritrim.schemas import MODELS, RESULT_LOG, Settings
 from veritrim.session import shared_folder, ship_package
@@ -58,6 +59,61 @@ def load_stub(model_name: str) -> Callable[[list[str]], list]:
 STUBS = Scorers(generate=load_stub, consistency=any_response, support=full_support)
 
 
+FULL = Settings(
+    models=(MODELS[0], MODELS[3]), compression_threshold=48, responses_per_cell=2, windows={MODELS[0]: 100 + 64 + 8}
+)
+
+
+def load_speaker(model_name: str, wanted: Generation) -> Callable[[list[str]], list]:
+    """A deterministic model with as many answers as the run asks for, in white space."""
+
+    def answers(prompt: str) -> list[str]:
+        words = prompt.split()
+        return [f"  {words[1]} {words[-1]}\n", words[1], words[0]][: wanted.answers]
+
+    return lambda prompts: [answers(p) for p in prompts]
+
+
+def load_cutter(_: None) -> Callable[[list[str]], list[str]]:
+    """A compressor that keeps the first words."""
+    return lambda prompts: [first_words(FULL.compression_threshold)(p) for p in prompts]
+
+
+def load_embedder(_: None) -> Callable[[list[list[str]]], list]:
+    """Short answers point one way, long ones another."""
+    return lambda rows: [[[1.0, 0.0] if len(a) <= 6 else [0.0, 1.0] for a in answers] for answers in rows]
+
+
+def load_judge(_: None) -> Callable[[list[tuple[str, str]]], list]:
+    """Entailment by the length of the premise."""
+    return lambda pairs: [[0.0, 0.0, 2.0 if len(premise) % 2 else 0.0] for premise, _ in pairs]
+
+
+def _full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run with every stage: compressor, windows, several answers, embeddings and entailment."""
+    ship_package(spark)
+    samples = dialogue_samples(table(spark, sf_dir, "conversations"))
+    log_path = shared_folder(spark, "full-run")
+    scorers = Scorers(generate=load_speaker, compress=load_cutter, embed=load_embedder, entail=load_judge)
+    run_batch(samples, log_path, scorers, RUN_ID, STARTED, FULL)
+    return read_log(spark, log_path).drop("timestamp", "batch_id")
+
+
+def _batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each of two runs over a log; odd events are the second run, and batch numbers are the same."""
+    log = log_of(spark, sf_dir).withColumns(
+        {"run_id": F.when(F.col("event_id") % 2 == 0, "first").otherwise("second"), "batch_id": F.lit(0)}
+    )
+    samples = grid_samples(spark, sf_dir)
+    counted = [
+        batch_counters(samples.withColumns({c: F.lit("") for c in ("context", "question", "answer")}), log, run).withColumn(
+            "run_id", F.lit(run)
+        )
+        for run in ("first", "second")
+    ]
+    return counted[0].unionByName(counted[1])
+
+
 def grid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples that occur in the log, to be run with the models of a run."""
     return log_of(spark, sf_dir).select("id", "dataset").distinct()
@@ -137,6 +193,8 @@ QUERIES: dict[str, Query] = {
     "run_counters": _counters,
     "score_results": _score_results,
     "batch_scoring": _batch_scoring,
+    "full_run": _full_run,
+    "batch_counters": _batch_counters,
     "resumable_scoring": _resumable_scoring,
     "running_summary": lambda s, d: _running_summary(s, d),
 }
@@ -198,6 +256,39 @@ ORACLES: dict[str, str] = {
           CASE WHEN failed THEN 0.0e0 ELSE 1.0e0 END AS nli_support,
           CASE WHEN failed THEN 1.0e0 ELSE 0.0e0 END AS hallucination, '{RUN_ID}' AS run_id, 0 AS requested_mode
         FROM predicted""",
+    "full_run": f"""WITH {DIALOGUE_SQL}, {_models_sql(FULL.models)}, modes(requested_mode) AS (VALUES (0), (1)),
+        prompted AS (SELECT *, {PROMPT_SQL} AS whole FROM samples),
+        cells AS (
+          SELECT *, CAST(len({words_sql('whole')}) AS INTEGER) AS n,
+            CASE WHEN requested_mode = 1 THEN {truncated_sql('whole', '48')} ELSE whole END AS asked,
+            CASE WHEN model_name = '{FULL.models[0]}' THEN 100 ELSE 4096 - 64 - 8 END AS cap
+          FROM prompted, models, modes),
+        sent AS (SELECT *, {truncated_sql('asked', 'cap')} AS prompt FROM cells),
+        said AS (SELECT *, {words_sql('prompt')} AS w FROM sent),
+        answered AS (
+          SELECT *, w[2] || ' ' || w[-1] AS prediction, CASE WHEN trim(context) <> '' THEN context ELSE prompt END AS long_premise
+          FROM said),
+        cut AS (SELECT *, {truncated_sql('long_premise', '400')} AS short_premise, 512 - len({words_sql('prediction')}) AS room
+          FROM answered),
+        judged AS (SELECT *, {truncated_sql('short_premise', 'room')} AS premise FROM cut),
+        scored AS (
+          SELECT *, CASE WHEN premise = '' OR prediction = '' THEN 0.0e0 WHEN length(premise) % 2 = 1
+            THEN exp(0.0e0) / (exp(-2.0e0) + exp(-2.0e0) + exp(0.0e0)) ELSE 1.0e0 / 3 END AS nli_support FROM judged)
+        SELECT id, dataset, model_name, requested_mode AS compressed, n AS orig_tokens,
+          CAST(len({words_sql('asked')}) AS INTEGER) AS compressed_tokens, prediction,
+          {exact_match_sql('prediction', 'answer')} AS exact_match, {keyword_match_sql('prediction', 'answer')} AS keyword_match,
+          CASE WHEN (length(prediction) <= 6) = (length(w[2]) <= 6) THEN 1.0e0 ELSE 0.0e0 END AS self_consistency, nli_support,
+          CASE WHEN nli_support < 0.5 THEN 1.0e0 ELSE 0.0e0 END AS hallucination, '{RUN_ID}' AS run_id, requested_mode
+        FROM scored""",
+    "batch_counters": over_log(
+        f""", {_models_sql(MODELS)}, modes(requested_mode) AS (VALUES (0), (1)), runs(run, own) AS (VALUES ('first', 0), ('second', 1)),
+        grid AS (
+          SELECT id, dataset, model_name, requested_mode FROM (SELECT DISTINCT id, dataset FROM results_log), models, modes),
+        done AS (SELECT DISTINCT event_id % 2 AS own, id, dataset, model_name, compressed AS requested_mode FROM results_log)
+        SELECT (SELECT CAST(count(*) AS BIGINT) FROM results_log WHERE event_id % 2 = own) AS written,
+          (SELECT CAST(count(*) AS BIGINT) FROM grid JOIN done USING (id, dataset, model_name, requested_mode)
+            WHERE done.own <> runs.own) AS skipped, CAST(0 AS BIGINT) AS errors, run AS run_id FROM runs"""
+    ),
     "resumable_scoring": f"""WITH samples AS (
           SELECT CAST(doc_id AS VARCHAR) AS id, source AS dataset, '' AS context, text AS question, lang AS answer FROM documents),
         {_models_sql(STREAMED.models)}, cells AS (SELECT *, {PROMPT_SQL} AS prompt FROM samples, models), {_STUB}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veritrim.functions.text import hard_truncate, is_blank, token_count
+from veritrim.functions.text import is_blank
 from veritrim.schemas import PROMPT_TAIL, Settings
 
 
@@ -27,11 +27,19 @@ def input_cap(model_window: Column, tokenizer_window: Column, settings: Settings
     return F.greatest(F.lit(1), (usable - settings.max_new_tokens - settings.window_reserve).cast("int"))
 
 
-def fit_to_window(prompt: Column, cap: Column) -> Column:
+def model_cap(model: Column, settings: Settings = Settings()) -> Column:
+    """``input_cap`` of the model named, by the windows of the run."""
+    window = F.lit(None).cast("int")
+    for name, size in settings.windows.items():
+        window = F.when(model == name, F.lit(size)).otherwise(window)
+    return input_cap(window, F.lit(None).cast("int"), settings)
+
+
+def fit_to_window(prompt: Column, cap: Column, settings: Settings = Settings()) -> Column:
     """Struct ``(prompt, tokens, truncated)``; a prompt that fills the window counts as truncated."""
-    count = F.least(token_count(prompt), cap)
+    count = F.least(settings.count_tokens(prompt), cap)
     return F.struct(
-        hard_truncate(prompt, cap).alias("prompt"),
+        settings.truncate(prompt, cap).alias("prompt"),
         count.alias("tokens"),
         (count >= cap).alias("truncated"),
     )
@@ -40,7 +48,13 @@ def fit_to_window(prompt: Column, cap: Column) -> Column:
 def premise(context: Column, prompt: Column, settings: Settings = Settings()) -> Column:
     """Text the answer is checked against: the context, or the prompt when there is none."""
     chosen = F.when(is_blank(context), prompt).otherwise(context)
-    return hard_truncate(chosen, settings.premise_tokens)
+    return settings.truncate(chosen, settings.premise_tokens)
+
+
+def premise_beside(premise: Column, answer: Column, settings: Settings = Settings()) -> Column:
+    """The premise, cut so that the pair fits ``pair_tokens``; the answer is never cut."""
+    room = F.greatest(F.lit(0), F.lit(settings.pair_tokens) - settings.count_tokens(F.coalesce(answer, F.lit(""))))
+    return settings.truncate(premise, room.cast("int"))
 
 
 def compression_decision(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,16 @@ def hard_truncate(c: Column, limit: Column | int) -> Column:
     return F.when(F.size(words) > limit, F.array_join(F.slice(words, F.lit(1), limit), " ")).otherwise(c)
 
 
+def first_words(limit: int) -> Callable[[str], str]:
+    """Shortens one text to its first white-space words; shorter ones are left as they are."""
+
+    def shorten(text: str) -> str:
+        words = text.split()
+        return text if len(words) <= limit else " ".join(words[:limit])
+
+    return shorten
+
+
 def final_answer(c: Column) -> Column:
     """The stripped text after the last ``####``; the whole text when there is no mark."""
     return strip(F.element_at(F.split(c, "####"), -1))

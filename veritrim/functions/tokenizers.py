@@ -1,4 +1,4 @@
-"""Token counts by a tokenizer the caller brings."""
+"""Token counts and cuts by a tokenizer the caller brings."""
 
 from __future__ import annotations
 
@@ -20,3 +20,44 @@ def token_counter(load: Callable[[], Callable[[str], Sequence]]) -> Callable[[Co
             yield texts.map(lambda text: 0 if text is None else len(encode(text))).astype("int32")
 
     return count
+
+
+Codec = tuple[Callable[[str], Sequence], Callable[[Sequence], str]]
+
+
+def token_truncator(load: Callable[[], Codec]) -> Callable[[Column, Column | int], Column]:
+    """A cutting function for ``Settings.truncate``; ``load`` runs once per task and returns (encode, decode).
+
+    A text within the limit is returned unchanged.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        encode, decode = load()
+
+        def one(text: str | None, limit: int) -> str | None:
+            coded = encode(text) if text is not None else ()
+            return decode(coded[:limit]) if len(coded) > limit else text
+
+        for texts, limits in batches:
+            yield pd.Series([one(t, int(n)) for t, n in zip(texts, limits, strict=True)], dtype=object)
+
+    return lambda text, limit: cut(text, F.lit(limit))
+
+
+def token_shortener(load: Callable[[], Codec]) -> Callable[[int], Callable[[str], str]]:
+    """A cutting function for ``Settings.shorten``; ``load`` runs on the worker that first needs it."""
+
+    def shortener(limit: int) -> Callable[[str], str]:
+        codec: list[Codec] = []
+
+        def shorten(text: str) -> str:
+            if not codec:
+                codec.append(load())
+            encode, decode = codec[0]
+            coded = encode(text)
+            return decode(coded[:limit]) if len(coded) > limit else text
+
+        return shorten
+
+    return shortener

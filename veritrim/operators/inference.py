@@ -74,16 +74,6 @@ def _predict_with_retry(
     return results, used
 
 
-def first_tokens(limit: int) -> Callable[[str], str]:
-    """Shortens a prompt to its first tokens; shorter prompts are left as they are."""
-
-    def shorten(prompt: str) -> str:
-        words = prompt.split()
-        return prompt if len(words) <= limit else " ".join(words[:limit])
-
-    return shorten
-
-
 def score_batches(
     df: DataFrame,
     load: Loader,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritrim.functions.metrics import entailment_support
-from veritrim.functions.prompts import build_prompt, compression_decision, premise
+from veritrim.functions.prompts import build_prompt, compression_decision, model_cap, premise, premise_beside
+from veritrim.functions.text import strip
 from veritrim.functions.vectors import response_consistency
 from veritrim.operators.aggregates import experiment_summary, run_counters
 from veritrim.operators.compress import compress_to_budget, token_frequencies
 from veritrim.operators.grid import condition_grid, pending_cells, skipped_cells
-from veritrim.operators.inference import Loader, first_tokens, score_batches
+from veritrim.operators.inference import Loader, Predictor, score_batches
 from veritrim.operators.pairing import delta_stats, paired_delta
 from veritrim.operators.prepare import sample_defaults
 from veritrim.operators.results import (
@@ -35,16 +37,28 @@ from veritrim.sources.readers import read_log
 from veritrim.sources.writers import append_results
 
 
+@dataclass(frozen=True)
+class Generation:
+    """What a run asks of a model: so many answers a prompt, sampled only if there are several, of so many tokens."""
+
+    answers: int
+    sampled: bool
+    max_new_tokens: int
+
+
 @dataclass(frozen=True)
 class Scorers:
     """The models of a run.
 
-    ``generate(model_name)`` loads a model that maps prompts to lists of answers. ``embed`` and
+    ``generate(model_name)`` loads a model that maps prompts to lists of answers; a loader with a second parameter
+    gets the ``Generation`` of the run. ``compress`` loads a compressor that maps prompts to shorter ones; when it cannot
+    be loaded, prompts go as they are. Without it the rarest tokens are kept. ``embed`` and
     ``entail``, where given, load models that map answers to vectors and (premise, answer)
     pairs to class logits; without them the column functions are used.
     """
 
-    generate: Loader
+    generate: Loader | Callable[[str, Generation], Predictor]
+    compress: Loader | None = None
     embed: Loader | None = None
     entail: Loader | None = None
     consistency: Callable[[Column], Column] = any_response
@@ -57,6 +71,7 @@ def plan_cells(
     settings: Settings = Settings(),
     frequencies: DataFrame | None = None,
     scratch: str | None = None,
+    compressor: Loader | None = None,
 ) -> DataFrame:
     """One row per cell still to do, with the prompt to send.
 
@@ -74,7 +89,9 @@ def plan_cells(
         .agg(F.collect_set(F.struct("model_name", "requested_mode")).alias("_cells"))
     )
     # Samples that share a key are one cell: one of them stands for all, the same one in every attempt.
-    unique = usable.groupBy(*key).agg(F.min(F.struct("context", "question", "answer")).alias("_s"))
+    # Only samples with work left move their texts.
+    open_ = usable.join(todo.select(*key), key, "left_semi")
+    unique = open_.groupBy(*key).agg(F.min(F.struct("context", "question", "answer")).alias("_s"))
     prompts = unique.join(todo, key).select(
         *key, "_cells", "_s.*", build_prompt(F.col("_s.context"), F.col("_s.question")).alias("prompt")
     )
@@ -84,14 +101,19 @@ def plan_cells(
             *key, "context", "question", "answer", "prompt", "orig_tokens",
             F.col("orig_tokens").alias("compressed_tokens"), F.lit(0).alias("compressed"), F.inline("_cells"),
         )
-    prompts = written(prompts, "prompts", scratch)
-    if frequencies is None:
-        whole = usable.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
-        frequencies = token_frequencies(whole, "prompt")
-    short = compress_to_budget(prompts, key, "prompt", settings.compression_threshold, frequencies).select(
-        *key, F.col("prompt").alias("_short")
-    )
-    counted = prompts.join(short, key).withColumns(
+    if compressor is not None:
+        made = score_batches(prompts, compressor, "prompt", "_short", T.StringType())
+        made = made.withColumn("_available", F.col("error").isNull() & F.col("_short").isNotNull()).drop("error")
+    else:
+        prompts = written(prompts, "prompts", scratch)
+        if frequencies is None:
+            whole = usable.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
+            frequencies = token_frequencies(whole, "prompt")
+        short = compress_to_budget(prompts, key, "prompt", settings.compression_threshold, frequencies).select(
+            *key, F.col("prompt").alias("_short")
+        )
+        made = prompts.join(short, key).withColumn("_available", F.lit(True))
+    counted = made.withColumns(
         {
             "orig_tokens": settings.count_tokens(F.col("prompt")),
             "_short_tokens": settings.count_tokens(F.col("_short")),
@@ -100,7 +122,7 @@ def plan_cells(
     decided = counted.withColumn(
         "_d",
         compression_decision(
-            F.col("prompt"), F.col("orig_tokens"), F.col("_short"), F.col("_short_tokens"), settings=settings
+            F.col("prompt"), F.col("orig_tokens"), F.col("_short"), F.col("_short_tokens"), F.col("_available"), settings
         ),
     )
     cells = decided.select(
@@ -110,24 +132,39 @@ def plan_cells(
     return cells.withColumns(
         {
             "prompt": F.when(wanted, F.col("_d.prompt")).otherwise(F.col("prompt")),
+            "orig_tokens": F.when(wanted, F.col("_d.orig_tokens")).otherwise(F.col("orig_tokens")),
             "compressed_tokens": F.when(wanted, F.col("_d.compressed_tokens")).otherwise(F.col("orig_tokens")),
             "compressed": F.when(wanted, F.col("_d.was_compressed").cast("int")).otherwise(F.lit(0)),
         }
     ).drop("_d")
 
 
+def _asked(load: Callable, settings: Settings) -> Loader:
+    """The loader as Spark's model stage calls it: by model name alone."""
+    if len(inspect.signature(load).parameters) < 2:
+        return load
+    wanted = Generation(settings.responses_per_cell, settings.responses_per_cell > 1, settings.max_new_tokens)
+    return lambda model: load(model, wanted)
+
+
 def generate(cells: DataFrame, load: Loader, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``responses``; out-of-memory rows are retried once with a shortened prompt."""
+    """Adds ``responses``, stripped, no more than the run asks for.
+
+    Prompts are cut to the input window of their model first; out-of-memory rows are retried once with a shortened prompt.
+    """
+    fitted = cells.withColumn("prompt", settings.truncate(F.col("prompt"), model_cap(F.col("model_name"), settings)))
+    answered = score_batches(
+        fitted.withColumn("_sent", F.xxhash64("prompt")),
+        _asked(load, settings),
+        "prompt",
+        "responses",
+        T.ArrayType(T.StringType()),
+        model_col="model_name",
+        shorten=settings.shorten(settings.retry_tokens),
+    )
+    answers = F.transform(F.slice("responses", 1, settings.responses_per_cell), strip)
     return (
-        score_batches(
-            cells.withColumn("_sent", F.xxhash64("prompt")),
-            load,
-            "prompt",
-            "responses",
-            T.ArrayType(T.StringType()),
-            model_col="model_name",
-            shorten=first_tokens(settings.retry_tokens),
-        )
+        answered.withColumn("responses", answers)
         .withColumn("compressed_tokens", tokens_sent(F.col("_sent"), settings))
         .drop("_sent")
     )
@@ -139,7 +176,7 @@ def score_cells(cells: DataFrame, scorers: Scorers, settings: Settings = Setting
     checked = premise(F.col("context"), F.col("prompt"), settings)
     support, consistency = scorers.support(checked, answer), scorers.consistency(F.col("responses"))
     if scorers.entail is not None:
-        pairs = cells.withColumns({"_premise": checked, "_answer": answer})
+        pairs = cells.withColumns({"_premise": premise_beside(checked, answer, settings), "_answer": answer})
         cells = score_batches(pairs, scorers.entail, ["_premise", "_answer"], "_logits", T.ArrayType(T.DoubleType()))
         support = entailment_support(F.col("_premise"), F.col("_answer"), F.col("_logits"))
     if scorers.embed is not None:
@@ -166,7 +203,7 @@ def run_batch(
     A log has one writer at a time.
     """
     scratch = hashlib.sha256(log_path.encode()).hexdigest()[:16]
-    cells = plan_cells(samples, read_log(samples.sparkSession, log_path), settings, frequencies, scratch)
+    cells = plan_cells(samples, read_log(samples.sparkSession, log_path), settings, frequencies, scratch, scorers.compress)
     scored = score_cells(generate(cells, scorers.generate, settings), scorers, settings)
     append_results(result_rows(scored, run_id, F.lit(started), batch_id), log_path)
 

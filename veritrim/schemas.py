@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
-from veritrim.functions.text import token_count
+from veritrim.functions.text import first_words, hard_truncate, token_count
 
 SAMPLE = T.StructType(
     [
@@ -123,10 +123,10 @@ PROMPT_TAIL = (
     "\nDo not explain."
     "\nAnswer:"
 )
+# The mark of a failed row, and what runtimes say when memory runs out.
 ERROR_MARK = "[SKIPPED_ERROR] "
 OOM_MARKERS = (
     "out of memory",
-    "cuda out of memory",
     "cublas_status_alloc_failed",
     "cuda error",
 )
@@ -136,7 +136,9 @@ OOM_MARKERS = (
 class Settings:
     """Run parameters; the defaults are the published run parameters.
 
-    ``count_tokens`` turns a text column into token counts: white-space words, or a ``token_counter``.
+    ``count_tokens`` turns a text column into token counts, ``truncate`` keeps the first tokens of a text column, and
+    ``shorten`` does so for one text in a model stage: white-space words, or those of a tokenizer
+    (``functions.tokenizers``). ``windows`` has the context window of each model that has another than ``default_window``.
     """
 
     models: tuple[str, ...] = MODELS
@@ -150,10 +152,13 @@ class Settings:
     window_reserve: int = 8
     retry_tokens: int = 1024
     premise_tokens: int = 400
+    pair_tokens: int = 512
     error_chars: int = 180
     responses_per_cell: int = 1
-    target_samples: int = 1000
+    windows: Mapping[str, int] = field(default_factory=dict)
     count_tokens: Callable[[Column], Column] = token_count
+    truncate: Callable[[Column, Column | int], Column] = hard_truncate
+    shorten: Callable[[int], Callable[[str], str]] = first_words
 
     @property
     def modes(self) -> tuple[int, ...]:
