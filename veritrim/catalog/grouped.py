@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrim.catalog.base import Query, log_of, over_clean, over_log, table
-from veritrim.functions.metrics import hallucination, model_family
+from veritrim.functions.metrics import exact_mean, hallucination, model_family
 from veritrim.operators.aggregates import (
     clean_log,
     condition_cells,
@@ -23,9 +25,11 @@ from veritrim.operators.aggregates import (
 )
 from veritrim.operators.dedup import keep_last
 from veritrim.operators.pairing import delta_stats, latest_paired_delta, paired_delta
-from veritrim.plans.analysis import compression_effect, model_dataset_deltas
+from veritrim.plans.analysis import analyse, compression_effect, model_dataset_deltas
 from veritrim.plans.results_log import results_log_text
 from veritrim.schemas import METRICS
+from veritrim.session import shared_folder
+from veritrim.sources.writers import write_summary
 
 TIE = ["event_id"]
 BY_MODE = ["model_name", "compression_label"]
@@ -58,6 +62,41 @@ def _clean_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("event_id", "id", "dataset", "model_name", "compressed", "compression_label", *BOTH)
 
 
+def _gappy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log, with prompts of twenty to forty tokens without a time."""
+    gap = F.col("orig_tokens").between(20, 40)
+    return log_of(spark, sf_dir).withColumn("timestamp", F.when(~gap, F.col("timestamp")))
+
+
+def _summary_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary file as a reader finds it."""
+    path = shared_folder(spark, "summary-file")
+    write_summary(experiment_summary(log_of(spark, sf_dir)), path, fmt="parquet", digits=None)
+    return spark.read.parquet(path)
+
+
+def _tables_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of the analysis as a reader finds them: rows of each, and the sum of its first measure."""
+    folder = shared_folder(spark, "analysis")
+    analyse(log_of(spark, sf_dir), folder, fmt="parquet", tiebreak=TIE)
+    measure = {
+        "agg_mean_nli_per_model_compression": "mean_nli_support",
+        "agg_mean_hallucination_per_model_compression": "mean_hallucination_rate",
+        "agg_mean_hallucination_per_model": "mean_hallucination_rate",
+        "agg_mean_metrics_per_dataset": "mean_exact_match",
+        "delta_metrics_model_dataset": "delta_nli",
+        "delta_metrics_by_model": "delta_nli",
+        "delta_metrics_by_dataset": "delta_nli",
+    }
+    parts = [
+        spark.read.parquet(f"{folder}/{name}").agg(
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), exact_mean(F.col(c)).alias("mean_value")
+        )
+        for name, c in measure.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _family_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = log_of(spark, sf_dir).withColumn("model_family", model_family(F.col("model_name")))
     counts = log.groupBy("model_family").agg(F.count(F.lit(1)).alias("n"))
@@ -72,6 +111,10 @@ def _hallucination_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "compression_effect": lambda s, d: compression_effect(log_of(s, d), TIE),
     "dedup_keep_last": lambda s, d: keep_last(log_of(s, d), tiebreak=TIE),
+    "dedup_missing_time_wins": lambda s, d: keep_last(_gappy_log(s, d), tiebreak=TIE, missing_time_wins=True),
+    "dedup_without_time": lambda s, d: keep_last(log_of(s, d).drop("timestamp"), time_col=None, tiebreak=TIE),
+    "summary_written": _summary_written,
+    "tables_written": _tables_written,
     "clean_required": _clean_required,
     "paired_delta": lambda s, d: paired_delta(log_of(s, d)),
     "paired_delta_dedup": lambda s, d: latest_paired_delta(log_of(s, d), tiebreak=TIE),
@@ -206,11 +249,36 @@ _INSIGHTS = over_clean(
     ),
 )
 
+def _written(name: str, measure: str, source: str) -> str:
+    return f"""SELECT '{name}' AS table_name, CAST(count(*) AS BIGINT) AS n, avg(v) AS mean_value FROM (SELECT {measure} AS v FROM {source})"""
+
+
 ORACLES: dict[str, str] = {
     "compression_effect": over_clean(
         _CLEAN_PAIRS, f"SELECT model_name, dataset, {_STATS} FROM pairs GROUP BY model_name, dataset"
     ),
     "dedup_keep_last": over_clean("", "SELECT * EXCLUDE (compression_label) FROM clean"),
+    "dedup_missing_time_wins": over_log(
+        """, gappy AS (SELECT * REPLACE (CASE WHEN orig_tokens BETWEEN 20 AND 40 THEN NULL ELSE "timestamp" END AS "timestamp")
+          FROM results_log)
+        SELECT * FROM gappy QUALIFY row_number() OVER (
+          PARTITION BY id, dataset, model_name, compressed ORDER BY "timestamp" DESC NULLS FIRST, event_id DESC) = 1"""
+    ),
+    "dedup_without_time": over_log(
+        """SELECT * EXCLUDE ("timestamp") FROM results_log QUALIFY row_number() OVER (
+          PARTITION BY id, dataset, model_name, compressed ORDER BY event_id DESC) = 1"""
+    ),
+    "summary_written": f'SELECT * EXCLUDE (dataset, compressed) FROM ({SUMMARY_SQL})',
+    "tables_written": over_clean(
+        _CONDITIONS,
+        f"""{_written("agg_mean_nli_per_model_compression", "avg(nli_support)", "clean GROUP BY model_name, compression_label")}
+        UNION ALL {_written("agg_mean_hallucination_per_model_compression", "avg(hallucination)", "clean GROUP BY model_name, compression_label")}
+        UNION ALL {_written("agg_mean_hallucination_per_model", "avg(hallucination)", "clean GROUP BY model_name")}
+        UNION ALL {_written("agg_mean_metrics_per_dataset", "avg(exact_match)", "clean GROUP BY dataset")}
+        UNION ALL {_written("delta_metrics_model_dataset", "delta_nli", "wide")}
+        UNION ALL {_written("delta_metrics_by_model", "avg(delta_nli)", "wide GROUP BY model_name")}
+        UNION ALL {_written("delta_metrics_by_dataset", "avg(delta_nli)", "wide GROUP BY dataset")}""",
+    ),
     "clean_required": over_log(
         """, text_log AS (
   SELECT * REPLACE (

@@ -13,7 +13,9 @@ from veritrim.operators.numbering import number_all, number_capped
 from veritrim.operators.prepare import dialogue_samples, sample_defaults, with_first_answer
 from veritrim.operators.skew import first_n_per_group
 from veritrim.schemas import RESULT
-from veritrim.sources.readers import good_rows, parsed_json, rejected_lines, typed_results
+from veritrim.session import shared_folder
+from veritrim.sources.readers import good_rows, parsed_json, read_jsonl, rejected_lines, typed_results
+from veritrim.sources.writers import write_samples
 
 HAS_DIGIT = "[0-9]"
 
@@ -103,6 +105,13 @@ def _sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_all(documents, "source", "doc_id", F.concat(F.col("source"), F.lit("_")))
 
 
+def _samples_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample file as a reader of JSON lines finds it."""
+    path = shared_folder(spark, "samples")
+    write_samples(dialogue_samples(table(spark, sf_dir, "conversations")), path)
+    return good_rows(read_jsonl(spark, path)).drop("source_file")
+
+
 def partial_samples(turns: DataFrame) -> DataFrame:
     """Turns as samples with gaps: which fields are there depends on the role."""
     role, text = F.col("role"), F.col("text")
@@ -167,6 +176,7 @@ QUERIES: dict[str, Query] = {
     "first_or_empty": _first_or_empty,
     "head_n_per_source": _head_n,
     "sequential_ids": _sequential_ids,
+    "samples_written": _samples_written,
     "unified_samples": lambda s, d: dialogue_samples(table(s, d, "conversations")),
     "sample_defaults": lambda s, d: sample_defaults(partial_samples(table(s, d, "conversations"))),
     "lenient_cast": lambda s, d: _lenient_cast(s, d),
@@ -224,6 +234,7 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 25""",
     "sequential_ids": """SELECT source, doc_id,
         source || '_' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) AS id FROM documents""",
+    "samples_written": f"WITH {DIALOGUE_SQL} SELECT * FROM samples",
     "unified_samples": f"WITH {DIALOGUE_SQL} SELECT * FROM samples",
     "sample_defaults": """SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id,
         CASE role WHEN 'user' THEN 'dialogue' ELSE 'unknown' END AS dataset,

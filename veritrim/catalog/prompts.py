@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrim.catalog.base import Query, table
 from veritrim.catalog.preparation import DIALOGUE_SQL
@@ -16,12 +17,14 @@ from veritrim.functions.metrics import (
 )
 from veritrim.functions.prompts import build_prompt, compression_decision, fit_to_window, input_cap, premise
 from veritrim.functions.text import hard_truncate, last_number, normalize_text, token_count
+from veritrim.functions.vectors import response_consistency
 from veritrim.operators.compress import compress_to_budget
+from veritrim.operators.inference import score_batches
 from veritrim.operators.prepare import dialogue_samples
 from veritrim.operators.results import FAILED, with_sentinels
 from veritrim.operators.vectors import self_consistency
 from veritrim.schemas import MODELS, Settings
-from veritrim.session import written
+from veritrim.session import ship_package, written
 
 BUDGET = 64
 SHORT_RUN = Settings(force_compression=False, compression_threshold=BUDGET)
@@ -54,6 +57,15 @@ def _compression_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.join(short, "id").select("id", decision.alias("_d")).select("id", "_d.*")
 
 
+def _response_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two answers a row, embedded in a model stage: the stored vector and the same one turned by a place."""
+    ship_package(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    load = lambda _: lambda vectors: [[v, v[1:] + v[:1]] for v in vectors]
+    made = score_batches(rows, load, "embedding", "_vectors", T.ArrayType(T.ArrayType(T.FloatType())))
+    return made.select("vec_id", response_consistency(F.col("_vectors")).alias("self_consistency"))
+
+
 def _altered_text() -> Column:
     """A prediction for the text as gold, by language: same words, another number, nothing, other letters."""
     lang, text = F.col("lang"), F.col("text")
@@ -161,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "keyword_match": lambda s, d: table(s, d, "documents").select(
         "doc_id", keyword_match(_altered_text(), F.col("text")).alias("keyword_match")
     ),
+    "response_embedding": _response_embedding,
     "self_consistency": lambda s, d: self_consistency(table(s, d, "embeddings"), ["label"], "embedding"),
     "softmax_support": lambda s, d: _softmax_support(s, d),
 }
@@ -272,6 +285,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, {exact_match_sql('prediction', 'text')} AS exact_match FROM pairs""",
     "keyword_match": f"""WITH pairs AS (SELECT doc_id, text, {_ALTERED} AS prediction FROM documents)
         SELECT doc_id, {keyword_match_sql('prediction', 'text')} AS keyword_match FROM pairs""",
+    "response_embedding": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+        SELECT vec_id, list_dot_product(e, list_concat(e[2:], e[1:1])) / list_dot_product(e, e) AS self_consistency FROM v""",
     "self_consistency": """WITH v AS (
           SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
             greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-8) AS norm

@@ -25,9 +25,9 @@ def condition_grid(samples: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def logged_cells(log: DataFrame) -> DataFrame:
-    """Distinct cells in the log; a log without the requested mode is keyed by the applied one."""
+    """Cells in the log, as often as it has them; a log without the requested mode is keyed by the applied one."""
     mode = F.col("requested_mode") if "requested_mode" in log.columns else F.col("compressed")
-    return log.select("id", "dataset", "model_name", mode.cast("int").alias("requested_mode")).distinct()
+    return log.select("id", "dataset", "model_name", mode.cast("int").alias("requested_mode"))
 
 
 def pending_cells(grid: DataFrame, log: DataFrame) -> DataFrame:
