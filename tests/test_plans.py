@@ -1,6 +1,7 @@
 """Checks on physical plans: shuffles, joins, and where work happens."""
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,12 +10,18 @@ from tests.helpers import plan_of
 from veritrim.catalog import QUERIES
 from veritrim.functions.metrics import exact_match, keyword_match
 from veritrim.functions.text import last_number, normalize_text
-from veritrim.operators.aggregates import experiment_summary
+from veritrim.catalog.scoring import STREAMED, STUBS
+from veritrim.operators.aggregates import experiment_summary, summary_from_sums, summary_sums
+from veritrim.operators.compress import compress_to_budget, token_frequencies
 from veritrim.operators.dedup import keep_last
 from veritrim.operators.grid import condition_grid, pending_cells
 from veritrim.operators.pairing import latest_paired_delta, paired_delta
+from veritrim.operators.prepare import dialogue_samples
 from veritrim.operators.vectors import self_consistency
+from veritrim.plans.experiment import generate, plan_cells, score_cells
 from veritrim.plans.results_log import results_log
+from veritrim.schemas import RESULT_LOG
+from veritrim.sources.readers import no_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,12 +79,26 @@ def test_self_consistency_forms_no_pairs(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_makes_a_cartesian_product(spark, name):
-    if name in ("resumable_scoring", "running_summary"):
-        pytest.skip("returns what a stream has written")
     plan = plan_of(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_plans_inside_the_streams(spark, log):
+    """What each micro-batch runs: the result of a streaming query is only a scan of what it wrote."""
+    samples = dialogue_samples(spark.read.parquet(f"{SF}/conversations.parquet"))
+    frequencies = token_frequencies(samples, "question")
+    cells = plan_cells(samples, no_rows(spark, RESULT_LOG), STREAMED, frequencies)
+    scored = score_cells(generate(cells, STUBS.generate, STREAMED), STUBS, STREAMED)
+    for df in (cells, scored, summary_from_sums(summary_sums(log))):
+        plan = plan_of(df)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # Samples meet the keys that are still to do before their texts are grouped.
+    plan = plan_of(plan_cells(samples, log, replace(STREAMED, compression_enabled=False)))
+    assert "LeftSemi" in plan and "LeftAnti" in plan
+    # One frequency a token: no window and no second plan, whatever the budget.
+    assert "Window" not in plan_of(compress_to_budget(samples, ["id"], "question", 2000, frequencies))
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["sample_defaults"](spark, SF))
     assert "PushedFilters: [" in plan

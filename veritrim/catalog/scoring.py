@@ -20,15 +20,17 @@ from veritrim.catalog.prompts import (
     words_sql,
 )
 from veritrim.functions.metrics import error_text
+from veritrim.functions.prompts import build_prompt
 from veritrim.functions.text import first_words
 from veritrim.operators.aggregates import run_counters
+from veritrim.operators.compress import token_frequencies
 from veritrim.operators.grid import condition_grid, pending_cells, skipped_cells
 from veritrim.operators.prepare import dialogue_samples
 from veritrim.operators.results import any_response, full_support, measured, result_rows
 from veritrim.plans.experiment import Generation, Scorers, batch_counters, generate, plan_cells, run_batch, score_cells
 from veritrim.plans.results_log import results_log
 from veritrim.schemas import MODELS, RESULT_LOG, Settings
-from veritrim.session import shared_folder, ship_package
+from veritrim.session import shared_folder, ship_package, written
 from veritrim.sources.readers import no_rows, read_log
 from veritrim.streaming.jobs import read_summary, score_stream, summary_stream
 
@@ -36,7 +38,7 @@ RUN_ID = "20240101_000000"
 STARTED = datetime(2024, 1, 1)
 SHORT = Settings(compression_threshold=64)
 PLAIN = Settings(compression_enabled=False, retry_tokens=150)
-STREAMED = Settings(models=(MODELS[0], MODELS[3]), compression_enabled=False, retry_tokens=150)
+STREAMED = Settings(models=(MODELS[0], MODELS[3]), compression_threshold=64, retry_tokens=150)
 ROOM = 200
 
 
@@ -151,21 +153,28 @@ def _batch_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_rows(scored, RUN_ID, F.lit(STARTED)).drop("timestamp", "batch_id")
 
 
-def _resumable_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive as samples and are scored into a new log; the second run finds nothing left to do."""
-    ship_package(spark)
-    folder = shared_folder(spark, "scoring")
-    log_path = f"{folder}/log"
-    samples = arriving(spark, sf_dir, "documents").select(
+def _as_samples(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("dataset"),
         F.lit("").alias("context"),
         F.col("text").alias("question"),
         F.col("lang").alias("answer"),
     )
+
+
+def _resumable_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as samples and are scored into a new log; the second run finds nothing left to do."""
+    ship_package(spark)
+    folder = shared_folder(spark, "scoring")
+    log_path = f"{folder}/log"
+    samples = _as_samples(arriving(spark, sf_dir, "documents"))
+    corpus = _as_samples(table(spark, sf_dir, "documents"))
+    prompts = corpus.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
+    frequencies = written(token_frequencies(prompts, "prompt"), "frequencies")
     for attempt in ("first", "second"):
         score_stream(
-            samples, log_path, f"{folder}/{attempt}", STUBS, RUN_ID, STARTED, STREAMED
+            samples, log_path, f"{folder}/{attempt}", STUBS, RUN_ID, STARTED, STREAMED, frequencies
         ).awaitTermination()
     return read_log(spark, log_path).select(
         "id", "dataset", "model_name", "requested_mode", "orig_tokens", "compressed_tokens", "prediction", "exact_match"
@@ -291,8 +300,13 @@ ORACLES: dict[str, str] = {
     ),
     "resumable_scoring": f"""WITH samples AS (
           SELECT CAST(doc_id AS VARCHAR) AS id, source AS dataset, '' AS context, text AS question, lang AS answer FROM documents),
-        {_models_sql(STREAMED.models)}, cells AS (SELECT *, {PROMPT_SQL} AS prompt FROM samples, models), {_STUB}
-        SELECT id, dataset, model_name, 0 AS requested_mode, CAST(n AS INTEGER) AS orig_tokens,
+        prompted AS (SELECT *, {PROMPT_SQL} AS whole_prompt FROM samples), {compress_sql('prompted', 'id', 'whole_prompt', 64)},
+        {_models_sql(STREAMED.models)}, modes(requested_mode) AS (VALUES (0), (1)),
+        cells AS (
+          SELECT prompted.id, dataset, model_name, requested_mode, answer, orig_tokens,
+            CASE WHEN requested_mode = 1 THEN short.prompt ELSE whole_prompt END AS prompt
+          FROM prompted JOIN short USING (id), models, modes), {_STUB}
+        SELECT id, dataset, model_name, requested_mode, orig_tokens,
           CAST(len(w) AS INTEGER) AS compressed_tokens, said AS prediction, {exact_match_sql('said', 'answer')} AS exact_match
         FROM answered""",
     "running_summary": SUMMARY_SQL,

@@ -87,7 +87,7 @@ def score_batches(
     """Adds ``output`` and ``error`` columns computed by a loaded model.
 
     ``load(model_name)`` runs on the executors. A worker process holds one model at a time and keeps it for its later
-    tasks. With ``model_col``, rows are dealt to ``tasks`` ranges of model and input (four for each core of
+    tasks. With ``model_col``, rows are dealt to ``tasks`` ranges of model and input (two for each core of
     the session unless given), so that all but a few tasks see a single model, and models are loaded fewer than
     ``tasks`` + models times, however many rows there are. A load that failed is tried again by the next task.
     A failed row gets an error and no output. When a model cannot be loaded, its rows are marked
@@ -98,7 +98,7 @@ def score_batches(
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast(ERROR))
     if model_col is not None:
-        tasks = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+        tasks = tasks or 2 * df.sparkSession.sparkContext.defaultParallelism
         df = df.withColumn("_deal", F.xxhash64(*names)).repartitionByRange(tasks, model_col, "_deal")
         df = df.sortWithinPartitions(model_col).drop("_deal")
     schema = T.StructType(df.schema.fields + [T.StructField(output, output_type)])
