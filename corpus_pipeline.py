@@ -13,7 +13,7 @@ from veritrim.llm.common import table, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Mean probability of the predicted language below which a document is rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
