@@ -113,17 +113,18 @@ class Pieces(dict):
     """Ids of space-led pieces of text, as bytes; unknown ones are encoded by the tokenizer, many at a time.
 
     A byte-level tokenizer splits before every space that a visible character follows, so pieces can be encoded apart
-    (``tests/llm`` compares with whole texts). Most pieces of a text are known ones. ``most`` bounds the memory.
+    (``tests/llm`` compares with whole texts). Most pieces of a text are known ones. At most ``most`` are kept, in two
+    generations: when the younger is full, the elder is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores among them
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
-        self.most = most
+        self.most, self.elder = most, {}
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -135,10 +136,15 @@ class Pieces(dict):
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         parts = [self.split(t) for t in texts]
-        new = list(set().union(*parts) - self.keys())
-        if len(self) + len(new) > self.most and len(self):
+        if len(self) > self.most // 2:
+            self.elder = dict(self)
             self.clear()
-            new = list(set().union(*parts))
+        new = []
+        for piece in set().union(*parts) - self.keys():
+            if (known := self.elder.get(piece)) is None:
+                new.append(piece)
+            else:
+                self[piece] = known
         for start in range(0, len(new), 4096):
             some = new[start : start + 4096]
             for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -146,6 +152,17 @@ class Pieces(dict):
         return [np.frombuffer(b"".join(map(self.__getitem__, p)), np.uint32) for p in parts]
 
 
+#: What this worker process knows, by tokenizer file; its later tasks go on with it.
+_PIECES: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    if path not in _PIECES:
+        _PIECES.clear()
+        _PIECES[path] = Pieces(path)
+    return _PIECES[path]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Chunks of ``docs`` (doc_id, text; other columns are ignored) in the order of (doc_id, text), NULL ids first.
 
@@ -153,7 +170,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, shard, chunk = Pieces(tokenizer_path), TaskContext.get().partitionId(), 0
+        pieces, shard, chunk = pieces_of(tokenizer_path), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         ids: list[np.ndarray] = []
         total = 0
