@@ -7,7 +7,8 @@ share last, so that passages found everywhere seldom are what brings texts toget
 Nodes that share a prefix shingle form a run, sorted and banded by set size; in a band each is paired with the first (a
 star). Pairs are checked by bitmap signatures, whose bit counts bound the overlap from above, then by intersection of
 the sorted shingles. Runs that still hold several components are joined in tiles of the sizes that may link, across components
-only, and by signatures before any pair leaves the tile. So a group of many copies costs as many pairs as it has members, and no link between different components is lost.
+only, and by signatures before any pair leaves the tile: first the likeliest pair of each node, and at the end all that are left.
+So a group of many copies costs as many pairs as it has members, and no link between different components is lost.
 
 Any choice of the shingles that come last gives the same result; it only decides how many pairs are looked at.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrim.llm.common import LOWER_BYTES, arrow_map, sized, texts_of, written
+from veritrim.llm.common import LOWER_BYTES, arrow_map, largest, sized, texts_of, written
 
 WIDTH = 5
 #: Similarity as a fraction: 4 / 5.
@@ -331,9 +332,9 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_enough(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Which of the pairs may link by their signatures; array operations over pairs of like lengths."""
-    out = np.zeros(len(a), bool)
+def most_overlap(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """The bound of the overlap of each pair by its signatures; array operations over pairs of like lengths."""
+    out = np.zeros(len(a), np.int64)
     widths = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
     for wide in np.unique(widths, axis=0):
         mine = np.flatnonzero((widths == wide).all(axis=1))
@@ -343,15 +344,14 @@ def near_enough(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray
         while y.shape[1] > x.shape[1]:
             y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
         differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
-        total = n_a[mine] + n_b[mine]
-        overlap = (total - differ) // 2
-        out[mine] = WHOLE * overlap >= PART * (total - overlap)
+        out[mine] = (n_a[mine] + n_b[mine] - differ) // 2
     return out
 
 
-def across(rows: DataFrame) -> DataFrame:
+def across(rows: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of nodes of one token (token, n, node, root, signature) that may link by size and signature, and whose
-    roots differ.
+    roots differ: all of them, or with ``best`` for each node the likeliest of those before it, so that there are no more
+    pairs than rows.
 
     Rows of a token come sorted by size; a task holds those whose size may link with the next, and joins tile after
     tile with them. Only pairs that pass the bound of their signatures leave it.
@@ -368,6 +368,7 @@ def across(rows: DataFrame) -> DataFrame:
                 window = np.concatenate([window[:, reach], tile], axis=1)
                 held = np.concatenate([held[reach], signs[start : start + 256]])
                 old = window.shape[1] - tile.shape[1]
+                likeliest, partner = np.zeros(tile.shape[1]), np.zeros(tile.shape[1], np.int64)
                 for lo in range(0, window.shape[1], 256):
                     side = window[:, lo : lo + 256]
                     fits = (side[0][:, None] == tile[0]) & (side[3][:, None] != tile[3]) & (side[1][:, None] * WHOLE >= tile[1] * PART)
@@ -375,9 +376,20 @@ def across(rows: DataFrame) -> DataFrame:
                     i, j = np.nonzero(fits)
                     for k in range(0, len(i), 8192):
                         x, y = i[k : k + 8192], j[k : k + 8192]
-                        near = near_enough(list(held[lo + x]), list(held[old + y]), side[1][x], tile[1][y])
-                        if near.any():
-                            yield _record([pa.array(side[2][x[near]], pa.int64()), pa.array(tile[2][y[near]], pa.int64())], "a b")
+                        n_x, n_y = side[1][x], tile[1][y]
+                        overlap = most_overlap(list(held[lo + x]), list(held[old + y]), n_x, n_y)
+                        near = links(overlap, n_x, n_y)
+                        x, y, share = x[near], y[near], (overlap / (n_x + n_y - overlap))[near]
+                        if best:
+                            order = np.argsort(share, kind="stable")  # the last written is the likeliest
+                            x, y, share = x[order], y[order], share[order]
+                            more = share > likeliest[y]
+                            likeliest[y[more]], partner[y[more]] = share[more], side[2][x[more]]
+                        elif len(x):
+                            yield _record([pa.array(side[2][x], pa.int64()), pa.array(tile[2][y], pa.int64())], "a b")
+                found = likeliest > 0
+                if found.any():
+                    yield _record([pa.array(partner[found], pa.int64()), pa.array(tile[2][found], pa.int64())], "a b")
                 last = window[0] == tile[0, -1]
                 window, held = window[:, last], held[last]
 
@@ -392,8 +404,8 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     described = written(describe(docs), "jaccard-described")
     rows = described.filter("kind = 0").drop("kind")
-    common = described.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n"))
-    told = common.orderBy(F.desc("n"), "node").limit(MOST_COMMON).select("node", "n").toArrow()  # bounded by a parameter
+    common = written(described.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")), "jaccard-common")
+    told = largest(common, "n", MOST_COMMON).toArrow()  # bounded by a parameter
     shingle, texts = (np.asarray(told.column(c)).astype(np.int64) for c in ("node", "n"))
     order = np.argsort(shingle.view(np.uint64))
     shingle, texts = shingle[order].view(np.uint64), texts[order]
@@ -408,18 +420,19 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     stars = shared.select(*_ordered(F.col("lead"), F.col("node"))).unionByName(
         leads.join(heads, ["token", "band"]).select(*_ordered(F.col("lead"), F.col("head.lead")))
     )
-    found = verified(written(stars.filter("a < b").distinct(), "jaccard-pairs"), nodes, docs)
-    roots = written(components(found), "jaccard-roots")
-
-    placed = shared.select("token", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    told = nodes.select("node", "signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_rows = shared.select("token", "n", "node").join(mixed_tokens.select("token"), "token", "left_semi")
-    rest = across(mixed_rows.join(told, "node"))
-    # Stars were looked at already.
-    again = verified(written(rest.join(stars.filter("a < b").distinct(), ["a", "b"], "left_anti"), "jaccard-rest"), nodes, docs)
-    ends = roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    final = written(components(ends.unionByName(again)), "jaccard-final")
+    seen = written(stars.filter("a < b").distinct(), "jaccard-pairs")
+    roots = written(components(verified(seen, nodes, docs)), "jaccard-roots")
+    # What is left of different components: twice the likeliest pair of each node, which joins most of them, then all pairs.
+    for best in (True, True, False):
+        placed = shared.select("token", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        told = nodes.select("node", "signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = shared.select("token", "n", "node").join(several.select("token"), "token", "left_semi").join(told, "node")
+        new = written(across(left, best).join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
+        ends = roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        roots = written(components(ends.unionByName(verified(new, nodes, docs))), "jaccard-roots")
+        seen = seen.unionByName(new)
+    final = roots
     named = rows.join(final, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
     return written(named, "jaccard-named")
 
@@ -450,9 +463,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(name).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     others = rows.join(first, "root").select("doc_id", "text_hash", (name == F.col("first")).alias("stays"))
     others = others.groupBy("doc_id", "text_hash").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    listed = sized(written(others.filter("not stays or rows > 1").withColumnRenamed("doc_id", "_doc_id"), "jaccard-listed"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    same = hashed["doc_id"].eqNullSafe(listed["_doc_id"]) & (hashed["_text_hash"] == listed["text_hash"])
-    alone = hashed.join(listed, same, "left_anti").drop("_text_hash")
-    repeated = hashed.join(listed.filter("stays"), same).dropDuplicates(["_doc_id", "_text_hash"])
-    return alone.unionByName(repeated.select(docs.columns))
+    listed = others.filter("not stays or rows > 1").toDF("_listed_id", "_listed_hash", "_listed_stays", "_listed_rows")
+    listed = sized(written(listed, "jaccard-listed"))
+    hash_ = F.xxhash64(docs["text"].cast("string"))
+    same = docs["doc_id"].eqNullSafe(listed["_listed_id"]) & (hash_ == listed["_listed_hash"])
+    alone = docs.join(listed, same, "left_anti")
+    repeated = docs.join(listed.filter("_listed_stays"), same).dropDuplicates(["_listed_id", "_listed_hash"])
+    return alone.unionByName(repeated.select(*[docs[c] for c in docs.columns]))
