@@ -37,6 +37,8 @@ CHUNK_SCHEMA = (
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits of each unsigned value; 1 for 0."""
+    if not len(values) or values.max() < 1 << 52:  # exact as doubles
+        return np.maximum(np.frexp(values.astype(np.float64))[1], 1)
     high = (values >> np.uint64(32)).astype(np.float64)
     low = (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.maximum(np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]), 1)
@@ -57,8 +59,12 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     large = values[bit_lengths(values) > 60]
     # The selector at each place: the first, so the widest, whose ids all fit. A word may run over the end of its block.
     chosen = np.zeros((rows, block), np.int8)
+    widest = bits.max()
     for selector in range(len(COUNTS) - 1, 0, -1):
         count = int(COUNTS[selector])
+        if BITS[selector] >= widest:
+            chosen[:] = selector
+            continue
         over = np.zeros((rows, block + most + 1), np.int32)
         np.cumsum(bits > BITS[selector], axis=1, out=over[:, 1:])
         fits = over[:, count : count + block] == over[:, :block]
@@ -117,7 +123,7 @@ class Pieces(dict):
     generations: when the younger is full, the elder is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores among them
         from tokenizers import Tokenizer
 
@@ -140,7 +146,9 @@ class Pieces(dict):
             self.elder = dict(self)
             self.clear()
         new = []
-        for piece in set().union(*parts) - self.keys():
+        for piece in set().union(*parts):
+            if piece in self:
+                continue
             if (known := self.elder.get(piece)) is None:
                 new.append(piece)
             else:
