@@ -80,6 +80,22 @@ def test_components_equal_all_pairs(spark):
     assert sorted(ids, key=str) == sorted([*others, rows[-1][0], 900, 901, 902], key=str)
 
 
+def test_nodes_alone_in_their_salts_link(spark, monkeypatch):
+    monkeypatch.setattr(J, "SALT_ROWS", 1)
+    monkeypatch.setattr(J, "COMMON_IN_BATCH", 2)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(150)]
+    rows = [(i, " ".join([f"l{i}x{k}" for k in range(200)] + passage)) for i in range(60)]  # longer texts, of rarer prefixes
+    for i in range(5):  # the passage with a word changed
+        text = list(passage)
+        text[rng.randrange(150)] = f"changed{i}"
+        rows.append((100 + i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert {c for d, _, c in want if d >= 100} == {100}
+    assert sorted((tuple(r) for r in J.jaccard_components(df).collect()), key=str) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_components(df).collect() == []

@@ -183,7 +183,8 @@ def prefixes(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np
 
 
 def prefix_rows(docs: DataFrame, common: np.ndarray, texts: np.ndarray) -> DataFrame:
-    """token, salt, n, node: the prefix of each text. Common tokens are salted by how many texts have them."""
+    """token, salt, n, node, parts: the prefix of each text. Common tokens are salted by how many texts have them, into so
+    many parts; others have one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,14 +193,15 @@ def prefix_rows(docs: DataFrame, common: np.ndarray, texts: np.ndarray) -> DataF
                 tokens, owner = prefixes(sets, common)
                 node = np.array([node_of(s) for s in sets], np.int64)[owner]
                 size = np.array([len(s) for s in sets], np.int64)[owner]
-                salt = np.zeros(len(tokens), np.int64)
+                salt, parts = np.zeros(len(tokens), np.int64), np.ones(len(tokens), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
                     parts = np.where(common[at] == tokens, -(-texts[at] // SALT_ROWS), 1)
                     salt = (node.view(np.uint64) >> np.uint64(20)).astype(np.int64) % parts
-                yield _record([_signed(tokens), pa.array(salt, pa.int32()), pa.array(size, pa.int64()), pa.array(node, pa.int64())], "token salt n node")
+                columns = [pa.array(salt, pa.int32()), *(pa.array(c, pa.int64()) for c in (size, node, parts))]
+                yield _record([_signed(tokens), *columns], "token salt n node parts")
 
-    return arrow_map(docs, task, "token long, salt int, n long, node long")
+    return arrow_map(docs, task, "token long, salt int, n long, node long, parts long")
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
@@ -209,22 +211,23 @@ def band_of(n: np.ndarray) -> np.ndarray:
 
 def runs(prefix: DataFrame) -> DataFrame:
     """token, salt, n, node, band, lead_n, lead: nodes of tokens that several nodes have, with the first of their band.
+    A token of several salts keeps all its nodes, since what is alone in its salt has others elsewhere.
 
     The shuffle brings a token's rows together and sorts them; they stream through the task.
     """
     names = "token salt n node band lead_n lead"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((4, 0), np.int64)  # the last row so far, whose run may go on
+        rest = np.zeros((5, 0), np.int64)  # the last row so far, whose run may go on
         lead: tuple[int, ...] | None = None  # (token, salt, band, n, node) of its band
         told = False  # whether the last row's run had others
 
         def out(rows: np.ndarray, end: bool) -> pa.RecordBatch | None:
             nonlocal rest, lead, told
-            token, salt, n, node = rows
+            token, salt, n, node, parts = rows
             new = np.ones(len(token), bool)
             new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-            token, salt, n, node = rows[:, new]
+            token, salt, n, node, parts = rows[:, new]
             if not len(token):
                 return None
             change = np.ones(len(token), bool)
@@ -240,18 +243,18 @@ def runs(prefix: DataFrame) -> DataFrame:
                 same = first == 0
                 lead_n, lead_node = np.where(same, lead[3], lead_n), np.where(same, lead[4], lead_node)
             several[run == 0] |= told
-            keep = several.copy()
+            keep = several | (parts > 1)
             if not end:  # the last row is told with what follows it
                 keep[-1] = False
             more = told if run[-1] == 0 else False
             told = bool(more or (run == run[-1]).sum() > 1)
             lead = (token[-1], salt[-1], band[-1], lead_n[-1], lead_node[-1])
-            rest = np.stack([token[-1:], salt[-1:], n[-1:], node[-1:]])
+            rest = np.stack([token[-1:], salt[-1:], n[-1:], node[-1:], parts[-1:]])
             columns = (token, salt, n, node, band, lead_n, lead_node)
             return _record([pa.array(c[keep], pa.int64()) for c in columns], names)
 
         for batch in batches:
-            part = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "salt", "n", "node")])
+            part = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "salt", "n", "node", "parts")])
             made = out(np.concatenate([rest, part], axis=1), end=False)
             if made is not None and made.num_rows:
                 yield made
