@@ -34,6 +34,16 @@ def test_pieces_equal_whole_texts():
         assert [g.tolist() for g in got] == [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_as_by_the_plain_library_call():
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(byte_bpe_path())
+    texts = ["a  <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "<|endoftext>", "a b"]
+    want = [coder.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    assert [g.tolist() for g in S.Pieces(byte_bpe_path()).encode(texts)] == want
+
+
 def test_documents(spark):
     from tokenizers import Tokenizer
 

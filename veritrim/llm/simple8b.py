@@ -120,7 +120,7 @@ class Pieces(dict):
 
     A byte-level tokenizer splits before every space that a visible character follows, so pieces can be encoded apart
     (``tests/llm`` compares with whole texts). Most pieces of a text are known ones. At most ``most`` are kept, in two
-    generations: when the younger is full, the elder is forgotten.
+    generations: when the younger is full, the elder is forgotten. Texts with the string of an added token are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_600_000):
@@ -129,7 +129,8 @@ class Pieces(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.most, self.elder = most, {}
 
     @staticmethod
@@ -141,7 +142,10 @@ class Pieces(dict):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        whole = [i for i, t in enumerate(texts) if self.added.search(t)]
         parts = [self.split(t) for t in texts]
+        for i in whole:
+            parts[i] = []
         if len(self) > self.most // 2:
             self.elder = dict(self)
             self.clear()
@@ -157,7 +161,10 @@ class Pieces(dict):
             some = new[start : start + 4096]
             for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self[piece] = array("I", coded.ids).tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, p)), np.uint32) for p in parts]
+        out = [np.frombuffer(b"".join(map(self.__getitem__, p)), np.uint32) for p in parts]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 #: What this worker process knows, by tokenizer file; its later tasks go on with it.
