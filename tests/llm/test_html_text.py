@@ -71,6 +71,18 @@ def test_odd_pages(spark, trees):
     assert H.fit([]).scores(H.features(H.parse("<p>x</p>"))).min() > 0
 
 
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<svg>", "<noscript>", "<template>", "<textarea>", "<iframe src='x'>"])
+def test_what_is_not_closed_does_not_hide_the_page(tag):
+    texts = lambda source: "".join(t for _, t in H.parse(source).pieces)
+    assert "seen" in texts(f"<body>{tag}<p>seen</p></body>")
+    assert "unseen" not in texts(f"<body><p>a</p>{tag.replace('/>', '>')}unseen</{tag[1:].split()[0].strip('>')}><script>unseen")
+
+
+def test_all_classes_of_an_element_are_tokens():
+    node = H.parse(f'<div class="{" ".join(f"u{c}" for c in "abcdefghijklmnop")} comments">x</div>').nodes[1]
+    assert "comments" in node.tokens
+
+
 def test_parse_closes_paragraphs_and_decodes():
     page = H.parse("<body><p><b>one &amp; two<br><p>three&nbsp;&lt;3 &am")
     assert H.main_text(page, H.np.ones(len(page.nodes), bool)) == "one & two\n\nthree <3 &am"

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from veritrim.llm.common import arrow_map
 
+#: Comments and skipped elements are one token; only comments, script and style run to the end of the page when unclosed.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?</\1\s*>"
+    r"|<(?:script|style)\b[^>]*>.*\Z"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -123,7 +125,7 @@ def parse(source: str) -> Page:
         tokens = ()
         if m[4] and "=" in m[4]:
             values = " ".join(a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[4]))
-            tokens = tuple(re.findall(r"[a-z]+", values.lower()))[:12]
+            tokens = tuple(re.findall(r"[a-z]+", values.lower()))
         nodes.append(Node(tag, parent, len(stack), tokens, nodes[parent].children))
         nodes[parent].children += 1
         if not m[4].endswith("/"):
