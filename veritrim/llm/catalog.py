@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, html_text, jaccard_join, language_id, mixing, simple8b, url_reputation
+from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, html_text, jaccard_join, language_id, mixing, quality_rules, simple8b, url_reputation
 from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,12 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_token_ids"] = op10_token_ids
+
+# --- 12: quality rules ---
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op12_quality_rules"] = op12_quality_rules
