@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, html_text, jaccard_join, language_id, mixing, quality_rules, simple8b, url_reputation
+from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, html_text, jaccard_join, language_id, mixing, quality_rules, ranked_search, simple8b, url_reputation
 from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,3 +259,34 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_quality_rules"] = op12_quality_rules
+
+# --- 13: ranked lexical search ---
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES["op13_ranked_search"] = op13_ranked_search
+_TERMS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op13_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+stats AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT row_number() OVER () AS qid, item_id, list_distinct({_TERMS}) AS w FROM benchmark),
+qt AS (SELECT qid, item_id, unnest(w) AS t FROM q),
+tf AS (
+  SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+w AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(stats.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, stats GROUP BY t),
+scored AS (
+  SELECT qid, item_id, rid, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * stats.n) // stats.l)))) AS BIGINT) AS score
+  FROM qt JOIN tf USING (t) JOIN w USING (t), stats GROUP BY ALL),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
