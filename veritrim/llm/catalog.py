@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, html_text, jaccard_join, language_id, mixing, quality_rules, ranked_search, simple8b, url_reputation
-from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, table
+from veritrim.llm import bilinear_lm, chat, decontaminate, fingerprint, html_text, jaccard_join, language_id, mixing, prefix_trie, quality_rules, ranked_search, simple8b, url_reputation
+from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -290,3 +290,38 @@ ranked AS (
   FROM scored WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """
+
+# --- 11: conversation prefix trie ---
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "trie-turns")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns))
+
+
+QUERIES["op11_prefix_trie"] = op11_prefix_trie
+#: crc32 bit by bit: SQL has none.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+ORACLES["op11_prefix_trie"] = f"""
+WITH convs AS (
+  SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, own, CAST({_CRC32} % 6 AS INTEGER) AS h FROM convs),
+built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS r
+  FROM heads a LEFT JOIN convs b ON b.conv_id = a.conv_id - a.conv_id % 100),
+prefixes AS (SELECT conv_id, len(r) AS n, d, r[1:d] AS p FROM (SELECT conv_id, r, unnest(range(0, len(r) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+    CASE WHEN d > 0 THEN (count(*) - 1) * length(any_value(p)[-1][2]) ELSE 0 END AS saved
+  FROM prefixes GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p, d)),
+sums AS (
+  SELECT p[1:i] AS p, i AS d, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS i FROM valued) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN sums USING (p, d) LEFT JOIN nodes u ON v.d > 0 AND u.d = v.d - 1 AND u.p = v.p[1:v.d - 1]
+"""
