@@ -57,8 +57,9 @@ def _entries(counts: Counter, names: dict[bytes, int]) -> tuple[np.ndarray, np.n
     """(hashed term, level) of all entries of a document."""
     if len(names) > _NAMES:
         names.clear()
-    for term in counts.keys() - names.keys():
-        names[term] = xxhash.xxh64_intdigest(term)
+    for term in counts:
+        if term not in names:
+            names[term] = xxhash.xxh64_intdigest(term)
     hashed = np.fromiter((names[t] for t in counts), np.uint64, len(counts))
     found = np.fromiter(counts.values(), np.int64, len(counts))
     reached = [found >= least for least in LEVELS]
