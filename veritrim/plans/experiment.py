@@ -33,7 +33,8 @@ from veritrim.operators.results import (
 )
 from veritrim.schemas import Settings
 from veritrim.session import written
-from veritrim.sources.readers import read_log
+from veritrim.sources import commits
+from veritrim.sources.readers import logged_cells_of
 from veritrim.sources.writers import append_results
 
 
@@ -75,7 +76,7 @@ def plan_cells(
 ) -> DataFrame:
     """One row per cell still to do, with the prompt to send.
 
-    Only distinct keys meet the log; each sample with work left carries its list of conditions (no more
+    Only distinct keys meet ``log``, which needs the columns of a cell and nothing else; each sample with work left carries its list of conditions (no more
     than the run has) until its prompt is built and compressed, once for all conditions. Token rarity is that
     of all the samples, done or not, so a resumed run compresses as an uninterrupted one would; samples
     that come in batches need the ``frequencies`` of their corpus for that. ``scratch`` names the
@@ -199,13 +200,17 @@ def run_batch(
 ) -> None:
     """Score what the log lacks and append it.
 
-    Rows are found by key in the log, so a batch that is run again after a lost driver adds only what is missing.
-    A log has one writer at a time.
+    Rows are found by key in the log's index, so a batch that is run again after a lost driver adds only what is missing,
+    and no batch reads the log itself. A batch is appended as a whole or not at all; of two writers that began at the same version
+    of the log, one fails (``ConcurrentCommit``) and may run its batch again.
     """
+    spark = samples.sparkSession
     scratch = hashlib.sha256(log_path.encode()).hexdigest()[:16]
-    cells = plan_cells(samples, read_log(samples.sparkSession, log_path), settings, frequencies, scratch, scorers.compress)
+    state = commits.state(spark, log_path)
+    known = logged_cells_of(spark, log_path, sample_defaults(samples).select("id", "dataset"), state)
+    cells = plan_cells(samples, known, settings, frequencies, scratch, scorers.compress)
     scored = score_cells(generate(cells, scorers.generate, settings), scorers, settings)
-    append_results(result_rows(scored, run_id, F.lit(started), batch_id), log_path)
+    append_results(result_rows(scored, run_id, F.lit(started), batch_id), log_path, run_id, batch_id, state)
 
 
 def batch_counters(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,10 @@ from pyspark.sql import types as T
 
 from veritrim.functions.casts import lenient_float, lenient_int, timestamp
 from veritrim.functions.text import strip
+from veritrim.operators import key_index
+from veritrim.operators.grid import logged_cells
 from veritrim.schemas import METRICS, RESULT, RESULT_LOG, SAMPLE
+from veritrim.sources import commits
 
 CORRUPT = "_corrupt_record"
 
@@ -62,10 +66,6 @@ def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def _missing_path(err: AnalysisException) -> bool:
-    return err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
-
-
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     """The log as text columns; every column of the result schema is present, absent ones as NULL.
 
@@ -82,7 +82,7 @@ def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
             .csv(path)
         )
     except AnalysisException as err:
-        if _missing_path(err):
+        if commits.missing_path(err):
             return nothing
         raise
     absent = [F.lit(None).cast("string").alias(n) for n in RESULT.names if n not in text.columns]
@@ -117,11 +117,28 @@ def load_results(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     return typed_results(read_results_csv(spark, path), strict)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet results log; no rows when it does not exist yet."""
+def read_log(spark: SparkSession, path: str, state: dict[str, Any] | None = None) -> DataFrame:
+    """The Parquet results log as its newest manifest has it, or as it was in ``state``; no rows when it does not exist yet.
+
+    Files that no manifest names, such as those of a writer that was killed, are not read. A folder without manifests is
+    read as it is.
+    """
+    path = path.rstrip("/")
+    state = commits.state(spark, path) if state is None else state
+    if state["version"]:
+        return commits.read_files(spark, path, commits.files_of(state), RESULT_LOG)
     try:
         return spark.read.schema(RESULT_LOG).parquet(path)
     except AnalysisException as err:
-        if _missing_path(err):
+        if commits.missing_path(err):
             return no_rows(spark, RESULT_LOG)
         raise
+
+
+def logged_cells_of(spark: SparkSession, path: str, keys: DataFrame, state: dict[str, Any] | None = None) -> DataFrame:
+    """Cells the log holds of ``keys`` (id, dataset), and some others: by the log's index, else from the whole log."""
+    path = path.rstrip("/")
+    state = commits.state(spark, path) if state is None else state
+    if state["version"] and state["table"].get("index"):
+        return key_index.known_cells(spark, path, state["table"]["index"], keys)
+    return logged_cells(read_log(spark, path, state))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veritrim.operators.aggregates import summary_from_sums, summary_sums
 from veritrim.plans.experiment import Scorers, run_batch
 from veritrim.schemas import Settings
+from veritrim.sources import commits
+from veritrim.sources.writers import publish_tables, read_tables
+
+SUMMARY = "summary"
 
 
 def score_stream(
@@ -46,12 +49,16 @@ def score_stream(
 def summary_stream(log: DataFrame, summary_path: str, checkpoint: str) -> StreamingQuery:
     """Keep the experiment summary of an append-only log up to date.
 
-    The state is one row of sums per dataset and mode, however long the log grows. Each version is a folder of its
-    own under ``summary_path``; ``read_summary`` reads the newest that is complete, so readers never see a half.
+    The state is one row of sums per dataset and mode, however long the log grows. Each batch publishes a version by one rename;
+    ``read_summary`` reads the newest, so readers never see a half. The version before stays for its
+    readers, older ones are removed.
     """
 
     def publish(sums: DataFrame, batch_id: int) -> None:
-        summary_from_sums(sums).write.mode("overwrite").parquet(f"{summary_path}/version={batch_id}")
+        before = commits.state(sums.sparkSession, summary_path)["entries"]
+        publish_tables({SUMMARY: summary_from_sums(sums)}, summary_path)
+        if before:
+            commits.sweep(sums.sparkSession, summary_path, 0.0, keep=[before[-1]["commit"]])
 
     return (
         summary_sums(log)
@@ -64,8 +71,5 @@ def summary_stream(log: DataFrame, summary_path: str, checkpoint: str) -> Stream
 
 
 def read_summary(spark: SparkSession, summary_path: str) -> DataFrame:
-    """The newest version of the summary that was written to the end."""
-    files = spark.read.parquet(f"{summary_path}/version=*").select("*", F.col("_metadata.file_path").alias("_file"))
-    version = F.regexp_extract("_file", r"version=(\d+)", 1).cast("bigint")
-    versions = files.withColumn("_version", version)
-    return versions.filter(F.col("_version") == versions.agg(F.max("_version")).scalar()).drop("_file", "_version")
+    """The newest version of the summary that was published; it fails when there is none."""
+    return read_tables(spark, summary_path)[SUMMARY]
