@@ -45,3 +45,24 @@ def test_given_frequencies(spark):
     corpus = spark.createDataFrame([("a", 5), ("b", 9), ("c", 5)], "token string, freq bigint")
     got = compress_to_budget(df, ["k"], "text", 2, corpus)
     assert rows(got) == [(1, "a d", 4, 2), (2, "d", 1, 1)]
+
+
+def test_tokens_of_a_tokenizer(spark):
+    """Whole result of the registered query against the plain library call."""
+    from veritrim.catalog.prompts import BUDGET, QUERIES, byte_pairs
+
+    encode, decode = byte_pairs()
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    coded = {k: encode(t or "") for k, t in texts.items()}
+    freq = Counter(i for ids in coded.values() for i in ids)
+    want = []
+    for k, ids in coded.items():
+        kept = sorted(sorted(range(len(ids)), key=lambda i: (freq[ids[i]], i))[:BUDGET])
+        want.append((k, texts[k] if len(ids) <= BUDGET else decode([ids[i] for i in kept]), len(ids), len(kept)))
+    assert rows(QUERIES["compress_with_tokenizer"](spark, sf)) == sorted(want, key=str)
+
+
+def test_null_text_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, None, "x", 9), (2, "a b c", "y", 9)], "k int, text string, token string, freq int")
+    assert rows(compress_to_budget(df, ["k"], "text", 2)) == [(1, None, 0, 0), (2, "a b", 3, 2)]

@@ -209,3 +209,12 @@ def test_a_compressor_that_cannot_be_loaded_leaves_prompts_alone(spark, samples)
     short = {r.id: r for r in plan_cells(samples, no_rows(spark, RESULT_LOG), run, compressor=cut).collect() if r.requested_mode}
     assert all((r.compressed, r.orig_tokens, r.compressed_tokens) == (0, 0, 0) for r in whole.values())
     assert all(r.compressed == 1 and r.prompt == whole[i].prompt[:4] for i, r in short.items())
+
+
+def test_the_compressor_gets_its_target(spark, samples):
+    def load_compressor(_, wanted):
+        return lambda prompts: [" ".join(p.split()[: wanted.target_tokens]) for p in prompts]
+
+    cells = plan_cells(samples, no_rows(spark, RESULT_LOG), SETTINGS, compressor=load_compressor)
+    got = {(r.id, r.requested_mode): r for r in cells.collect()}
+    assert got["2", 1].prompt == "Context: ctx ctx ctx ctx" and got["2", 1].compressed_tokens == 5

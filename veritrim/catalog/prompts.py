@@ -17,6 +17,7 @@ from veritrim.functions.metrics import (
 )
 from veritrim.functions.prompts import build_prompt, compression_decision, fit_to_window, input_cap, premise
 from veritrim.functions.text import hard_truncate, last_number, normalize_text, token_count
+from veritrim.functions.tokenizers import token_joiner, token_splitter
 from veritrim.functions.vectors import response_consistency
 from veritrim.operators.compress import compress_to_budget
 from veritrim.operators.inference import score_batches
@@ -46,6 +47,23 @@ def _input_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.withColumn("_f", fit_to_window(F.col("text"), F.col("cap"))).select("doc_id", "cap", "_f.*")
 
 
+def byte_pairs() -> tuple:
+    """(encode, decode) of a public tokenizer; its file is found on the worker that loads it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def _compress_with_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget, rarity and cut in the tokens of a subword tokenizer."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    split, rebuild = token_splitter(byte_pairs), token_joiner(byte_pairs)
+    return compress_to_budget(docs, ["doc_id"], "text", BUDGET, split=split, rebuild=rebuild)
+
+
 def _compression_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts with an answer have a compressor; those above the threshold use it."""
     prompts = written(prompted(spark, sf_dir), "prompts")
@@ -160,6 +178,7 @@ QUERIES: dict[str, Query] = {
     ),
     "input_window": _input_window,
     "compress_to_budget": lambda s, d: compress_to_budget(table(s, d, "documents"), ["doc_id"], "text", BUDGET),
+    "compress_with_tokenizer": _compress_with_tokenizer,
     "compression_decision": _compression_decision,
     "error_classify": _error_classify,
     "sentinel_rows": _sentinel_rows,

@@ -48,6 +48,11 @@ def tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), WHITESPACE_RUN), "")
 
 
+def spaced(words: Column) -> Column:
+    """A text of tokens, the counterpart of ``tokens``."""
+    return F.array_join(words, " ")
+
+
 def token_count(c: Column) -> Column:
     return F.size(tokens(c))
 

@@ -61,3 +61,27 @@ def token_shortener(load: Callable[[], Codec]) -> Callable[[int], Callable[[str]
         return shorten
 
     return shortener
+
+
+def token_splitter(load: Callable[[], Codec]) -> Callable[[Column], Column]:
+    """A splitting function for ``Settings.split``: the ids of a text's tokens; NULL text has none."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, _ = load()
+        for texts in batches:
+            yield texts.map(lambda text: [] if text is None else [int(i) for i in encode(text)])
+
+    return split
+
+
+def token_joiner(load: Callable[[], Codec]) -> Callable[[Column], Column]:
+    """A joining function for ``Settings.rebuild``: the text of the ids that were kept."""
+
+    @F.pandas_udf(T.StringType())
+    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _, decode = load()
+        for ids in batches:
+            yield ids.map(lambda kept: None if kept is None else decode([int(i) for i in kept]))
+
+    return join

@@ -6,23 +6,24 @@ by whole counts, then by position, so there are no ties.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrim.functions.text import tokens
-from veritrim.operators.skew import frequent_keys, lookup_join
+from veritrim.functions.text import spaced, tokens
+from veritrim.operators.skew import dealt_to_all, frequent_keys, lookup_join
+from veritrim.session import written
 
 
 # Longer tokens are not broadcast, however frequent.
 MOST_TOKEN_BYTES = 1024
 
 
-def token_frequencies(texts: DataFrame, text_col: str) -> DataFrame:
+def token_frequencies(texts: DataFrame, text_col: str, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """How often each token occurs in all the texts; counted map-side before the shuffle."""
     return (
-        texts.select(F.explode(tokens(F.col(text_col))).alias("token"))
+        dealt_to_all(texts.select(text_col)).select(F.explode(split(F.col(text_col))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("freq"))
     )
@@ -35,47 +36,63 @@ def compress_to_budget(
     budget: int,
     frequencies: DataFrame | None = None,
     most_frequent_tokens: int = 10_000,
+    split: Callable[[Column], Column] = tokens,
+    rebuild: Callable[[Column], Column] = spaced,
 ) -> DataFrame:
     """Columns ``key``, ``prompt``, ``orig_tokens``, ``compressed_tokens``; ``key`` must be unique.
 
-    A text within the budget is returned unchanged. Rarity is measured in the texts themselves or, where given,
-    by ``frequencies`` of a larger corpus; a token that is not among those is the rarest. Frequent tokens, at most
-    ``most_frequent_tokens`` of them and of ``MOST_TOKEN_BYTES`` each, are looked up by broadcast and never shuffled
-    by token; the others meet their count in a salted shuffle join. The tokens of a text come together once
-    more and are cut to the budget there, in the same way for any budget.
-    """
-    freq = token_frequencies(texts, text_col) if frequencies is None else frequencies
-    frequent = frequent_keys(freq, "freq", most_frequent_tokens).filter(F.octet_length("token") <= MOST_TOKEN_BYTES)
-
-    words = texts.select(*key, F.col(text_col).alias("prompt"), tokens(F.col(text_col)).alias("_words"))
-    words = words.withColumn("orig_tokens", F.size("_words"))
-    # More than ``budget`` tokens take at least this many characters. The exact count is looked at after the
-    # tokens have been grouped again: as a filter here it would split every text twice.
-    maybe_long = words.filter(F.length("prompt") > 2 * budget)
-    # The outer form keeps the optimizer from adding a filter on the words, which would split them once more; a
-    # text without words gives one NULL token, which no join below keeps.
-    occurrences = maybe_long.select(*key, "orig_tokens", F.posexplode_outer("_words").alias("pos", "token"))
+    ``split`` turns a text into its tokens, words unless given or whatever a tokenizer makes of it, and ``rebuild`` turns those
+    that are kept into a text. A text within the budget is returned unchanged. Rarity is measured in the texts themselves or,
+    where given, by ``frequencies`` of a larger corpus; a token that is not among those is the rarest.
 
-    looked_up = occurrences.join(F.broadcast(frequent), "token")
-    infrequent = occurrences.join(F.broadcast(frequent.select("token")), "token", "left_anti")
-    counts = freq.select("token", F.col("freq").alias("_rows")) if frequencies is None else None
-    counted = lookup_join(infrequent.filter(F.col("token").isNotNull()), freq, "token", ["freq"], counts=counts)
-    rare = counted.withColumn("freq", F.coalesce("freq", F.lit(0)))
+    Frequent tokens, at most ``most_frequent_tokens`` of them and of ``MOST_TOKEN_BYTES`` each, are looked up by
+    broadcast and never shuffled by token. The others meet their count in a salted shuffle join, once for each text they stand in,
+    with all their places there. The tokens of a text come together once more and are cut to the budget there, in
+    the same way for any budget.
+    """
+    freq = written(token_frequencies(texts, text_col, split), "frequencies") if frequencies is None else frequencies
+    short = F.octet_length(F.col("token").cast("string")) <= MOST_TOKEN_BYTES
+    frequent = frequent_keys(freq, "freq", most_frequent_tokens).filter(short)
 
+    dealt = dealt_to_all(texts.select(*key, F.col(text_col).alias("prompt")))
+    words = dealt.withColumn("_words", split(F.col("prompt"))).withColumn("orig_tokens", F.size("_words"))
+    # Texts within the budget pass through as one row without a token.
+    fits = F.col("orig_tokens") <= budget
+    rows = words.select(
+        *key,
+        "orig_tokens",
+        F.when(fits, F.col("prompt")).alias("_whole"),
+        F.posexplode_outer(F.when(~fits, F.col("_words"))).alias("pos", "token"),
+    )
+    looked_up = rows.join(F.broadcast(frequent.withColumnRenamed("freq", "_freq")), "token", "left")
+    known = looked_up.filter(F.col("token").isNull() | F.col("_freq").isNotNull()).groupBy(*key).agg(
+        F.collect_list(F.when(F.col("token").isNotNull(), F.struct(F.col("_freq").alias("freq"), "pos", "token"))).alias("_ranked"),
+        F.max("orig_tokens").alias("orig_tokens"),
+        F.max("_whole").alias("_whole"),
+    )
+    places = looked_up.filter(F.col("token").isNotNull() & F.col("_freq").isNull()).groupBy(*key, "token").agg(
+        F.collect_list("pos").alias("_at"), F.max("orig_tokens").alias("orig_tokens")
+    )
+    # No token stands in more texts than it has occurrences.
+    counted = lookup_join(places, freq, "token", ["freq"], counts=freq.select("token", F.col("freq").alias("_rows")))
+    rare = counted.groupBy(*key).agg(
+        F.flatten(
+            F.collect_list(F.transform("_at", lambda p: F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), p.alias("pos"), F.col("token").alias("token"))))
+        ).alias("_ranked"),
+        F.max("orig_tokens").alias("orig_tokens"),
+        F.lit(None).cast("string").alias("_whole"),
+    )
     # A text's tokens are no more than its row had already.
-    ranked = looked_up.unionByName(rare).groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("freq", "pos", "token"))).alias("_ranked"),
+    ranked = known.unionByName(rare).groupBy(*key).agg(
+        F.sort_array(F.flatten(F.collect_list("_ranked"))).alias("_ranked"),
         F.max("orig_tokens").alias("orig_tokens"),
+        F.max("_whole").alias("_whole"),
     )
-    kept = F.transform(F.slice("_ranked", 1, budget), lambda t: F.struct(t["pos"], t["token"].alias("token")))
-    rebuilt = ranked.select(*key, "orig_tokens", F.array_sort(kept).alias("_kept"))
-    compressed = rebuilt.filter(F.col("orig_tokens") > budget).select(
+    kept = F.sort_array(F.transform(F.slice("_ranked", 1, budget), lambda t: F.struct(t["pos"], t["token"].alias("token"))))
+    found = ranked.select(*key, "orig_tokens", "_whole", kept.alias("_kept"))
+    return found.select(
         *key,
-        F.array_join(F.col("_kept.token"), " ").alias("prompt"),
+        F.when(F.col("orig_tokens") <= budget, F.col("_whole")).otherwise(rebuild(F.col("_kept.token"))).alias("prompt"),
         "orig_tokens",
-        F.size("_kept").alias("compressed_tokens"),
-    )
-    unchanged = words.filter(F.col("orig_tokens") <= budget).select(
-        *key, "prompt", "orig_tokens", F.col("orig_tokens").alias("compressed_tokens")
+        F.least("orig_tokens", F.lit(budget)).alias("compressed_tokens"),
     )
-    return compressed.unionByName(unchanged)

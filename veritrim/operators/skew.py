@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dealt_to_all(df: DataFrame, most_bytes: int = 128 << 20) -> DataFrame:
+    """The rows dealt to all cores, if Spark estimates them at ``most_bytes`` or less.
+
+    For rows that cost much more than moving them: so small a table comes in one or two tasks, while a larger
+    one is split by its scan and stays where it is.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most_bytes else df
+
+
 def frequent_keys(counts: DataFrame, count_col: str, most: int) -> DataFrame:
     """Keys holding at least one ``most``-th of all rows; there can be no more than ``most`` of them."""
     total = counts.agg(F.sum(count_col)).scalar()

@@ -47,19 +47,26 @@ class Generation:
     max_new_tokens: int
 
 
+@dataclass(frozen=True)
+class Compression:
+    """What a run asks of a compressor: prompts of so many tokens."""
+
+    target_tokens: int
+
+
 @dataclass(frozen=True)
 class Scorers:
     """The models of a run.
 
     ``generate(model_name)`` loads a model that maps prompts to lists of answers; a loader with a second parameter
-    gets the ``Generation`` of the run. ``compress`` loads a compressor that maps prompts to shorter ones; when it cannot
-    be loaded, prompts go as they are. Without it the rarest tokens are kept. ``embed`` and
+    gets the ``Generation`` of the run. ``compress`` loads a compressor that maps prompts to shorter ones; a loader with a
+    second parameter gets the ``Compression`` of the run. When it cannot be loaded, prompts go as they are. Without it the rarest tokens are kept. ``embed`` and
     ``entail``, where given, load models that map answers to vectors and (premise, answer)
     pairs to class logits; without them the column functions are used.
     """
 
     generate: Loader | Callable[[str, Generation], Predictor]
-    compress: Loader | None = None
+    compress: Loader | Callable[[None, Compression], Predictor] | None = None
     embed: Loader | None = None
     entail: Loader | None = None
     consistency: Callable[[Column], Column] = any_response
@@ -72,7 +79,7 @@ def plan_cells(
     settings: Settings = Settings(),
     frequencies: DataFrame | None = None,
     scratch: str | None = None,
-    compressor: Loader | None = None,
+    compressor: Callable | None = None,
 ) -> DataFrame:
     """One row per cell still to do, with the prompt to send.
 
@@ -103,16 +110,19 @@ def plan_cells(
             F.col("orig_tokens").alias("compressed_tokens"), F.lit(0).alias("compressed"), F.inline("_cells"),
         )
     if compressor is not None:
-        made = score_batches(prompts, compressor, "prompt", "_short", T.StringType())
+        wanted = _asked(compressor, Compression(settings.compression_threshold))
+        # A prompt is compressed once for all conditions, in tasks dealt by the prompts themselves.
+        dealt = prompts.repartition(2 * prompts.sparkSession.sparkContext.defaultParallelism, F.xxhash64("prompt"))
+        made = score_batches(dealt, wanted, "prompt", "_short", T.StringType())
         made = made.withColumn("_available", F.col("error").isNull() & F.col("_short").isNotNull()).drop("error")
     else:
         prompts = written(prompts, "prompts", scratch)
         if frequencies is None:
             whole = usable.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
-            frequencies = token_frequencies(whole, "prompt")
-        short = compress_to_budget(prompts, key, "prompt", settings.compression_threshold, frequencies).select(
-            *key, F.col("prompt").alias("_short")
-        )
+            frequencies = written(token_frequencies(whole, "prompt", settings.split), "frequencies", scratch)
+        short = compress_to_budget(
+            prompts, key, "prompt", settings.compression_threshold, frequencies, split=settings.split, rebuild=settings.rebuild
+        ).select(*key, F.col("prompt").alias("_short"))
         made = prompts.join(short, key).withColumn("_available", F.lit(True))
     counted = made.withColumns(
         {
@@ -140,12 +150,9 @@ def plan_cells(
     ).drop("_d")
 
 
-def _asked(load: Callable, settings: Settings) -> Loader:
+def _asked(load: Callable, wanted: Generation | Compression) -> Loader:
     """The loader as Spark's model stage calls it: by model name alone."""
-    if len(inspect.signature(load).parameters) < 2:
-        return load
-    wanted = Generation(settings.responses_per_cell, settings.responses_per_cell > 1, settings.max_new_tokens)
-    return lambda model: load(model, wanted)
+    return load if len(inspect.signature(load).parameters) < 2 else lambda model: load(model, wanted)
 
 
 def generate(cells: DataFrame, load: Loader, settings: Settings = Settings()) -> DataFrame:
@@ -153,10 +160,11 @@ def generate(cells: DataFrame, load: Loader, settings: Settings = Settings()) ->
 
     Prompts are cut to the input window of their model first; out-of-memory rows are retried once with a shortened prompt.
     """
+    wanted = Generation(settings.responses_per_cell, settings.responses_per_cell > 1, settings.max_new_tokens)
     fitted = cells.withColumn("prompt", settings.truncate(F.col("prompt"), model_cap(F.col("model_name"), settings)))
     answered = score_batches(
         fitted.withColumn("_sent", F.xxhash64("prompt")),
-        _asked(load, settings),
+        _asked(load, wanted),
         "prompt",
         "responses",
         T.ArrayType(T.StringType()),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
-from veritrim.functions.text import first_words, hard_truncate, token_count
+from veritrim.functions.text import first_words, hard_truncate, spaced, token_count, tokens
 
 SAMPLE = T.StructType(
     [
@@ -137,8 +137,8 @@ class Settings:
     """Run parameters; the defaults are the published run parameters.
 
     ``count_tokens`` turns a text column into token counts, ``truncate`` keeps the first tokens of a text column, and
-    ``shorten`` does so for one text in a model stage: white-space words, or those of a tokenizer
-    (``functions.tokenizers``). ``windows`` has the context window of each model that has another than ``default_window``.
+    ``shorten`` does so for one text in a model stage; ``split`` and ``rebuild`` turn a text into tokens and those that compression
+    keeps into a text: white-space words, or those of a tokenizer (``functions.tokenizers``). ``windows`` has the context window of each model that has another than ``default_window``.
     """
 
     models: tuple[str, ...] = MODELS
@@ -159,6 +159,8 @@ class Settings:
     count_tokens: Callable[[Column], Column] = token_count
     truncate: Callable[[Column, Column | int], Column] = hard_truncate
     shorten: Callable[[int], Callable[[str], str]] = first_words
+    split: Callable[[Column], Column] = tokens
+    rebuild: Callable[[Column], Column] = spaced
 
     @property
     def modes(self) -> tuple[int, ...]:
