@@ -154,3 +154,38 @@ def test_analysis_writes_all_tables(spark, tmp_path):
         "model_name", "dataset", "hallucination_0", "hallucination_1", "nli_support_0", "nli_support_1", "delta_nli", "delta_hallucination",
     ]
     assert {round(float(r.delta_nli), 6) for r in wide.collect()} == {0.1}
+
+
+def test_the_last_row_in_file_order_stays(spark, tmp_path):
+    """A log without times: text order and file order differ, in one file and over several."""
+    from veritrim.operators.aggregates import clean_log
+    from veritrim.operators.dedup import keep_last
+
+    head = "id,dataset,model_name,compressed,prediction,nli_support,hallucination\n"
+    (tmp_path / "a.csv").write_text(head + '1,d,m,0,zzz first,0.9,0\n2,d,m,0,"two\nlines",0.5,0\n1,d,m,0,aaa last,0.1,1\n')
+    (tmp_path / "b.csv").write_text(head + "2,d,m,0,A in the second file,0.2,1\n")
+    log = load_results(spark, str(tmp_path / "*.csv"), with_order=True)
+    kept = {r.id: r.prediction for r in keep_last(log, time_col=None).collect()}
+    assert kept == {"1": "aaa last", "2": "A in the second file"}
+    # Times that are missing everywhere, as in the analysis of such a log, leave it to the order as well.
+    assert {r.id: r.prediction for r in clean_log(log).collect()} == kept
+    assert {r.id: r.prediction for r in clean_log(log.repartition(5)).collect()} == kept
+    many = "".join(f"{i % 50},d,m,0,{(i * 7919) % 1000},0.5,0\n" for i in range(5000))
+    (tmp_path / "c.csv").write_text(head + many)
+    log = load_results(spark, str(tmp_path / "c.csv"), with_order=True)
+    assert {int(r.id): r.prediction for r in keep_last(log, time_col=None).collect()} == {i % 50: str((i * 7919) % 1000) for i in range(5000)}
+    empty = load_results(spark, str(tmp_path / "none.csv"), with_order=True)
+    assert keep_last(empty, time_col=None).collect() == []
+
+
+def test_commits_are_read_in_their_order(spark, tmp_path):
+    from veritrim.operators.dedup import FILE_ORDER, keep_last
+
+    log = str(tmp_path / "log")
+    for i in range(6):
+        row = log_rows(spark, [{"prediction": "zyxwvu"[i]}]).withColumns({"compressed_tokens": F.lit(1), "requested_mode": F.lit(0)})
+        append_results(result_rows(row, "run", F.lit(datetime(2024, 1, 1)), 0), log)
+    read = read_log(spark, log, with_order=True)
+    assert [r.prediction for r in read.orderBy(FILE_ORDER).collect()] == list("zyxwvu")
+    assert [r.prediction for r in keep_last(read.drop("timestamp"), time_col=None).collect()] == ["u"]
+    assert read_log(spark, str(tmp_path / "nothing"), with_order=True).collect() == []

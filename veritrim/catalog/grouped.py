@@ -23,12 +23,13 @@ from veritrim.operators.aggregates import (
     token_bins,
     token_scatter,
 )
-from veritrim.operators.dedup import keep_last
+from veritrim.operators.dedup import FILE_ORDER, keep_last
 from veritrim.operators.pairing import delta_stats, latest_paired_delta, paired_delta
 from veritrim.plans.analysis import analyse, compression_effect, model_dataset_deltas
 from veritrim.plans.results_log import results_log_text
 from veritrim.schemas import METRICS
 from veritrim.session import shared_folder
+from veritrim.sources.readers import read_table
 from veritrim.sources.writers import write_summary
 
 TIE = ["event_id"]
@@ -108,11 +109,18 @@ def _hallucination_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("event_id", "nli_support", hallucination(F.col("nli_support")).alias("flag"))
 
 
+def _dedup_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a time: the last one as the file has them stays."""
+    events = read_table(spark, f"{sf_dir.rstrip('/')}/events.parquet").select("user_id", "event_type", "props", "value", FILE_ORDER)
+    return keep_last(events, ["user_id", "event_type"], time_col=None).drop(FILE_ORDER)
+
+
 QUERIES: dict[str, Query] = {
     "compression_effect": lambda s, d: compression_effect(log_of(s, d), TIE),
     "dedup_keep_last": lambda s, d: keep_last(log_of(s, d), tiebreak=TIE),
     "dedup_missing_time_wins": lambda s, d: keep_last(_gappy_log(s, d), tiebreak=TIE, missing_time_wins=True),
     "dedup_without_time": lambda s, d: keep_last(log_of(s, d).drop("timestamp"), time_col=None, tiebreak=TIE),
+    "dedup_file_order": _dedup_file_order,
     "summary_written": _summary_written,
     "tables_written": _tables_written,
     "clean_required": _clean_required,
@@ -268,6 +276,10 @@ ORACLES: dict[str, str] = {
         """SELECT * EXCLUDE ("timestamp") FROM results_log QUALIFY row_number() OVER (
           PARTITION BY id, dataset, model_name, compressed ORDER BY event_id DESC) = 1"""
     ),
+    # Rows of a file come in order; the last of a key has often not the highest values.
+    "dedup_file_order": """SELECT user_id, event_type, props, value FROM (
+          SELECT *, row_number() OVER () AS place FROM events)
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY place DESC) = 1""",
     "summary_written": f'SELECT * EXCLUDE (dataset, compressed) FROM ({SUMMARY_SQL})',
     "tables_written": over_clean(
         _CONDITIONS,
