@@ -151,9 +151,12 @@ def describe(docs: DataFrame) -> DataFrame:
                 yield _record(columns, names)
                 held.update(zip(nodes, sets, strict=True))
             every = np.concatenate(list(held.values())) if held else np.zeros(0, np.uint64)
-            found, counts = np.unique(every, return_counts=True)
-            common = counts >= COMMON_IN_BATCH
-            found, counts = found[common], counts[common]
+            held.clear()
+            every.sort()
+            again = every[COMMON_IN_BATCH - 1 :]
+            found = np.unique(again[again == every[: len(again)]])  # sorted, so many equals reach from one to the other
+            counts = np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left")
+            del every, again
             nothing = [pa.nulls(len(found), t) for t in (like, pa.int64(), pa.binary())]
             yield _record(
                 [pa.array([1] * len(found), pa.int32()), nothing[0], nothing[1], _signed(found), pa.array(counts, pa.int64()), nothing[2]],

@@ -216,7 +216,7 @@ def sample(docs: DataFrame, learn: Column, settings: Fit = Fit()) -> tuple[list[
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def predict(docs: DataFrame, model: Model, group_words: int = 200_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, group_words: int = 50_000) -> DataFrame:
     """Adds lang_pred and score (mean probability of that language) to ``docs``; columns of these names are replaced.
 
     NULL texts and texts without letters are ``und`` with score 0, as are all if the model has no language. Whole texts
@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model: Model, group_words: int = 200_000) -> DataFr
             return number
 
         def table(self) -> np.ndarray:
-            parts = [model.emissions(self.new[i : i + 20_000]) for i in range(0, len(self.new), 20_000)]
+            parts = [model.emissions(self.new[i : i + 5_000]) for i in range(0, len(self.new), 5_000)]
             self.scores, self.new = np.concatenate([self.scores, *parts]), []
             return self.scores
 
@@ -271,12 +271,12 @@ def predict(docs: DataFrame, model: Model, group_words: int = 200_000) -> DataFr
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 langs, scores = answers(part.column("text").cast(pa.string()).to_pylist(), known)
                 columns = [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "score"])
-                if len(known) > 250_000:
+                if len(known) > 150_000:
                     known = Known()
 
     return arrow_map(kept, task, schema)
