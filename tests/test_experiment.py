@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import types as T
 
 from tests.helpers import rows
 from veritrim.functions.tokenizers import token_counter, token_shortener, token_truncator
-from veritrim.operators.inference import score_batches
+from veritrim.operators.inference import Packing, packs, score_batches
 from veritrim.operators.results import full_support
 from veritrim.plans.experiment import Scorers, batch_counters, generate, plan_cells, run_batch, run_report, score_cells
 from veritrim.schemas import RESULT_LOG, SAMPLE, Settings
@@ -218,3 +219,53 @@ def test_the_compressor_gets_its_target(spark, samples):
     cells = plan_cells(samples, no_rows(spark, RESULT_LOG), SETTINGS, compressor=load_compressor)
     got = {(r.id, r.requested_mode): r for r in cells.collect()}
     assert got["2", 1].prompt == "Context: ctx ctx ctx ctx" and got["2", 1].compressed_tokens == 5
+
+
+def test_packs_are_full_and_bounded():
+    lengths = [3, 1, 50, 4, 4, 0, 9, 2, 200, 3]
+    made = packs(lengths, 20)
+    assert sorted(i for p in made for i in p) == list(range(10))
+    for p in made:
+        assert len(p) == 1 or max(lengths[i] for i in p) * len(p) <= 20
+    assert made[:2] == [[8], [2]] and len(made) == 5
+    assert packs([], 20) == [] and packs([0, 0, 0], 2) == [[0, 1], [2]]
+
+
+def test_calls_are_packed_and_equal_prompts_answered_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def load_counted(model):
+        import os
+        import uuid
+
+        def predict(prompts):
+            longest = max(len(p.split()) for p in prompts)
+            os.makedirs(calls, exist_ok=True)
+            with open(os.path.join(calls, uuid.uuid4().hex), "w") as out:
+                out.write(f"{len(prompts)} {longest * len(prompts)} {sum(len(p.split()) for p in prompts)}")
+            return [f"{model}:{p}" for p in prompts]
+
+        return predict
+
+    rows_ = [(f"m{i % 2}", " ".join(["w"] * (1 + (i * 37) % 90)) + f" {i % 400}") for i in range(2400)]
+    df = spark.createDataFrame(rows_, "model_name string, p string")
+    batch_size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+        made = score_batches(df, load_counted, "p", "said", T.StringType(), "model_name", tasks=4, packing=Packing(500)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_size)
+    assert len(made) == 2400 and all(r.said == f"{r.model_name}:{r.p}" for r in made)
+    sizes = [tuple(map(int, f.read_text().split())) for f in (tmp_path / "calls").iterdir()]
+    assert sum(n for n, *_ in sizes) == len(set(rows_))
+    assert all(padded <= 500 for _, padded, _ in sizes)
+    # In the order of arrival, padding would about double the tokens.
+    assert sum(padded for _, padded, _ in sizes) < 1.35 * sum(own for *_, own in sizes)
+
+
+def test_packed_run_equals_a_plain_one(spark, samples):
+    plain = Settings(models=("good", "broken"), compression_enabled=False, retry_tokens=3)
+    packed = replace(plain, batch_tokens=40)
+    cells = plan_cells(samples, no_rows(spark, RESULT_LOG), plain)
+    columns = ["id", "model_name", "prompt", "responses", "compressed_tokens", "error.type"]
+    assert rows(generate(cells, load, packed).select(*columns)) == rows(generate(cells, load, plain).select(*columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -23,6 +24,33 @@ _HELD: dict[tuple[str, Any], Any] = {}
 Predictor = Callable[[list[Any]], Sequence[Any]]
 Loader = Callable[[Any], Predictor]
 
+
+@dataclass(frozen=True)
+class Packing:
+    """How the inputs of a task become the calls of its model.
+
+    Inputs of like length go together, and a call is closed when its inputs, padded to the longest, would take more than
+    ``tokens``; an input longer than that goes alone. ``count`` gives an input's length. With ``once``, equal inputs
+    of a model are answered by one: for models that always answer the same.
+    """
+
+    tokens: int
+    count: Callable[[Any], int] = lambda text: len(str(text).split())
+    once: bool = True
+
+
+def packs(lengths: Sequence[int], tokens: int) -> list[list[int]]:
+    """Positions of the inputs of each call, the longest inputs first."""
+    made: list[list[int]] = []
+    longest = 0
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if not made or longest * (len(made[-1]) + 1) > tokens:
+            made.append([])
+            longest = max(1, lengths[i])
+        made[-1].append(i)
+    return made
+
+
 ERROR = T.StructType(
     [
         T.StructField("type", T.StringType()),
@@ -74,6 +102,32 @@ def _predict_with_retry(
     return results, used
 
 
+def _predict_packed(
+    predict: Predictor, inputs: list[Any], shorten: Callable[[Any], Any] | None, packing: Packing | None, known: dict[Any, tuple[Any, Any]]
+) -> tuple[list[Any], list[Any]]:
+    """As ``_predict_with_retry``, in calls of bounded size. ``known`` holds what equal inputs were answered last."""
+    if packing is None:
+        return _predict_with_retry(predict, inputs, shorten)
+    place: dict[Any, list[int]] = {}
+    for i, item in enumerate(inputs):
+        place.setdefault(item if packing.once else i, []).append(i)
+    todo = [where[0] for item, where in place.items() if item not in known]
+    answered: dict[int, tuple[Any, Any]] = {}
+    for group in packs([packing.count(inputs[i]) for i in todo], packing.tokens):
+        chosen = [todo[g] for g in group]
+        answered |= dict(zip(chosen, zip(*_predict_with_retry(predict, [inputs[i] for i in chosen], shorten), strict=True), strict=True))
+    found: list[Any] = [None] * len(inputs)
+    for item, where in place.items():
+        result = known[item] if item in known else answered[where[0]]
+        for i in where:
+            found[i] = result
+    if packing.once:
+        # Equal inputs of a task stand together: only the last ones may go on in its next rows.
+        known.clear()
+        known.update({inputs[-1]: found[-1]} if inputs else {})
+    return [r for r, _ in found], [u for _, u in found]
+
+
 def score_batches(
     df: DataFrame,
     load: Loader,
@@ -83,6 +137,7 @@ def score_batches(
     model_col: str | None = None,
     shorten: Callable[[Any], Any] | None = None,
     tasks: int | None = None,
+    packing: Packing | None = None,
 ) -> DataFrame:
     """Adds ``output`` and ``error`` columns computed by a loaded model.
 
@@ -92,7 +147,8 @@ def score_batches(
     ``tasks`` + models times, however many rows there are. A load that failed is tried again by the next task.
     A failed row gets an error and no output. When a model cannot be loaded, its rows are marked
     ``unavailable``; they are not results, and a later run can take them up again. Rows that carry an error from an
-    earlier stage pass through. With ``shorten``, a retried input replaces the original one in its column.
+    earlier stage pass through. With ``packing`` a model is called with so many padded tokens at a time, and, if it may, once
+    for equal inputs; without it, with the rows of an Arrow batch. With ``shorten``, a retried input replaces the original one in its column.
     """
     names = [inputs] if isinstance(inputs, str) else list(inputs)
     if "error" not in df.columns:
@@ -100,7 +156,7 @@ def score_batches(
     if model_col is not None:
         tasks = tasks or 2 * df.sparkSession.sparkContext.defaultParallelism
         df = df.withColumn("_deal", F.xxhash64(*names)).repartitionByRange(tasks, model_col, "_deal")
-        df = df.sortWithinPartitions(model_col).drop("_deal")
+        df = df.sortWithinPartitions(model_col, "_deal").drop("_deal")
     schema = T.StructType(df.schema.fields + [T.StructField(output, output_type)])
     out_type, error_type = to_arrow_type(output_type), to_arrow_type(ERROR)
     loader = hashlib.sha256(CloudPickleSerializer().dumps(load)).hexdigest()
@@ -110,6 +166,7 @@ def score_batches(
         from veritrim.operators.inference import _HELD as held
 
         failed: dict[Any, Exception] = {}
+        answered: dict[Any, dict] = {}
 
         def predictor(model: Any) -> Any:
             if model in failed:
@@ -138,7 +195,8 @@ def score_batches(
                     for i in rows:
                         errors[i] = _failure(predict, unavailable=True)
                     continue
-                results, used = _predict_with_retry(predict, [items[i] for i in rows], shorten)
+                last = answered.setdefault(model, {})
+                results, used = _predict_packed(predict, [items[i] for i in rows], shorten, packing, last)
                 for i, result, item in zip(rows, results, used, strict=True):
                     columns[0][i] = item if len(names) == 1 else columns[0][i]
                     if isinstance(result, Exception):

@@ -19,7 +19,7 @@ from veritrim.functions.vectors import response_consistency
 from veritrim.operators.aggregates import experiment_summary, run_counters
 from veritrim.operators.compress import compress_to_budget, token_frequencies
 from veritrim.operators.grid import condition_grid, pending_cells, skipped_cells
-from veritrim.operators.inference import Loader, Predictor, score_batches
+from veritrim.operators.inference import Loader, Packing, Predictor, score_batches
 from veritrim.operators.pairing import delta_stats, paired_delta
 from veritrim.operators.prepare import sample_defaults
 from veritrim.operators.results import (
@@ -170,6 +170,7 @@ def generate(cells: DataFrame, load: Loader, settings: Settings = Settings()) ->
         T.ArrayType(T.StringType()),
         model_col="model_name",
         shorten=settings.shorten(settings.retry_tokens),
+        packing=Packing(settings.batch_tokens, settings.length, once=not wanted.sampled) if settings.batch_tokens else None,
     )
     answers = F.transform(F.slice("responses", 1, settings.responses_per_cell), strip)
     return (
