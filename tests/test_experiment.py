@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.helpers import rows
+from veritrim.functions.prompts import model_cap
 from veritrim.functions.tokenizers import token_counter, token_shortener, token_truncator
 from veritrim.operators.inference import Packing, packs, score_batches
 from veritrim.operators.results import full_support
@@ -269,3 +270,36 @@ def test_packed_run_equals_a_plain_one(spark, samples):
     cells = plan_cells(samples, no_rows(spark, RESULT_LOG), plain)
     columns = ["id", "model_name", "prompt", "responses", "compressed_tokens", "error.type"]
     assert rows(generate(cells, load, packed).select(*columns)) == rows(generate(cells, load, plain).select(*columns))
+
+
+def test_subword_tokens_as_the_library_counts_them(spark):
+    from veritrim.catalog.prompts import QUERIES, byte_pairs
+
+    encode, decode = byte_pairs()
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    coded = {d: encode(t or "") for d, (t, _) in texts.items()}
+    assert {r.doc_id: r.tokens for r in QUERIES["token_count_bpe"](spark, sf).collect()} == {d: len(c) for d, c in coded.items()}
+    caps = {"en": 600 - 72, "fr": 2048 - 72, "es": 4096 - 72, "de": 1024 - 72}
+    cut = 0
+    for r in QUERIES["input_window_bpe"](spark, sf).collect():
+        ids, cap = coded[r.doc_id], caps.get(texts[r.doc_id][1], 4096 - 72)
+        cut += len(ids) > cap
+        want = (cap, decode(ids[:cap]) if len(ids) > cap else texts[r.doc_id][0], min(len(ids), cap), len(ids) >= cap)
+        assert (r.cap, r.prompt, r.tokens, r.truncated) == want
+    assert cut > 5
+
+
+def test_the_tokenizers_window_is_the_second_choice(spark):
+    settings = Settings(windows={"a": 1000}, tokenizer_windows={"a": 500, "b": 600, "c": 0})
+    caps = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "m string").select("m", model_cap(F.col("m"), settings).alias("cap"))
+    assert dict(map(tuple, caps.collect())) == {"a": 928, "b": 528, "c": 4024, "d": 4024}
+
+
+def test_null_prompts_have_no_subword_tokens(spark):
+    from veritrim.catalog.prompts import byte_pairs
+    from veritrim.functions.tokenizers import token_fitter
+
+    fit = token_fitter(byte_pairs)(F.col("t"), 2)
+    got = spark.createDataFrame([(None,), ("",), ("one two three",)], "t string").select(fit.alias("f")).select("f.*").collect()
+    assert [tuple(r) for r in got] == [(None, 0, False), ("", 0, False), ("one two", 2, True)]

@@ -17,7 +17,7 @@ from veritrim.functions.metrics import (
 )
 from veritrim.functions.prompts import build_prompt, compression_decision, fit_to_window, input_cap, premise
 from veritrim.functions.text import hard_truncate, last_number, normalize_text, token_count
-from veritrim.functions.tokenizers import token_joiner, token_splitter
+from veritrim.functions.tokenizers import token_fitter, token_joiner, token_splitter
 from veritrim.functions.vectors import response_consistency
 from veritrim.operators.compress import compress_to_budget
 from veritrim.operators.inference import score_batches
@@ -36,7 +36,7 @@ def prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.withColumn("prompt", build_prompt(F.col("context"), F.col("question")))
 
 
-def _input_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _input_window(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """Windows of every kind by language: small, ordinary, unknown, absurdly large."""
     lang = F.col("lang")
     model_window = F.when(lang == "en", 600).when(lang == "fr", 2048).when(lang == "es", 200_000)
@@ -44,7 +44,7 @@ def _input_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text"), input_cap(model_window, tokenizer_window).alias("cap")
     )
-    return fitted.withColumn("_f", fit_to_window(F.col("text"), F.col("cap"))).select("doc_id", "cap", "_f.*")
+    return fitted.withColumn("_f", fit_to_window(F.col("text"), F.col("cap"), settings)).select("doc_id", "cap", "_f.*")
 
 
 def byte_pairs() -> tuple:
@@ -56,6 +56,18 @@ def byte_pairs() -> tuple:
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def _input_window_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows in the tokens of a subword tokenizer."""
+    ship_package(spark)
+    return _input_window(spark, sf_dir, Settings(fit=token_fitter(byte_pairs)))
+
+
+def _token_count_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    fit = token_fitter(byte_pairs)(F.col("text"), 2**31 - 1)
+    return table(spark, sf_dir, "documents").select("doc_id", fit["tokens"].alias("tokens"))
+
+
 def _compress_with_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget, rarity and cut in the tokens of a subword tokenizer."""
     ship_package(spark)
@@ -177,6 +189,8 @@ QUERIES: dict[str, Query] = {
         "doc_id", hard_truncate(F.col("text"), 1024).alias("prompt")
     ),
     "input_window": _input_window,
+    "input_window_bpe": _input_window_bpe,
+    "token_count_bpe": _token_count_bpe,
     "compress_to_budget": lambda s, d: compress_to_budget(table(s, d, "documents"), ["doc_id"], "text", BUDGET),
     "compress_with_tokenizer": _compress_with_tokenizer,
     "compression_decision": _compression_decision,

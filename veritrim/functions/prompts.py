@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +30,21 @@ def input_cap(model_window: Column, tokenizer_window: Column, settings: Settings
 
 
 def model_cap(model: Column, settings: Settings = Settings()) -> Column:
-    """``input_cap`` of the model named, by the windows of the run."""
-    window = F.lit(None).cast("int")
-    for name, size in settings.windows.items():
-        window = F.when(model == name, F.lit(size)).otherwise(window)
-    return input_cap(window, F.lit(None).cast("int"), settings)
+    """``input_cap`` of the model named, by the windows of the run: the model's own, else its tokenizer's."""
+
+    def window(sizes: Mapping[str, int]) -> Column:
+        found = F.lit(None).cast("int")
+        for name, size in sizes.items():
+            found = F.when(model == name, F.lit(size)).otherwise(found)
+        return found
+
+    return input_cap(window(settings.windows), window(settings.tokenizer_windows), settings)
 
 
 def fit_to_window(prompt: Column, cap: Column, settings: Settings = Settings()) -> Column:
     """Struct ``(prompt, tokens, truncated)``; a prompt that fills the window counts as truncated."""
+    if settings.fit is not None:
+        return settings.fit(prompt, cap)
     count = F.least(settings.count_tokens(prompt), cap)
     return F.struct(
         settings.truncate(prompt, cap).alias("prompt"),

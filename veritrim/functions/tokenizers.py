@@ -24,6 +24,43 @@ def token_counter(load: Callable[[], Callable[[str], Sequence]]) -> Callable[[Co
 
 Codec = tuple[Callable[[str], Sequence], Callable[[Sequence], str]]
 
+# What the loaders have loaded in this worker process; later tasks of the process find it there.
+_HELD: dict[tuple[str, str], Codec] = {}
+
+
+def held_codec(load: Callable[[], Codec]) -> Codec:
+    """``load()``, once for each worker process if ``load`` is a function of a module, else once for each task."""
+    name = (getattr(load, "__module__", ""), getattr(load, "__qualname__", ""))
+    if not name[0] or "<" in name[1] or name[0] == "__main__":
+        return load()
+    if name not in _HELD:
+        _HELD[name] = load()
+    return _HELD[name]
+
+
+def token_fitter(load: Callable[[], Codec]) -> Callable[[Column, Column | int], Column]:
+    """A fitting function for ``Settings.fit``: struct (prompt, tokens, truncated) from one encoding of the prompt.
+
+    A prompt within the limit is returned unchanged, one that fills it counts as truncated. A NULL prompt has no tokens.
+    """
+    schema = "prompt string, tokens int, truncated boolean"
+
+    @F.pandas_udf(schema)
+    def fit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        # This function travels with copies of the globals it names; the module of the worker process keeps its own.
+        from veritrim.functions.tokenizers import held_codec
+
+        encode, decode = held_codec(load)
+
+        def one(text: str | None, limit: int) -> tuple[str | None, int, bool]:
+            coded = encode(text) if text is not None else ()
+            return decode(coded[:limit]) if len(coded) > limit else text, min(len(coded), limit), len(coded) >= limit
+
+        for texts, limits in batches:
+            yield pd.DataFrame([one(t, int(n)) for t, n in zip(texts, limits, strict=True)], columns=["prompt", "tokens", "truncated"])
+
+    return lambda prompt, cap: fit(prompt, F.lit(cap))
+
 
 def token_truncator(load: Callable[[], Codec]) -> Callable[[Column, Column | int], Column]:
     """A cutting function for ``Settings.truncate``; ``load`` runs once per task and returns (encode, decode).

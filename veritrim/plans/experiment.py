@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritrim.functions.metrics import entailment_support
-from veritrim.functions.prompts import build_prompt, compression_decision, model_cap, premise, premise_beside
+from veritrim.functions.prompts import build_prompt, compression_decision, fit_to_window, model_cap, premise, premise_beside
 from veritrim.functions.text import strip
 from veritrim.functions.vectors import response_consistency
 from veritrim.operators.aggregates import experiment_summary, run_counters
@@ -161,7 +161,7 @@ def generate(cells: DataFrame, load: Loader, settings: Settings = Settings()) ->
     Prompts are cut to the input window of their model first; out-of-memory rows are retried once with a shortened prompt.
     """
     wanted = Generation(settings.responses_per_cell, settings.responses_per_cell > 1, settings.max_new_tokens)
-    fitted = cells.withColumn("prompt", settings.truncate(F.col("prompt"), model_cap(F.col("model_name"), settings)))
+    fitted = cells.withColumn("prompt", fit_to_window(F.col("prompt"), model_cap(F.col("model_name"), settings), settings)["prompt"])
     answered = score_batches(
         fitted.withColumn("_sent", F.xxhash64("prompt")),
         _asked(load, wanted),

@@ -139,7 +139,8 @@ class Settings:
     ``count_tokens`` turns a text column into token counts, ``truncate`` keeps the first tokens of a text column, and
     ``shorten`` does so for one text in a model stage; ``split`` and ``rebuild`` turn a text into tokens and those that compression
     keeps into a text: white-space words, or those of a tokenizer (``functions.tokenizers``). ``batch_tokens``, where given, bounds the padded tokens of a call of a
-    model, whose inputs ``length`` measures. ``windows`` has the context window of each model that has another than ``default_window``.
+    model, whose inputs ``length`` measures. ``windows`` has the context window of each model that has another than ``default_window``,
+    ``tokenizer_windows`` that of its tokenizer, which counts where the model names none; ``fit`` cuts and counts in one go.
     """
 
     models: tuple[str, ...] = MODELS
@@ -159,6 +160,8 @@ class Settings:
     batch_tokens: int | None = None
     length: Callable[[str], int] = lambda text: len(text.split())
     windows: Mapping[str, int] = field(default_factory=dict)
+    tokenizer_windows: Mapping[str, int] = field(default_factory=dict)
+    fit: Callable[[Column, Column | int], Column] | None = None
     count_tokens: Callable[[Column], Column] = token_count
     truncate: Callable[[Column, Column | int], Column] = hard_truncate
     shorten: Callable[[int], Callable[[str], str]] = first_words
