@@ -69,3 +69,51 @@ def test_a_stream_with_compression_needs_frequencies(spark, tmp_path):
     samples = spark.readStream.schema(SAMPLE).json(str(tmp_path))
     with pytest.raises(ValueError, match="frequencies"):
         score_stream(samples, str(tmp_path / "log"), str(tmp_path / "c"), Scorers(load), "run", NOW, Settings(models=("m",)))
+
+
+def test_frequencies_grow_with_the_stream(spark, tmp_path):
+    from veritrim.operators.compress import token_frequencies
+    from veritrim.sources import commits
+    from veritrim.streaming.frequencies import growing_frequencies
+
+    path = str(tmp_path / "counts")
+    batches = [[""], *[[f"a b w{i}", f"a {'c ' * i}"] for i in range(12)]]
+    frames = [spark.createDataFrame([(t,) for t in b], "prompt string") for b in batches]
+    for i, frame in enumerate(frames):
+        got = growing_frequencies(frame, "prompt", path, "stream", i)
+        if i in (0, 5):
+            # Repeated after a failure: not counted twice.
+            got = growing_frequencies(frame, "prompt", path, "stream", i)
+    corpus = spark.createDataFrame([(t,) for b in batches for t in b], "prompt string")
+    assert rows(got) == rows(token_frequencies(corpus, "prompt"))
+    assert len(commits.state(spark, path)["entries"]) <= 4
+
+
+def test_a_stream_with_growing_frequencies_equals_a_batch(spark, tmp_path):
+    """In one batch, all samples are known when they are compressed; in two, the second one's prompts see both."""
+    settings = Settings(models=("m",), compression_threshold=8)
+    arriving = tmp_path / "in"
+    arriving.mkdir()
+
+    def arrive(name, lines):
+        (arriving / name).write_text("\n".join(json.dumps({"id": i, "dataset": "d", "question": q}) for i, q in lines))
+
+    def run(name):
+        samples = spark.readStream.schema(SAMPLE).json(str(arriving))
+        query = score_stream(
+            samples, str(tmp_path / f"log-{name}"), str(tmp_path / f"c-{name}"), Scorers(load_last), "run", NOW, settings, str(tmp_path / f"f-{name}")
+        )
+        query.awaitTermination()
+        return {(r.id, r.requested_mode): r.prediction for r in read_log(spark, str(tmp_path / f"log-{name}")).collect()}
+
+    arrive("a.json", [(str(i), f"{'x ' * i} one{i} two{i} three four") for i in range(12)])
+    first = run("two")
+    arrive("b.json", [(str(i), f"{'y ' * i} one{i % 3} four x y") for i in range(12, 20)])
+    both, at_once = run("two"), run("one")
+    assert {k: v for k, v in both.items() if k in first} == first
+    late = [k for k in both if int(k[0]) >= 12]
+    assert len(late) == 16 and all(both[k] == at_once[k] for k in late)
+
+
+def load_last(model_name):
+    return lambda prompts: [[p] for p in prompts]

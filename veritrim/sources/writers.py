@@ -111,7 +111,7 @@ def publish_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parqu
         _write_table(df, f"{path}/commit={folder}/{name}", fmt)
     files = commits.data_files(spark, path, f"commit={folder}")
     entry = {"commit": folder, "format": fmt, "tables": sorted(tables), "files": files}
-    return commits.publish(spark, path, entry, after, replace=True)
+    return commits.publish(spark, path, entry, after, kept=[])
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:

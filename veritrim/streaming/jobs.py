@@ -5,13 +5,17 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from veritrim.functions.prompts import build_prompt
 from veritrim.operators.aggregates import summary_from_sums, summary_sums
+from veritrim.operators.prepare import sample_defaults
 from veritrim.plans.experiment import Scorers, run_batch
 from veritrim.schemas import Settings
 from veritrim.sources import commits
 from veritrim.sources.writers import publish_tables, read_tables
+from veritrim.streaming.frequencies import growing_frequencies
 
 SUMMARY = "summary"
 
@@ -24,19 +28,25 @@ def score_stream(
     run_id: str,
     started: datetime,
     settings: Settings = Settings(),
-    frequencies: DataFrame | None = None,
+    frequencies: DataFrame | str | None = None,
 ) -> StreamingQuery:
     """Score a stream of samples into the log, each cell once across restarts, errors included.
 
     The checkpoint remembers the files already seen, the log the cells already done. A batch that is
-    repeated finds its committed rows in the log and adds only the rest. With compression, the ``frequencies`` of the
-    corpus are required: measured in each batch, rarity would depend on how the samples are cut into batches.
+    repeated finds its committed rows in the log and adds only the rest. With compression, ``frequencies`` are required:
+    those of the corpus, or a folder where they grow with the stream, so that a batch's tokens are as rare as they were in all
+    batches up to it. Measured in each batch alone, rarity would depend on how the samples are cut into batches.
     """
     if settings.compression_enabled and frequencies is None:
-        raise ValueError("a stream with compression needs the token frequencies of its corpus")
+        raise ValueError("a stream with compression needs the token frequencies of its corpus, or a folder to keep them in")
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        run_batch(batch, log_path, scorers, run_id, started, settings, batch_id, frequencies)
+        known = frequencies
+        if isinstance(known, str):
+            samples = sample_defaults(batch)
+            prompts = samples.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
+            known = growing_frequencies(prompts, "prompt", known, checkpoint, batch_id, settings.split)
+        run_batch(batch, log_path, scorers, run_id, started, settings, batch_id, known)
 
     return (
         samples.writeStream.foreachBatch(score)
