@@ -86,3 +86,73 @@ def test_all_classes_of_an_element_are_tokens():
 def test_parse_closes_paragraphs_and_decodes():
     page = H.parse("<body><p><b>one &amp; two<br><p>three&nbsp;&lt;3 &am")
     assert H.main_text(page, H.np.ones(len(page.nodes), bool)) == "one & two\n\nthree <3 &am"
+
+
+FIRST = [
+    "The first words of the text stand here, and more of them follow.",
+    "Second of the paragraphs, with some more to read in it.",
+    "A third one is here; it says little but it is long enough.",
+    "The fourth has a few words, too, and an end.",
+]
+WITHIN = [
+    "<h2>Some heading here</h2>", "<h3>Some heading here</h3>", "<pre>some code here</pre>", "<ul><li>one item</li><li>two items</li></ul>",
+    "<table><tr><td>cell one</td><td>cell two</td></tr></table>", "<blockquote>quoted words here</blockquote>",
+    "<figure><figcaption>caption words</figcaption></figure>", "<div>plain words in a div</div>", "<section>words in a section</section>",
+    '<p>A sentence <a href="/x">with a link</a> in it.</p>', "<details>an element that no page for training has</details>", "<dl><dt>term</dt><dd>its meaning</dd></dl>",
+]
+AROUND = [
+    ('<div class="post">', "</div>"), ('<div class="post content">', "</div>"), ('<div id="main">', "</div>"), ("", ""), ("<main>", "</main>"),
+    ("<table><tr><td>", "</td></tr></table>"), ("<section>", "</section>"), ('<div class="unheard of">', "</div>"),
+]
+
+
+def made_page(body):
+    return (
+        '<html><head><title>T</title></head><body><nav><a href="/">Home</a> <a href="/b">Blog</a></nav>'
+        f'{body}<footer>Imprint <a href="/p">Privacy</a></footer></body></html>'
+    )
+
+
+def bare(markup):
+    return " ".join(re.sub(r"<[^>]+>", " ", markup).split())
+
+
+@pytest.fixture(scope="module")
+def many_trees(spark):
+    """From as many pages as a bounded sample of a larger table has; none of the pages below is among them."""
+    return H.fit(H.sample(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+
+
+@pytest.mark.parametrize("within", WITHIN)
+def test_elements_within_an_article_stay(many_trees, within):
+    paragraphs = [f"<p>{x}</p>" for x in FIRST]
+    inside = "<h1>Title of it</h1>" + "".join(paragraphs[:2]) + within + "".join(paragraphs[2:])
+    got = text(many_trees, made_page(f"<article>{inside}</article>"))
+    assert " ".join(got.split()) == bare(inside)
+
+
+@pytest.mark.parametrize("count", [2, 8])
+@pytest.mark.parametrize("around", AROUND)
+def test_articles_in_other_containers(many_trees, around, count):
+    inside = "".join(f"<p>{x}</p>" for x in (FIRST * 2)[:count])
+    got = text(many_trees, made_page(f"{around[0]}{inside}{around[1]}"))
+    assert " ".join(got.split()) == bare(inside)
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    def seconds(n):
+        source = "<body>" + "<svg><iframe src='x'><p>words of the page</p>" * n
+        began = time.process_time()
+        assert len(H.parse(source).pieces) >= n
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(8000) < 12 * max(seconds(1000), 0.02)
+
+
+def test_trees_over_their_own_features_score_alike(many_trees):
+    page = H.parse(made_page("<article><p>some words</p></article>"))
+    trees, places = many_trees.local()
+    assert (trees.scores(H.features(page, places)) == many_trees.scores(H.features(page))).all()

@@ -5,7 +5,7 @@ and of those above it. Decoding keeps a set of elements that is closed upwards a
 element is kept below one that is dropped.
 
 The trees are fitted on the driver from a bounded sample of pages, whose own semantic elements label them. Copies of the sample
-with other markup (plain containers for the article, and further menus, notices, forms and comments around and in it) teach
+with other markup (plain containers for the article, further elements in it, and menus, notices, forms and comments around and in it) teach
 the trees what the sample does not have.
 """
 
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from veritrim.llm.common import arrow_map
 
-#: Comments and skipped elements are one token; only comments, script and style run to the end of the page when unclosed.
+#: A comment, script or style runs to the end of the page when it is not closed.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?</\1\s*>"
-    r"|<(?:script|style)\b[^>]*>.*\Z"
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose inside is skipped up to their closing tag, if there is one further on.
+SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "textarea", "svg", "iframe")}
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements inside a line; every other one begins and ends a block.
@@ -79,6 +80,11 @@ def parse(source: str) -> Page:
     """The tree of a page, broken ones too: open elements end with the page, stray ends are ignored."""
     page = Page([Node("#root", -1, 0)])
     nodes, pieces, stack = page.nodes, page.pieces, [0]
+    opened: Counter = Counter()  # how many elements of each tag are on the stack: it is searched only for those that are
+
+    def leave(k: int) -> None:
+        opened.subtract(nodes[i].tag for i in stack[k:])
+        del stack[k:]
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
@@ -91,21 +97,28 @@ def parse(source: str) -> Page:
         elif raw:
             pieces.append((stack[-1], " "))
 
+    # Where the last closing tag of each begins: behind it, no opening one is looked for further.
+    lowered = source.lower()
+    last = {t: lowered.rfind(f"</{t}") for t in SKIPPED} if len(lowered) == len(source) else dict.fromkeys(SKIPPED, len(source))
     at = 0
-    for m in TOKEN.finditer(source):
+    while m := TOKEN.search(source, at):
         text(source[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if tag in SKIPPED and not m[2] and not m[4].endswith("/") and at <= last[tag]:
+            if closed := SKIPPED[tag].search(source, at):
+                at = closed.end()
+                continue
         if tag not in INLINE:
             pieces.append((-1, ""))
         elif tag == "br":
             pieces.append((stack[-1], " "))
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if nodes[stack[k]].tag == tag:
-                    del stack[k:]
+                    leave(k)
                     break
                 if nodes[stack[k]].tag in CONTAINERS and tag not in CONTAINERS:
                     break
@@ -114,10 +127,10 @@ def parse(source: str) -> Page:
             continue
         shut = {"p"} if tag not in INLINE else set()
         shut |= CLOSES.get(tag, set())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1 if any(opened[t] for t in shut) else 0, 0, -1):
             name = nodes[stack[k]].tag
             if name in shut:
-                del stack[k:]
+                leave(k)
                 break
             if name in CONTAINERS:
                 break
@@ -130,6 +143,7 @@ def parse(source: str) -> Page:
         nodes[parent].children += 1
         if not m[4].endswith("/"):
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
     text(source[at:])
     for i in range(len(nodes) - 1, 0, -1):
         node, above = nodes[i], nodes[nodes[i].parent]
@@ -145,7 +159,7 @@ def parse(source: str) -> Page:
 
 
 #: Hashed places of tags and attribute tokens: of the element itself, and of all above it.
-PLACES = 64
+PLACES = 512
 NUMBERS = 10
 
 
@@ -153,10 +167,16 @@ def _place(word: str) -> int:
     return zlib.crc32(word.encode()) % PLACES
 
 
-def features(page: Page) -> np.ndarray:
-    """One row an element: numbers in 16 steps, then flags of its tag and tokens, then flags of those above it."""
+def features(page: Page, columns: dict[int, int] | None = None) -> np.ndarray:
+    """One row an element: numbers in 16 steps, then flags of its tag and tokens, then flags of those above it.
+
+    With ``columns`` (number: place in the row) only these are made.
+    """
     nodes = page.nodes
-    out = np.zeros((len(nodes), NUMBERS + 3 * PLACES), np.uint8)
+    width = NUMBERS + 3 * PLACES
+    columns = columns if columns is not None else {k: k for k in range(width)}
+    out = np.zeros((len(nodes), len(columns)), np.uint8)
+    above_places = np.array([j for k, j in columns.items() if k >= NUMBERS + 2 * PLACES], np.int64)
     whole = max(1, nodes[0].chars)
     numbers = []
     for i, n in enumerate(nodes):
@@ -165,17 +185,21 @@ def features(page: Page) -> np.ndarray:
             n.own, n.chars, n.tags, 15 * n.linked / max(1, n.chars), n.depth, n.sibling, above.children - n.sibling,
             n.chars / (n.tags + 1), 200 * n.stops / max(1, n.chars), 15 * n.chars / whole,
         ))
+        flags = [NUMBERS + _place(n.tag)]
         if i:
-            out[i, NUMBERS + 2 * PLACES :] = out[n.parent, NUMBERS + 2 * PLACES :]
-            out[i, NUMBERS + 2 * PLACES + _place(n.tag)] = 1
-        out[i, NUMBERS + _place(n.tag)] = 1
+            out[i, above_places] = out[n.parent, above_places]
+            flags.append(NUMBERS + 2 * PLACES + _place(n.tag))
         for t in n.tokens:
-            out[i, NUMBERS + PLACES + _place(t)] = 1
-            out[i, NUMBERS + 2 * PLACES + _place("." + t)] = 1
+            flags += [NUMBERS + PLACES + _place(t), NUMBERS + 2 * PLACES + _place("." + t)]
+        for k in flags:
+            if k in columns:
+                out[i, columns[k]] = 1
     table = np.array(numbers)
     for k in (0, 1, 2, 7):
         table[:, k] = 1.5 * np.log2(table[:, k] + 1)
-    out[:, :NUMBERS] = np.minimum(table, 15)
+    for k in range(NUMBERS):
+        if k in columns:
+            out[:, columns[k]] = np.minimum(table[:, k], 15)
     return out
 
 
@@ -199,10 +223,18 @@ class Trees:
             total += leaf[at - len(feature)]
         return total
 
+    def local(self) -> tuple[Trees, dict[int, int]]:
+        """The same trees over the features they look at, and the places of these."""
+        used = np.unique(self.feature)
+        return Trees(self.start, np.searchsorted(used, self.feature), self.limit, self.leaf), {int(k): j for j, k in enumerate(used)}
+
 
 def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3) -> Trees:
     """Trees of logistic loss, by Newton steps over histograms of the 16 steps of each feature."""
     rounds = rounds if len(y) and 0 < y.mean() < 1 else 0
+    # A tag or token that all elements have, or none, says nothing; so what the sample lacks has no evidence of its own.
+    told = np.flatnonzero(x.min(axis=0) < x.max(axis=0)) if rounds else np.zeros(0, np.int64)
+    x = x[:, told]
     inner, n_features = 2**depth - 1, x.shape[1]
     share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
     start = float(np.log(share / (1 - share)))
@@ -226,6 +258,8 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, de
         leaves = at - inner
         found.leaf[r] = rate * np.bincount(leaves, g, inner + 1) / (np.bincount(leaves, h, inner + 1) + 1)
         total += found.leaf[r][leaves]
+    if rounds:
+        found.feature = told[found.feature]
     return found
 
 
@@ -285,24 +319,44 @@ BESIDE = (
     '<div class="share social"><a href="/t">{0}</a><a href="/f">{2}</a></div>',
     '<div class="banner notice">{1}</div>',
 )
-ARTICLES = ('<div class="post content">', '<div id="content" class="entry">', "<main>", '<section class="article body">', "<article>", '<div class="story text">')
+ARTICLES = ('<div class="post content">', '<div id="content" class="entry">', "<main>", '<section class="article body">', "<article>", '<div class="story text">',
+            '<div class="post">', '<div id="main">', "<div>", "<section>", "<td>", "")
+#: What an article may have between and around its paragraphs.
+INSIDE = (
+    "<h2>{0}</h2>", "<h3>{0}</h3><p>{1}</p>", "<ul><li>{1}</li><li>{2}</li></ul>", "<ol><li>{0}</li><li>{1}</li><li>{2}</li></ol>",
+    "<pre>{1}</pre>", "<pre><code>{0}</code></pre>", "<blockquote>{1}</blockquote>", "<blockquote><p>{1}</p></blockquote>",
+    "<table><tr><th>{0}</th><th>{2}</th></tr><tr><td>{1}</td><td>{2}</td></tr></table>", "<dl><dt>{0}</dt><dd>{1}</dd></dl>",
+    '<figure><img src="/i"><figcaption>{0}</figcaption></figure>', "<div>{1}</div>", "<div><p>{1}</p></div>", "<section><h3>{0}</h3><p>{1}</p></section>",
+    '<p>{1} <a href="/l">{0}</a> {2}</p>', '<p><a href="/l">{0}</a></p>', "<p><strong>{0}</strong> {1} <em>{2}</em></p>", "<h4>{0}</h4>", "<p>{0}</p>",
+)
 
 
 def varied(source: str, rng: random.Random) -> str:
-    """A page with other markup for its article, and with further parts beside it made of its own sentences."""
+    """A page with other markup for its article and in it, and with further parts beside it made of its own sentences."""
     sentences = [s.strip() for s in re.split(r"[.<>\n]", re.sub(r"<[^>]*>", "\n", source)) if 3 < len(s.strip()) < 400] or ["text"]
 
-    def beside(count: int) -> str:
+    def made(kinds: tuple[str, ...], count: int) -> str:
         return "".join(
-            rng.choice(BESIDE).format(*(entities.escape(" ".join(rng.choices(sentences, k=k))) for k in (1, rng.randint(1, 4), 1)))
+            rng.choice(kinds).format(*(entities.escape(entities.unescape(". ".join(rng.choices(sentences, k=k)))) + "." * (k > 1) for k in (1, rng.randint(1, 4), 1)))
             for _ in range(count)
         )
 
     opening = rng.choice(ARTICLES)
-    closing = f"</{re.match('<([a-z]+)', opening)[1]}>"
-    source = re.sub(r"<article[^>]*>", lambda m: beside(rng.randint(0, 2)) + "<x-main>" + opening, source, count=1)
-    inner = beside(1) if rng.random() < 0.3 else ""
-    source = source.replace("</article>", inner + closing + "</x-main>" + beside(rng.randint(0, 3)), 1)
+    name = re.match("<([a-z]+)", opening)
+    closing = f"</{name[1]}>" if name else ""
+    if opening == "<td>":
+        opening, closing = "<table><tr><td>", "</td></tr></table>"
+    head, start, rest = source.partition("<article")
+    body, end, tail = rest.partition("</article>")
+    if start and end:
+        attributes, _, body = body.partition(">")
+        blocks = re.split(r"(?<=</p>)|(?=<p>)", body)
+        if rng.random() < 0.4:
+            blocks = blocks[: rng.randint(1, 4)]
+        share = rng.choice((0, 0.15, 0.5))
+        body = "".join(b + (made(INSIDE, 1) if rng.random() < share else "") for b in blocks)
+        inner = made(BESIDE, 1) if rng.random() < 0.3 else ""
+        source = f"{head}{made(BESIDE, rng.randint(0, 2))}<x-main>{opening}{body}{inner}{closing}</x-main>{made(BESIDE, rng.randint(0, 3))}{tail}"
     if rng.random() < 0.3:
         source = source.replace("<nav>", '<div class="nav">').replace("</nav>", "</div>")
     if rng.random() < 0.3:
@@ -318,7 +372,7 @@ def _without_marks(page: Page) -> Page:
     return page
 
 
-def fit(pages: list[str], variants: int = 2) -> Trees:
+def fit(pages: list[str], variants: int = 3) -> Trees:
     """Trees from sample pages and ``variants`` of each; deterministic. Without pages they keep all text."""
     rng = random.Random(3)
     xs, ys, ws = [], [], []
@@ -326,7 +380,10 @@ def fit(pages: list[str], variants: int = 2) -> Trees:
         for text in (source, *(varied(source, rng) for _ in range(variants))):
             page = parse(text)
             y = labels(page)
-            xs.append(features(_without_marks(page)))
+            # Without the marks the article may stand in its parent as it is, among the parts beside it.
+            bare, own = parse(re.sub("</?x-main>", "", text)), np.array([n.tag != "x-main" for n in page.nodes])
+            page, y = (bare, y[own]) if [n.tag for n in bare.nodes] == [n.tag for n in page.nodes if n.tag != "x-main"] else (_without_marks(page), y)
+            xs.append(features(page))
             ys.append(y)
             ws.append(np.ones(len(y)))
     if not xs:
@@ -351,13 +408,14 @@ def extract(pages: DataFrame, trees: Trees) -> DataFrame:
     kept_columns = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     source = pages.select(*kept_columns, F.col("html").cast("string").alias("html"))
     schema = source.drop("html").select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    trees, places = trees.local()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 rows = batch.slice(start, 100)
                 parsed = [parse(h or "") for h in rows.column("html").to_pylist()]
-                scores = trees.scores(np.concatenate([features(p) for p in parsed]))
+                scores = trees.scores(np.concatenate([features(p, places) for p in parsed]))
                 ends = np.cumsum([len(p.nodes) for p in parsed])
                 texts = [main_text(p, keep_elements(p, s)) for p, s in zip(parsed, np.split(scores, ends[:-1]), strict=True)]
                 columns = [*(rows.column(c) for c in kept_columns), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
