@@ -49,7 +49,7 @@ def test_given_frequencies(spark):
 
 def test_tokens_of_a_tokenizer(spark):
     """Whole result of the registered query against the plain library call."""
-    from veritrim.catalog.prompts import BUDGET, QUERIES, byte_pairs
+    from veritrim.catalog.prompts import BUDGET, WITHOUT_SQL, byte_pairs
 
     encode, decode = byte_pairs()
     sf = "/root/testdata/sf0.001"
@@ -60,7 +60,7 @@ def test_tokens_of_a_tokenizer(spark):
     for k, ids in coded.items():
         kept = sorted(sorted(range(len(ids)), key=lambda i: (freq[ids[i]], i))[:BUDGET])
         want.append((k, texts[k] if len(ids) <= BUDGET else decode([ids[i] for i in kept]), len(ids), len(kept)))
-    assert rows(QUERIES["compress_with_tokenizer"](spark, sf)) == sorted(want, key=str)
+    assert rows(WITHOUT_SQL["compress_with_tokenizer"](spark, sf)) == sorted(want, key=str)
 
 
 def test_null_text_and_extra_columns(spark):

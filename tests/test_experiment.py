@@ -273,16 +273,16 @@ def test_packed_run_equals_a_plain_one(spark, samples):
 
 
 def test_subword_tokens_as_the_library_counts_them(spark):
-    from veritrim.catalog.prompts import QUERIES, byte_pairs
+    from veritrim.catalog.prompts import WITHOUT_SQL, byte_pairs
 
     encode, decode = byte_pairs()
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     coded = {d: encode(t or "") for d, (t, _) in texts.items()}
-    assert {r.doc_id: r.tokens for r in QUERIES["token_count_bpe"](spark, sf).collect()} == {d: len(c) for d, c in coded.items()}
+    assert {r.doc_id: r.tokens for r in WITHOUT_SQL["token_count_bpe"](spark, sf).collect()} == {d: len(c) for d, c in coded.items()}
     caps = {"en": 600 - 72, "fr": 2048 - 72, "es": 4096 - 72, "de": 1024 - 72}
     cut = 0
-    for r in QUERIES["input_window_bpe"](spark, sf).collect():
+    for r in WITHOUT_SQL["input_window_bpe"](spark, sf).collect():
         ids, cap = coded[r.doc_id], caps.get(texts[r.doc_id][1], 4096 - 72)
         cut += len(ids) > cap
         want = (cap, decode(ids[:cap]) if len(ids) > cap else texts[r.doc_id][0], min(len(ids), cap), len(ids) >= cap)

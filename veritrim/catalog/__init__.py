@@ -7,4 +7,5 @@ from veritrim.catalog import grouped, preparation, prompts, scoring
 _PARTS = (grouped, preparation, prompts, scoring)
 
 QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+WITHOUT_SQL = prompts.WITHOUT_SQL
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

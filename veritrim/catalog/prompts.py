@@ -189,10 +189,7 @@ QUERIES: dict[str, Query] = {
         "doc_id", hard_truncate(F.col("text"), 1024).alias("prompt")
     ),
     "input_window": _input_window,
-    "input_window_bpe": _input_window_bpe,
-    "token_count_bpe": _token_count_bpe,
     "compress_to_budget": lambda s, d: compress_to_budget(table(s, d, "documents"), ["doc_id"], "text", BUDGET),
-    "compress_with_tokenizer": _compress_with_tokenizer,
     "compression_decision": _compression_decision,
     "error_classify": _error_classify,
     "sentinel_rows": _sentinel_rows,
@@ -275,6 +272,13 @@ _ALTERED = """CASE lang WHEN 'en' THEN '  ' || text || '!' WHEN 'fr' THEN text |
   ELSE replace(text, 'e', 'a') END"""
 _PROMPTED = f"{DIALOGUE_SQL}, prompted AS (SELECT *, {PROMPT_SQL} AS prompt FROM samples)"
 
+#: SQL has no subword tokenizer; ``tests`` compares these with the plain library call.
+WITHOUT_SQL: dict[str, Query] = {
+    "compress_with_tokenizer": _compress_with_tokenizer,
+    "input_window_bpe": _input_window_bpe,
+    "token_count_bpe": _token_count_bpe,
+}
+
 ORACLES: dict[str, str] = {
     "build_prompt": f"WITH {_PROMPTED} SELECT id, prompt FROM prompted",
     "premise_select": f"""WITH {_PROMPTED},
