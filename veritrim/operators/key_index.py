@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrim.schemas import CELL_KEY
@@ -27,8 +27,8 @@ SEGMENT = f"cells array<{CELL}>, bits binary, segment string, bucket int"
 BUCKET_CELLS, KEY_BITS, PROBES, FAN_OUT = 20_000, 12, 4, 4
 
 
-def key_hash(*names: str):
-    return F.xxhash64(*[F.col(n) for n in names or SAMPLE_KEY])
+def key_hash() -> Column:
+    return F.xxhash64(*SAMPLE_KEY)
 
 
 def _places(hashes: np.ndarray, size: int) -> np.ndarray:
