@@ -3,7 +3,8 @@ from collections import Counter
 import pytest
 
 from tests.helpers import rows
-from veritrim.operators.compress import compress_to_budget
+from veritrim.operators.compress import _candidates, compress_to_budget, token_frequencies
+from veritrim.operators.skew import frequent_keys
 
 
 def brute_force(texts, budget):
@@ -66,3 +67,21 @@ def test_tokens_of_a_tokenizer(spark):
 def test_null_text_and_extra_columns(spark):
     df = spark.createDataFrame([(1, None, "x", 9), (2, "a b c", "y", 9)], "k int, text string, token string, freq int")
     assert rows(compress_to_budget(df, ["k"], "text", 2)) == [(1, None, 0, 0), (2, "a b", 3, 2)]
+
+
+def test_a_texts_tokens_are_not_all_shuffled(spark):
+    """Each token went through four shuffles; now only those that are not frequent go, through two."""
+    words = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(k, " ".join(words[(k * 7 + i) % 200] for i in range(300)) + f" own{k}") for k in range(400)], "k int, text string")
+    plan = compress_to_budget(df, ["k"], "text", 5)
+    assert "posexplode" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    sent = _candidates(df.selectExpr("k", "text as prompt", "split(text, ' ') as _words"), ["k"], 5, frequent_keys(token_frequencies(df, "text"), "freq", 200))
+    assert sent.filter("token is not null").count() == 400
+    assert [r.n for r in sent.filter("token is null").selectExpr("size(_head.known) as n").distinct().collect()] == [4]
+
+
+def test_the_most_frequent_keys_are_told_whatever_their_share(spark):
+    """Before, a key needed one ``most``-th of all rows, so that of many keys hardly any was frequent."""
+    counts = spark.createDataFrame([(f"t{i}", 1000 - i) for i in range(500)] + [(f"r{i}", 1) for i in range(5000)], "token string, freq long")
+    found = {r.token: r.freq for r in frequent_keys(counts, "freq", 400).collect()}
+    assert 300 < len(found) <= 400 and min(found.values()) > 1000 - 401
