@@ -85,3 +85,30 @@ def test_the_most_frequent_keys_are_told_whatever_their_share(spark):
     counts = spark.createDataFrame([(f"t{i}", 1000 - i) for i in range(500)] + [(f"r{i}", 1) for i in range(5000)], "token string, freq long")
     found = {r.token: r.freq for r in frequent_keys(counts, "freq", 400).collect()}
     assert 300 < len(found) <= 400 and min(found.values()) > 1000 - 401
+
+
+def test_pieces_equal_the_whole_text(spark):
+    """The held pieces of texts give the ids of the plain library call, also for odd white space and added tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from veritrim.catalog.prompts import byte_pairs
+
+    encode, decode = byte_pairs()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["", " ", "  a  b ", "a\n b\t c", " it's  we'll \r\n", "x<|endoftext|> y", "é à 漢字  z", "don't stop", "a " * 50]
+    for text in odd + odd:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert encode(text) == ids and decode(ids) == plain.decode(ids, skip_special_tokens=False)
+
+
+def test_tokens_travel_in_small_batches(spark):
+    """A batch of texts was answered with lists of all its tokens at once."""
+    from veritrim.functions import tokenizers
+
+    held = tokenizers.token_splitter(lambda: (lambda text: [len(text)] * len(text), None)).func
+    import pyarrow as pa
+
+    made = list(held(iter([pa.array(["ab", None, "c", ""] * 200)])))
+    assert [len(m) for m in made] == [256, 256, 256, 32]
+    assert made[0].to_pylist()[:4] == [[2, 2], [], [1], []]

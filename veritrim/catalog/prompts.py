@@ -17,7 +17,7 @@ from veritrim.functions.metrics import (
 )
 from veritrim.functions.prompts import build_prompt, compression_decision, fit_to_window, input_cap, premise
 from veritrim.functions.text import hard_truncate, last_number, normalize_text, token_count
-from veritrim.functions.tokenizers import token_fitter, token_joiner, token_splitter
+from veritrim.functions.tokenizers import Pieces, token_fitter, token_joiner, token_splitter
 from veritrim.functions.vectors import response_consistency
 from veritrim.operators.compress import compress_to_budget
 from veritrim.operators.inference import score_batches
@@ -50,10 +50,9 @@ def _input_window(spark: SparkSession, sf_dir: str, settings: Settings = Setting
 def byte_pairs() -> tuple:
     """(encode, decode) of a public tokenizer; its file is found on the worker that loads it."""
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
+    pieces = Pieces(public_tokenizers.path("byte_bpe_50k.json"), most=400_000)
+    return lambda text: pieces.encode([text])[0].tolist(), lambda ids: pieces.tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def _input_window_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,7 @@ shards are the tasks that wrote them, in the order of doc_id.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritrim.functions.tokenizers import Pieces
 from veritrim.llm.common import arrow_map, texts_of
 from veritrim.session import shared_folder
 
@@ -115,58 +113,6 @@ def decode(words: np.ndarray, offsets: np.ndarray, large: np.ndarray, n: int, bl
     return out
 
 
-class Pieces(dict):
-    """Ids of space-led pieces of text, as bytes; unknown ones are encoded by the tokenizer, many at a time.
-
-    A byte-level tokenizer splits before every space that a visible character follows, so pieces can be encoded apart
-    (``tests/llm`` compares with whole texts). Most pieces of a text are known ones. At most ``most`` are kept, in two
-    generations: when the younger is full, the elder is forgotten. Texts with the string of an added token are encoded whole.
-    """
-
-    def __init__(self, path: str, most: int = 1_600_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores among them
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.most, self.elder = most, {}
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if "  " in text or re.search(r" (?=\s|$)", text):  # a space joins the white space around it
-            return [p for p in re.split(r"(?= (?=\S))", text) if p]
-        first, *rest = text.split(" ")
-        return [first] * bool(first) + [f" {p}" for p in rest]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        whole = [i for i, t in enumerate(texts) if self.added.search(t)]
-        parts = [self.split(t) for t in texts]
-        for i in whole:
-            parts[i] = []
-        if len(self) > self.most // 2:
-            self.elder = dict(self)
-            self.clear()
-        new = []
-        for piece in set().union(*parts):
-            if piece in self:
-                continue
-            if (known := self.elder.get(piece)) is None:
-                new.append(piece)
-            else:
-                self[piece] = known
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[piece] = array("I", coded.ids).tobytes()
-        out = [np.frombuffer(b"".join(map(self.__getitem__, p)), np.uint32) for p in parts]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return out
-
-
 #: What this worker process knows, by tokenizer file; its later tasks go on with it.
 _PIECES: dict[str, Pieces] = {}
 
