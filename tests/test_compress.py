@@ -112,3 +112,15 @@ def test_tokens_travel_in_small_batches(spark):
     made = list(held(iter([pa.array(["ab", None, "c", ""] * 200)])))
     assert [len(m) for m in made] == [256, 256, 256, 32]
     assert made[0].to_pylist()[:4] == [[2, 2], [], [1], []]
+
+
+def test_the_question_travels_in_the_prompt_only(spark):
+    """Cells carried the question beside the prompt, once for each model and mode."""
+    from veritrim.plans.experiment import plan_cells
+    from veritrim.schemas import RESULT_LOG, Settings
+
+    samples = spark.createDataFrame([("1", "d", "", "what is it", "x")], "id string, dataset string, context string, question string, answer string")
+    for enabled in (True, False):
+        cells = plan_cells(samples, spark.createDataFrame([], RESULT_LOG), Settings(models=("m",), compression_enabled=enabled))
+        assert "question" not in cells.columns
+        assert all("what is it" in r.prompt for r in cells.collect())

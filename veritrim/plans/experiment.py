@@ -81,7 +81,7 @@ def plan_cells(
     scratch: str | None = None,
     compressor: Callable | None = None,
 ) -> DataFrame:
-    """One row per cell still to do, with the prompt to send.
+    """One row per cell still to do, with the prompt to send. The question goes on in the prompt only.
 
     Only distinct keys meet ``log``, which needs the columns of a cell and nothing else; each sample with work left carries its list of conditions (no more
     than the run has) until its prompt is built and compressed, once for all conditions. Token rarity is that
@@ -96,17 +96,19 @@ def plan_cells(
         .groupBy(*key)
         .agg(F.collect_set(F.struct("model_name", "requested_mode")).alias("_cells"))
     )
+    # Two joins read it; its size is known then, so that no text is shuffled for a few cells, or none.
+    todo = written(todo, "todo", scratch)
     # Samples that share a key are one cell: one of them stands for all, the same one in every attempt.
     # Only samples with work left move their texts.
     open_ = usable.join(todo.select(*key), key, "left_semi")
     unique = open_.groupBy(*key).agg(F.min(F.struct("context", "question", "answer")).alias("_s"))
     prompts = unique.join(todo, key).select(
-        *key, "_cells", "_s.*", build_prompt(F.col("_s.context"), F.col("_s.question")).alias("prompt")
+        *key, "_cells", "_s.context", "_s.answer", build_prompt(F.col("_s.context"), F.col("_s.question")).alias("prompt")
     )
     if not settings.compression_enabled:
         counted = prompts.withColumn("orig_tokens", settings.count_tokens(F.col("prompt")))
         return counted.select(
-            *key, "context", "question", "answer", "prompt", "orig_tokens",
+            *key, "context", "answer", "prompt", "orig_tokens",
             F.col("orig_tokens").alias("compressed_tokens"), F.lit(0).alias("compressed"), F.inline("_cells"),
         )
     if compressor is not None:
@@ -116,14 +118,15 @@ def plan_cells(
         made = score_batches(dealt, wanted, "prompt", "_short", T.StringType())
         made = made.withColumn("_available", F.col("error").isNull() & F.col("_short").isNotNull()).drop("error")
     else:
-        prompts = written(prompts, "prompts", scratch)
+        # A stored number is a narrow key for the tokens.
+        prompts = written(prompts.withColumn("_number", F.monotonically_increasing_id()), "prompts", scratch)
         if frequencies is None:
             whole = usable.select(build_prompt(F.col("context"), F.col("question")).alias("prompt"))
             frequencies = written(token_frequencies(whole, "prompt", settings.split), "frequencies", scratch)
         short = compress_to_budget(
-            prompts, key, "prompt", settings.compression_threshold, frequencies, split=settings.split, rebuild=settings.rebuild
-        ).select(*key, F.col("prompt").alias("_short"))
-        made = prompts.join(short, key).withColumn("_available", F.lit(True))
+            prompts, ["_number"], "prompt", settings.compression_threshold, frequencies, split=settings.split, rebuild=settings.rebuild
+        ).select("_number", F.col("prompt").alias("_short"))
+        made = prompts.join(short, "_number").withColumn("_available", F.lit(True))
     counted = made.withColumns(
         {
             "orig_tokens": settings.count_tokens(F.col("prompt")),
@@ -137,7 +140,7 @@ def plan_cells(
         ),
     )
     cells = decided.select(
-        *key, "context", "question", "answer", "prompt", "orig_tokens", "_d", F.inline("_cells")
+        *key, "context", "answer", "prompt", "orig_tokens", "_d", F.inline("_cells")
     )
     wanted = F.col("requested_mode") == 1
     return cells.withColumns(
