@@ -96,8 +96,9 @@ def plan_cells(
         .groupBy(*key)
         .agg(F.collect_set(F.struct("model_name", "requested_mode")).alias("_cells"))
     )
-    # Two joins read it; its size is known then, so that no text is shuffled for a few cells, or none.
-    todo = written(todo, "todo", scratch)
+    if settings.compression_enabled:
+        # Its size is known then, so that no text is shuffled for a few cells, or none.
+        todo = written(todo, "todo", scratch)
     # Samples that share a key are one cell: one of them stands for all, the same one in every attempt.
     # Only samples with work left move their texts.
     open_ = usable.join(todo.select(*key), key, "left_semi")
