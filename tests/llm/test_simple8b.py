@@ -44,6 +44,26 @@ def test_added_tokens_as_by_the_plain_library_call():
     assert [g.tolist() for g in S.Pieces(byte_bpe_path()).encode(texts)] == want
 
 
+def test_words_are_known_whatever_signs_follow_them():
+    pieces = S.Pieces(byte_bpe_path())
+    pieces.encode([" ab ab. ab, ab! ab\nab. ab;\nab,"])
+    assert set(pieces) == {b" ab", b"ab", b".", b",", b"!", b";", b"\n"}
+
+
+def test_random_texts_as_by_the_plain_library_call():
+    from tokenizers import Tokenizer
+
+    coder, pieces = Tokenizer.from_file(byte_bpe_path()), S.Pieces(byte_bpe_path(), most=500)
+    parts = ["a", "Ab", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'", "'s", "'LL", "\u00e9", "\u00d7", "\u00f7", "\u0180", "\u023f", "\u024f", "\u0250", "\u03a9"]
+    parts += ["\u4e2d", "\u3002", "\u201c", "\u2019", "\u2028", "\u3000", "\u00a0", "\u0085", "\u1680", "\u202f", "\x1c", "\x00", "\x7f", "1", "22", "\u00b2", "\u0663", "!", "..."]
+    parts += ["_", "<|endoftext|>", "\u00aa", "e\u0301", "\U0001f600", "\u200b"]
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 15))) for _ in range(100)]
+        want = [coder.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [g.tolist() for g in pieces.encode(texts)] == want
+
+
 def test_documents(spark):
     from tokenizers import Tokenizer
 

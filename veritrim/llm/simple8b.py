@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,14 @@ CHUNK_SCHEMA = (
 )
 
 
+#: Bits of each value of 16 bits.
+_SMALL = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
+
+
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits of each unsigned value; 1 for 0."""
+    if len(values) and values.max() < len(_SMALL):
+        return _SMALL[values]
     if not len(values) or values.max() < 1 << 52:  # exact as doubles
         return np.maximum(np.frexp(values.astype(np.float64))[1], 1)
     high = (values >> np.uint64(32)).astype(np.float64)
@@ -54,41 +61,42 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     flat[:n] = values
     grid[:, :block] = flat.reshape(rows, block)
     bits = bit_lengths(grid.ravel()).reshape(grid.shape)
-    large = values[bit_lengths(values) > 60]
+    large = values[bits[:, :block].ravel()[:n] > 60]
     # The selector at each place: the first, so the widest, whose ids all fit. A word may run over the end of its block.
+    # ``widest`` has the most bits of the next ids at each place, of as many ids as the selector at hand takes.
     chosen = np.zeros((rows, block), np.int8)
-    widest = bits.max()
+    widest, reach = bits.astype(np.uint8), 1
     for selector in range(len(COUNTS) - 1, 0, -1):
         count = int(COUNTS[selector])
-        if BITS[selector] >= widest:
-            chosen[:] = selector
-            continue
-        over = np.zeros((rows, block + most + 1), np.int32)
-        np.cumsum(bits > BITS[selector], axis=1, out=over[:, 1:])
-        fits = over[:, count : count + block] == over[:, :block]
-        chosen[fits] = selector
-    lengths = np.full(rows, block)
-    lengths[-1] = n - (rows - 1) * block
+        while reach < count:
+            step = min(reach, count - reach)
+            widest = np.maximum(widest[:, :-step], widest[:, step:])
+            reach += step
+        np.copyto(chosen, np.int8(selector), where=widest[:, :block] <= BITS[selector])
+    ends = np.arange(1, rows + 1) * block
+    ends[-1] = n
     # All blocks advance together, one word a step.
-    at, live, steps = np.zeros(rows, np.int64), np.arange(rows), []
-    while len(live):
-        place = at[live]
-        selector = chosen[live, place]
-        steps.append((live, place, selector))
-        at[live] = place + COUNTS[selector]
-        live = live[at[live] < lengths[live]]
-    row, place, selector = (np.concatenate(x) for x in zip(*steps, strict=True))
-    order = np.argsort(row, kind="stable")
-    row, place, selector = row[order], place[order], selector[order].astype(np.int64)
+    takes = COUNTS[chosen.ravel()]
+    at, steps = np.arange(rows) * block, []
+    while len(at):
+        steps.append(at)
+        at = at + takes[at]
+        going = at < ends
+        if not going.all():
+            at, ends = at[going], ends[going]
+    place = np.sort(np.concatenate(steps))
+    row, selector = place // block, chosen.ravel()[place]
     words = selector.astype(np.uint64) << np.uint64(60)
+    ids, place = grid.ravel(), place + row * most
     for s in np.unique(selector):
         mine = np.flatnonzero(selector == s)
         if s == 0:
             words[mine] |= np.arange(len(mine), dtype=np.uint64)
             continue
-        width = np.uint64(BITS[s])
+        width, first, packed = np.uint64(BITS[s]), place[mine], words[mine]
         for k in range(int(COUNTS[s])):
-            words[mine] |= grid[row[mine], place[mine] + k] << (np.uint64(k) * width)
+            packed |= ids[first + k] << (np.uint64(k) * width)
+        words[mine] = packed
     return words, np.searchsorted(row, np.arange(rows)), large
 
 
@@ -124,6 +132,17 @@ def pieces_of(path: str) -> Pieces:
     return _PIECES[path]
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows in order, as many at a time as have ``size`` bytes of text, or one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Chunks of ``docs`` (doc_id, text; other columns are ignored) in the order of (doc_id, text), NULL ids first.
 
@@ -147,8 +166,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in slices(batch):
                 texts = [t.decode("utf-8") for t in texts_of(part.column("text"))]
                 for doc_id, found in zip(part.column("doc_id").to_pylist(), pieces.encode(texts), strict=True):
                     doc_ids.append(doc_id)
