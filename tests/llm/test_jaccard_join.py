@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,3 +122,23 @@ def test_links_share_a_prefix_for_any_common_shingles(common):
         if len(b) and J.links(len(np.intersect1d(a, b)), len(a), len(b)):
             tokens, owner = J.prefixes([a, b], last)
             assert set(tokens[owner == 0]) & set(tokens[owner == 1])
+
+
+def test_shared_shingles_are_counted_in_parts_of_their_range():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**64 - 1, 500, dtype=np.uint64)
+    pool[:4] = [0, 2**64 - 1, 2**60, 2**60 - 1]
+    sets = [np.unique(rng.choice(pool, rng.integers(0, 60))) for _ in range(40)]
+    found, counts = J.repeated(sets)
+    want = Counter(int(x) for s in sets for x in s)
+    assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == {x: n for x, n in want.items() if n >= J.COMMON_IN_BATCH}
+    assert (found[1:] > found[:-1]).all()
+    assert [len(x) for x in J.repeated([])] == [0, 0]
+    sets = [np.unique(rng.integers(0, 2**64 - 1, 2000, dtype=np.uint64)) for _ in range(500)]
+    tracemalloc.start()
+    J.repeated(sets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(s.nbytes for s in sets) / 2  # all in one would be as large again

@@ -127,6 +127,24 @@ def _record(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names.split())
 
 
+def repeated(sets: list[np.ndarray], parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, its sets) of those that ``COMMON_IN_BATCH`` or more of the sorted sets have, in order.
+
+    One part of the range of the hashes is counted after another, so that no second copy of all sets is held.
+    """
+    bounds = (np.arange(1, parts, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts) << np.uint64(32)
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets]
+    out = []
+    for k in range(parts if sets else 0):
+        every = np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)])
+        every.sort()
+        again = every[COMMON_IN_BATCH - 1 :]
+        found = np.unique(again[again == every[: len(again)]])  # sorted, so many equals reach from one to the other
+        out.append((found, np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left")))
+    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(empty, *out, strict=True))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """Rows of each text (kind 0: doc_id, text_hash, node, n, signature) and of common shingles (kind 1: node is the
     shingle, n its texts in a batch)."""
@@ -150,13 +168,8 @@ def describe(docs: DataFrame) -> DataFrame:
                 ]
                 yield _record(columns, names)
                 held.update(zip(nodes, sets, strict=True))
-            every = np.concatenate(list(held.values())) if held else np.zeros(0, np.uint64)
+            found, counts = repeated(list(held.values()))
             held.clear()
-            every.sort()
-            again = every[COMMON_IN_BATCH - 1 :]
-            found = np.unique(again[again == every[: len(again)]])  # sorted, so many equals reach from one to the other
-            counts = np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left")
-            del every, again
             nothing = [pa.nulls(len(found), t) for t in (like, pa.int64(), pa.binary())]
             yield _record(
                 [pa.array([1] * len(found), pa.int32()), nothing[0], nothing[1], _signed(found), pa.array(counts, pa.int64()), nothing[2]],
@@ -291,12 +304,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shingles_a", "shingles_b")]
-            ok = []
-            for x, y in zip(*columns, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for rows in _batches(batch):
+                columns = [rows.column(c).to_pylist() for c in ("shingles_a", "shingles_b")]
+                ok = []
+                for x, y in zip(*columns, strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    ok.append(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+                yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda df, s, *c: df.select(F.col("node").alias(s), *(F.col(x).alias(f"{y}_{s}") for x, y in c))
     signs = [side(nodes, s, ("n", "n"), ("signature", "sign")) for s in "ab"]
