@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from veritrim.llm import ranked_search as S
@@ -97,3 +98,56 @@ def test_empty(spark):
     d, q = frames(spark, docs, items)
     assert S.search(S.build_index(d.limit(0)), q).collect() == []
     assert S.search(S.build_index(d), q.limit(0)).collect() == []
+
+
+def test_tasks_get_few_documents_and_one_block_at_a_time(spark, monkeypatch):
+    docs, items = made()
+    d, q = frames(spark, docs, items)
+    inner = S.arrow_map
+
+    def watched(df, function, schema):
+        most = 256 if schema == S.INDEX else 1
+
+        def task(batches):
+            def seen():
+                for batch in batches:
+                    if batch.num_rows > most:
+                        raise ValueError(f"{batch.num_rows} rows at once")
+                    yield batch
+
+            yield from function(seen())
+
+        return inner(df, task, schema)
+
+    monkeypatch.setattr(S, "arrow_map", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = S.search(S.build_index(d.coalesce(1), 16), q, 10)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 10)
+
+
+def test_index_is_stored_in_small_row_groups(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.randbytes(500).hex() for _ in range(2600)) for _ in range(8)]  # 2.6 MB each
+    index = S.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert sum(groups) == 4 and max(groups) <= 2
+
+
+def test_open_blocks_are_bounded_together():
+    rng = random.Random(3)
+    docs = [(i, b" ".join(b"w%d" % rng.randrange(10**6) for _ in range(2 ** rng.randrange(1, 11)))) for i in range(600)]
+    taken, given, out = 0, 0, []
+
+    def rows():
+        nonlocal taken
+        for row in docs:
+            assert taken - given < 40_000
+            taken += len(row[1])
+            yield row
+
+    for block in S._blocks(rows(), 1024, 40_000):
+        given += sum(map(len, block["texts"]))
+        out += zip(block["doc_ids"], block["texts"], strict=True)
+    assert sorted(out) == docs

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veritrim.session import ship_package, written
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "arrow_map", "largest", "lower_ascii", "sized", "table", "written"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "arrow_map", "largest", "lower_ascii", "rows_at_a_time", "sized", "table", "written"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -73,6 +75,26 @@ def arrow_map(
     return df.mapInArrow(task, schema)
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_setting = threading.RLock()
+
+
+@contextmanager
+def rows_at_a_time(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Workers get at most ``rows`` rows in a batch from the jobs that run within; a plan that runs later is not held to it.
+
+    Else a task's whole partition, up to 10,000 rows, lies in one batch, both in the executor's memory outside its heap and in the worker's.
+    The setting is the session's, so threads that want it take turns.
+    """
+    with _setting:
+        before = spark.conf.get(_BATCH_ROWS)
+        spark.conf.set(_BATCH_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
+        try:
+            yield
+        finally:
+            spark.conf.set(_BATCH_ROWS, before)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; NULL becomes empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

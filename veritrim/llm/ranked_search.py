@@ -20,10 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, arrow_map, texts_of, written
+from veritrim.llm.common import ASCII_LOWER, ASCII_UPPER, arrow_map, rows_at_a_time, texts_of, written
 
 #: Documents of a block at most, and the bytes of text at which it closes: what a task holds, not what it takes.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+#: Bytes of text in all open blocks of a task at which the largest closes, and documents that a task gets at a time.
+OPEN_BYTES, READ_DOCS = 16 << 20, 256
+#: The index is stored a few blocks to a row group, so that neither its writer nor its readers hold a whole file.
+STORED = {"parquet.block.size": BLOCK_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Frequencies from which on a level holds a term, bits set for each level, and bits of a signature for each entry.
 LEVELS = (1, 2, 3, 5, 9, 17)
 PROBES, BITS = 2, 12
@@ -36,7 +40,7 @@ HITS = "item int, doc_id long, score long"
 
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TERMS = bytes.maketrans(ASCII_UPPER.encode() + _SEPARATORS, ASCII_LOWER.encode() + b" " * len(_SEPARATORS))
-_NAMES = 1 << 19
+_NAMES = 1 << 16
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -63,7 +67,7 @@ def _entries(counts: Counter, names: dict[bytes, int]) -> tuple[np.ndarray, np.n
     hashed = np.fromiter((names[t] for t in counts), np.uint64, len(counts))
     found = np.fromiter(counts.values(), np.int64, len(counts))
     reached = [found >= least for least in LEVELS]
-    return np.concatenate([hashed[r] for r in reached]), np.repeat(np.arange(len(LEVELS)), [r.sum() for r in reached])
+    return np.concatenate([hashed[r] for r in reached]), np.repeat(np.arange(len(LEVELS), dtype=np.uint8), [r.sum() for r in reached])
 
 
 def _block(docs: list[tuple]) -> dict:
@@ -78,43 +82,52 @@ def _block(docs: list[tuple]) -> dict:
     }
 
 
+def _blocks(docs: Iterator[tuple], block_docs: int, open_bytes: int = OPEN_BYTES) -> Iterator[dict]:
+    """Blocks of (doc_id, text) with terms; open are one for each doubling of the number of entries, with ``open_bytes`` of text in all."""
+    opened: dict[int, list[tuple]] = {}
+    held: Counter = Counter()
+    names: dict[bytes, int] = {}
+
+    def closed(kind: int) -> dict:
+        del held[kind]
+        return _block(opened.pop(kind))
+
+    for doc_id, text in docs:
+        terms = terms_of(text)
+        if not terms:
+            continue
+        entries = _entries(Counter(terms), names)
+        kind = len(entries[0]).bit_length()
+        opened.setdefault(kind, []).append((doc_id, text, len(terms), *entries))
+        held[kind] += len(text)
+        if len(opened[kind]) >= block_docs or held[kind] >= BLOCK_BYTES:
+            yield closed(kind)
+        elif held.total() >= open_bytes:
+            yield closed(max(held, key=held.get))
+    for kind in sorted(opened):
+        yield closed(kind)
+
+
 def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Blocks of the signatures and texts of ``docs`` (doc_id long, text), as a table in the shared folder.
 
     Documents without terms, NULL texts among them, are left out: they match nothing. Repeated rows and NULL ids are documents
-    of their own. Other columns are ignored. A task keeps one open block for each doubling of the number of entries; a very long text
-    is a block alone.
+    of their own. Other columns are ignored. A task keeps one open block for each doubling of the number of entries, ``OPEN_BYTES`` of text
+    in all; a very long text is a block alone.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[int, list[tuple]] = {}
-        held: Counter = Counter()
-        names: dict[bytes, int] = {}
         schema = pa.schema(
             [("pilot", pa.int32()), ("width", pa.int64()), ("documents", pa.int32()), ("terms", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
              ("lengths", pa.list_(pa.int64())), ("slices", pa.binary()), ("texts", pa.list_(pa.binary()))]
         )
-
-        def out(kind: int) -> pa.RecordBatch:
-            held[kind] = 0
-            return pa.RecordBatch.from_pylist([_block(opened.pop(kind))], schema)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                terms = terms_of(text)
-                if not terms:
-                    continue
-                entries = _entries(Counter(terms), names)
-                kind = len(entries[0]).bit_length()
-                opened.setdefault(kind, []).append((doc_id, text, len(terms), *entries))
-                held[kind] += len(text)
-                if len(opened[kind]) >= block_docs or held[kind] >= BLOCK_BYTES:
-                    yield out(kind)
-        for kind in sorted(opened):
-            yield out(kind)
+        rows = (row for b in batches for row in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True))
+        for block in _blocks(rows, block_docs):
+            yield pa.RecordBatch.from_pylist([block], schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(arrow_map(own, task, INDEX), "search-index")
+    with rows_at_a_time(docs.sparkSession, READ_DOCS):
+        return written(arrow_map(own, task, INDEX), "search-index", **STORED)
 
 
 def _frequencies(index: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
@@ -238,12 +251,13 @@ def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
         vocabulary = {t for text in texts for t in terms_of(text)}
         if not vocabulary:
             continue
-        query = _Query(texts, _frequencies(index, vocabulary), total["n"], total["l"])
-        pilot = _ranked(_hits(index.filter("pilot = 0"), query, np.ones(len(texts), np.int64), k), k)
-        least = np.ones(len(texts), np.int64)
-        for r in pilot.filter(F.col("rank") == k).select("item", "score").collect():
-            least[r["item"]] = r["score"]
+        with rows_at_a_time(spark, 1):  # a row is a block
+            query = _Query(texts, _frequencies(index, vocabulary), total["n"], total["l"])
+            pilot = _ranked(_hits(index.filter("pilot = 0"), query, np.ones(len(texts), np.int64), k), k)
+            least = np.ones(len(texts), np.int64)
+            for r in pilot.filter(F.col("rank") == k).select("item", "score").collect():
+                least[r["item"]] = r["score"]
+            ranked = written(_ranked(_hits(index, query, least, k), k), "search-hits")
         names = F.broadcast(spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(batch)], f"item int, item_id {kind}"))
-        ranked = _ranked(_hits(index, query, least, k), k).join(names, "item")
-        found = found.unionByName(ranked.select("item_id", "rank", "doc_id", "score"))
+        found = found.unionByName(ranked.join(names, "item").select("item_id", "rank", "doc_id", "score"))
     return found

@@ -45,15 +45,15 @@ def shared_folder(spark: SparkSession, purpose: str, name: str | None = None) ->
     return f"{base.rstrip('/')}/{purpose}-{name or uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str, name: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder.
+def written(df: DataFrame, purpose: str, name: str | None = None, **options: object) -> DataFrame:
+    """The rows as a Parquet table in the shared folder; ``options`` are the writer's.
 
     For a result that several branches of a job read: it is computed once, outlives a lost executor, and its
     readers fetch only the columns they need. A named table replaces the one of that name, so
     that a long series of batches keeps one; others are left to whoever cleans the shared folder.
     """
     path = shared_folder(df.sparkSession, purpose, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.options(**options).mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
